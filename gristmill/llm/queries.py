@@ -24,3 +24,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.substring_dedup import remove_repeated_spans
+
+    return remove_repeated_spans(table(spark, sf_dir, "documents"))

@@ -185,3 +185,25 @@ def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def range_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+    """A mixed hash of h[s:e] for each given range, which may overlap; the length counts too."""
+    forth, back = powers(lane, len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * forth[: len(h)], out=total[1:])
+    return mix((total[ends] - total[starts]) * back[starts] + U(0x632BE59BD9B4E019) * (ends - starts).astype(np.uint64))
+
+
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each w consecutive entries, by doubling."""
+    n = len(x) - w + 1
+    if n <= 0:
+        return x[:0]
+    span, cur = 1, x
+    while span * 2 <= w:
+        cur = np.minimum(cur[:-span], cur[span:])
+        span *= 2
+    if span < w:
+        cur = np.minimum(cur[:n], cur[w - span : w - span + n])
+    return cur[:n]
