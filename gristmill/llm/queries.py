@@ -31,3 +31,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.substring_dedup import remove_repeated_spans
 
     return remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_tree_merge_dedup"] = r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+       doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+from n
+"""
