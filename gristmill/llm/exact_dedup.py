@@ -75,7 +75,7 @@ def merged_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """One row for each distinct text of ``digests()``: digest, size, check, keep_id, keep_row, n."""
     order = [F.col("grp"), *KEYS, F.col("keep_id").asc_nulls_last(), F.col("keep_row")]
     runs = rows.select("grp", *KEYS, F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n"))
-    last = rows.agg(F.max("grp")).first()[0] or 0
+    width = 1 + (rows.agg(F.max("grp")).first()[0] or 0)
     runs = runs.sortWithinPartitions(*order).mapInArrow(_merge, RUN)  # a run of the first level is one partition of the scan
     while width > 1:
         width = -(-width // fan_in)
