@@ -46,3 +46,13 @@ select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (part
        doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from n
 """
+
+
+@query
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gristmill.llm.packing import pack
+
+    path = public_tokenizers.path
+    return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
