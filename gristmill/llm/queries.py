@@ -56,3 +56,10 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op6_risk_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
