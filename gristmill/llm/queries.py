@@ -63,3 +63,10 @@ def op6_risk_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
