@@ -70,3 +70,20 @@ def op9_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.quality_classifier import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op1_warc_reassembly"] = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, strlen(body) as payload_bytes, sha256(body) as payload_digest, min(page_id) over (partition by body) as head from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and head <> page_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and head <> page_id then head end as refers_to
+from d
+"""
