@@ -87,3 +87,42 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
        case when payload_bytes >= 100 and head <> page_id then head end as refers_to
 from d
 """
+
+
+@query
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.mixing import mix_counts
+
+    return mix_counts(table(spark, sf_dir, "documents"), budget_share=1.0, entropy_share=0.5, max_repeat=4.0)
+
+
+ORACLES["op2_temperature_mixing"] = r"""
+with recursive sized as (
+  select doc_id, coalesce(source, '') as source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as n_tokens from documents),
+src as (select source, cast(sum(n_tokens) as bigint) as tokens from sized group by 1),
+tot as (select cast(sum(tokens) as bigint) as total, count_if(tokens > 0) as k from src),
+sh as (select source, tokens, tokens / cast(total as double) as p from src, tot where tokens > 0),
+goal as (select (-sum(p * ln(p))) + 0.5 * (ln(count(*)) - (-sum(p * ln(p)))) as target, min(p) as least from sh),
+bis(n, lo, hi) as (
+  select 0, cast(0 as double), cast(1 as double)
+  union all
+  select n + 1, case when ok then lo else mid end, case when ok then mid else hi end
+  from (select n, lo, hi, (lo + hi) / 2 as mid,
+          (select ln(sum(p ** ((lo + hi) / 2))) - (lo + hi) / 2 * sum(p ** ((lo + hi) / 2) * ln(p)) / sum(p ** ((lo + hi) / 2)) from sh) <= (select target from goal) + 1e-12
+          and (select (select least from goal) ** ((lo + hi) / 2 - 1) / sum(p ** ((lo + hi) / 2)) from sh) <= 4.0 + 1e-12 as ok
+        from bis where n < 40)),
+ex as (select case when k <= 1 then 1.0 else (select round(hi, 6) from bis order by n desc limit 1) end as e from tot),
+pw as (select s.source, s.tokens, case when s.tokens > 0 then (s.tokens / cast(greatest(total, 1) as double)) ** e else 0 end as power, total from src s, tot, ex),
+qt as (select source, tokens, cast(floor(power / (select sum(power) from pw) * total + 0.5) as bigint) as quota from pw),
+pl as (select source, tokens, quota, case when tokens > 0 then cast(floor(quota / tokens) as bigint) else 0 end as passes,
+         cast(greatest(1, least(4096, ceil(tokens / 65536.0))) as bigint) as n_blocks from qt),
+me as (select d.doc_id, d.source, d.n_tokens, p.passes, p.quota - p.passes * p.tokens as rest, md5('mix/' || d.doc_id) as h,
+         cast('0x' || substr(md5('mix/' || d.doc_id), 1, 8) as bigint) % p.n_blocks as block from sized d join pl p using (source)),
+bl as (select source, block, passes, rest, sum(n_tokens) as tokens from me group by 1, 2, 3, 4),
+cu as (select *, sum(tokens) over (partition by source order by md5('mix/' || source || '/' || passes || '/' || block), block rows unbounded preceding) as after from bl),
+ed as (select m.*, c.after, c.tokens, c.after - c.tokens as before,
+         sum(m.n_tokens) over (partition by m.source, m.block order by m.h, m.doc_id) as inside from me m join cu c using (source, block))
+select doc_id, source, n_tokens,
+       cast(passes + case when after <= rest then 1 when before < rest and inside <= rest - before then 1 else 0 end as bigint) as copies
+from ed
+"""
