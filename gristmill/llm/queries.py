@@ -126,3 +126,26 @@ select doc_id, source, n_tokens,
        cast(passes + case when after <= rest then 1 when before < rest and inside <= rest - before then 1 else 0 end as bigint) as copies
 from ed
 """
+
+
+@query
+def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from gristmill.llm.line_spread import remove_spread_lines
+
+    out = remove_spread_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op4_line_spread"] = r"""
+with l as (
+  select doc_id, coalesce(source, '') as site, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+t as (select *, trim(line, E' \t\r\x0b\x0c') as body from l),
+w as (select body from t where body <> '' group by 1 having count(distinct site) >= 5),
+m as (select t.*, w.body is not null as gone from t left join w using (body))
+select doc_id, count_if(body <> '') as n_lines, count_if(gone) as n_removed,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from m group by doc_id
+"""
