@@ -149,3 +149,10 @@ select doc_id, count_if(body <> '') as n_lines, count_if(gone) as n_removed,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from m group by doc_id
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
