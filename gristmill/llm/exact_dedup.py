@@ -38,6 +38,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
+        table = table.cast(pa.schema([f.with_nullable(True) for f in table.schema]))
         if held is not None:
             table = pa.concat_tables([held, table]).combine_chunks()
         n = table.num_rows
@@ -55,7 +56,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         total = np.add.reduceat(table["n"].to_numpy(), first)
         out = table.take(pa.array(first))
-        out = out.set_column(out.schema.get_field_index("n"), "n", pa.array(total))
+        out = out.set_column(out.schema.get_field_index("n"), table.schema.field("n"), pa.array(total))
         held = out.slice(len(first) - 1).combine_chunks()
         yield from out.slice(0, len(first) - 1).to_batches()
     if held is not None:
