@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.scratch import cut, drop
 from gristmill.llm.words import SPACE, U, Words, buffers, chunks, mix, window_hashes
 
 WORD_BITS, GRAM_BITS = 18, 16
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    train = source.join(known.where(~held_out(F.col("doc_id"))), "doc_id").select("text", "quality", "doc_id")
+    train = cut(source.join(known.where(~held_out(F.col("doc_id"))), "doc_id").select("text", "quality", "doc_id"), "train")
     counts = train.select("text", "quality").mapInArrow(_count, "feature int, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # at most SIZE + 1 rows
     good, bad = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     at = counts["feature"].to_numpy()
@@ -147,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n1 or not n0:
         prior = (n1 + 1) / (n1 + n0 + 2)
         return Model(scale, np.zeros(SIZE), 0.0, 1.0, math.log(prior / (1 - prior)))
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("text", "quality").mapInArrow(_encode, "ids binary, quality int").toArrow()
+    chosen = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # at most max_train ids
+    sample = train.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(_encode, "ids binary, quality int").toArrow()
+    drop(train)
     rows = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["ids"]]
     y = np.where(sample["quality"].to_numpy() == 1, 1.0, -1.0)
     values = []
