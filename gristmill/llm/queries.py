@@ -156,3 +156,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: 50 to a folder, 20 folders to a project; the first of each is its LICENSE."""
+    from pyspark.sql import functions as F
+
+    from gristmill.llm.licenses import license_of_files
+
+    i = F.col("doc_id")
+    project, folder = F.floor(i / 1000).cast("string"), F.floor(i / 50).cast("string")
+    name = F.when(i % 50 == 0, "LICENSE").otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    path = F.when(i % 1000 == 0, F.concat_ws("/", F.lit("corpus"), project, F.lit("LICENSE"))).otherwise(F.concat_ws("/", F.lit("corpus"), project, folder, name))
+    return license_of_files(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
