@@ -32,13 +32,21 @@ def has_email(c: Column) -> Column:
     return c.rlike(EMAIL)
 
 
-def canonical_json(c: Column) -> Column:
-    """JSON of a struct with alphabetical fields: no nulls, no spaces, lower-case control escapes."""
-    out = F.to_json(c)
-    fixed = out
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often f uses it; keeps plans small."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _lower_escapes(json: Column) -> Column:
+    fixed = json
     for upper in "ABCDEF":
         fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u00([01]){upper}", rf"$1\\u00$2{upper.lower()}")
-    return F.when(out.rlike(r"\\u00[01][A-F]"), fixed).otherwise(out)
+    return F.when(json.rlike(r"\\u00[01][A-F]"), fixed).otherwise(json)
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON of a struct with alphabetical fields: no nulls, no spaces, lower-case control escapes."""
+    return let(F.to_json(c), _lower_escapes)
 
 
 def digest(c: Column) -> Column:

@@ -21,6 +21,7 @@ from gristmill.operators.gates import DIMENSION, RESPONSE, clean_usage, judge_an
 from gristmill.operators.state import state_hash, state_text, with_state
 
 DECISION = f"struct<decision:string,reason:string,error:string,detail:string,unevaluated:boolean,fatal:boolean,model:string,provider_id:string,dimensions:map<string,{DIMENSION}>>"
+PARTS = {"decision": "string", "reason": "string", "error": "string", "detail": "string", "unevaluated": "boolean", "fatal": "boolean", "model": "string", "provider_id": "string", "dimensions": f"map<string,{DIMENSION}>"}
 ROW_FAILURES = ["invalid_json", "response_too_large", "invalid_request", "request_too_large", "cancelled"]
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -56,11 +57,6 @@ def mark_duplicates(df: DataFrame) -> DataFrame:
     return df.join(repeated, "state_hash", "left").withColumn("is_dup", F.coalesce(F.col("line") > F.col("first_line"), F.lit(False))).drop("first_line")
 
 
-def _rules() -> Any:
-    email = has_email(state_text())
-    return F.when(email, _decision("review", "demo_email_pattern")).otherwise(_decision("keep", "demo_rules_passed"))
-
-
 def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
     """Decide every record: adds ``result`` (DECISION), ``state_hash``, ``is_dup``, ``cache_hit``, ``usage``.
 
@@ -84,25 +80,36 @@ def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFram
     df = df.withColumn("cache_hit", open_ & F.col("cached").isNotNull())
     usage = F.lit(None).cast("struct<input_tokens:double,output_tokens:double,cost:double>")
     if cfg["provider"] == "demo":
-        df, judged = df.withColumn("usage", usage), _rules()
+        df = df.withColumn("usage", usage).withColumn("email", F.coalesce(has_email(state_text()), F.lit(False)))
+        judged = {"decision": F.when(F.col("email"), "review").otherwise("keep"), "reason": F.when(F.col("email"), "demo_email_pattern").otherwise("demo_rules_passed")}
     else:
         if scorer is None:
             raise ValueError("provider scorer needs a scorer")
         misses = df.where(open_ & ~F.col("cache_hit"))
         asked = cut(misses.select("line", "state_hash", "state").orderBy("line").limit(cfg["max_requests"]).select("state_hash", "state"), "asked")
         scored = _ask(asked, scorer, rubric, cfg["confidence"])
-        df = df.join(scored, "state_hash", "left")
-        df = df.withColumn("usage", F.when(open_ & ~F.col("cache_hit"), F.col("usage")))
-        judged = F.coalesce(F.col("scored"), _decision("review", "request_budget_exhausted", error="request_budget_exhausted", unevaluated=True, fatal=True))
-    result = (
-        F.when(F.col("input_error").isNotNull(), _decision("review", F.col("input_error"), error=F.col("input_error"), fatal=F.col("input_fatal")))
-        .when(F.col("content_error").isNotNull(), _decision("review", "invalid_content", error=F.col("content_error")))
-        .when(F.col("is_dup"), _decision("reject", "exact_duplicate"))
-        .when(~within, _decision("reject", "content_length_outside_bounds"))
-        .when(F.col("cache_hit"), F.col("cached"))
-        .otherwise(judged)
-    )
-    return df.withColumn("result", result).withColumn("config_hash", F.lit(run_hash)).drop("cached", "scored")
+        df = df.join(scored, "state_hash", "left").withColumn("usage", F.when(open_ & ~F.col("cache_hit"), F.col("usage")))
+        spent = _decision("review", "request_budget_exhausted", error="request_budget_exhausted", unevaluated=True, fatal=True)
+        df = df.withColumn("scored", F.coalesce(F.col("scored"), spent))
+        judged = {n: F.col(f"scored.{n}") for n in PARTS}
+    step = (
+        F.when(F.col("input_error").isNotNull(), "input").when(F.col("content_error").isNotNull(), "content").when(F.col("is_dup"), "dup").when(~within, "length").when(F.col("cache_hit"), "cached").otherwise("judged")
+    )
+    local = {
+        "decision": {"input": F.lit("review"), "content": F.lit("review"), "dup": F.lit("reject"), "length": F.lit("reject")},
+        "reason": {"input": F.col("input_error"), "content": F.lit("invalid_content"), "dup": F.lit("exact_duplicate"), "length": F.lit("content_length_outside_bounds")},
+        "error": {"input": F.col("input_error"), "content": F.col("content_error")},
+        "fatal": {"input": F.col("input_fatal")},
+    }
+    df, parts = df.withColumn("_step", step), []
+    for n, kind in PARTS.items():
+        value = F.when(F.col("_step") == "cached", F.col(f"cached.{n}"))
+        for at, c in local.get(n, {}).items():
+            value = value.when(F.col("_step") == at, c)
+        if n in judged:
+            value = value.when(F.col("_step") == "judged", judged[n])
+        parts.append(value.cast(kind).alias(n))
+    return df.withColumn("result", F.struct(*parts)).withColumn("config_hash", F.lit(run_hash)).drop("cached", "scored", "email", "_step")
 
 
 def _ask(asked: DataFrame, scorer: Scorer, rubric: dict[str, Any], confidence: float) -> DataFrame:

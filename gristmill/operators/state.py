@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import blank, canonical_json, digest, fold, strip
+from gristmill.functions.text import blank, canonical_json, digest, fold, let, strip
 
 PLAIN = ["text", "instruction", "input", "output", "prompt", "response"]
 FIELD = "struct<kind:string,value:string>"
@@ -92,8 +92,9 @@ def with_state(df: DataFrame) -> DataFrame:
 def state_text(state: Column | None = None) -> Column:
     """Contents joined by newlines, roles left out."""
     s = F.col("state") if state is None else state
-    plain = F.concat_ws("\n", *(s[n] for n in PLAIN))
-    return F.when(s["messages"].isNotNull(), F.array_join(F.transform(s["messages"], lambda m: m["content"]), "\n")).when(s.isNotNull(), plain)
+    messages = lambda x: F.array_join(F.transform(x["messages"], lambda m: m["content"]), "\n")
+    plain = lambda x: F.concat_ws("\n", *(x[n] for n in PLAIN))
+    return let(s, lambda x: F.when(x["messages"].isNotNull(), messages(x)).when(x.isNotNull(), plain(x)))
 
 
 def training_text(state: Column | None = None) -> Column:
@@ -112,7 +113,7 @@ def folded(state: Column) -> Column:
 def state_hash(mode: str = "whitespace", state: Column | None = None) -> Column:
     """SHA-256 of the canonical JSON of the state, white space folded or exact; null without a state."""
     s = F.col("state") if state is None else state
-    return F.when(s.isNotNull(), digest(canonical_json(s if mode == "exact" else folded(s))))
+    return let(s, lambda x: F.when(x.isNotNull(), digest(canonical_json(x if mode == "exact" else folded(x)))))
 
 
 def conversation(state: Column | None = None) -> Column:
