@@ -110,11 +110,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = cut(digests(docs, id_col, text_col), "digests")
     groups = merged_runs(rows).where("n > 1").select(*KEYS, "keep_id", "keep_row")
     gone = cut(rows.join(cut(groups, "groups"), KEYS).where("row != keep_row").select("doc_id", "keep_id", "digest"), "gone")
-    again = gone.where("doc_id <=> keep_id").limit(1).count()
-    if not again:
-        return docs.join(gone.select(F.col("doc_id").alias("_gone")), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    # Rows repeat an id together with its text: one of each stays.
-    tagged = docs.withColumn("_digest", F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)))
-    lost = gone.where("not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_lost")).distinct()
-    left = tagged.join(lost, (tagged[id_col].cast("long") == F.col("_gone")) & (F.col("_digest") == F.col("_lost")), "left_anti")
-    return left.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    plain = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+    if plain:
+        return docs.join(gone.select(F.col("doc_id").alias("__gm_gone")), docs[id_col].cast("long") == F.col("__gm_gone"), "left_anti")
+    # Some id is null or repeated: rows are told apart by their texts too, and of rows that repeat an
+    # id with its text one stays.
+    tagged = docs.withColumn("__gm_digest", F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)))
+    lost = gone.where("not (doc_id <=> keep_id)").select(F.col("doc_id").alias("__gm_gone"), F.col("digest").alias("__gm_lost")).distinct()
+    left = tagged.join(lost, tagged[id_col].cast("long").eqNullSafe(F.col("__gm_gone")) & (F.col("__gm_digest") == F.col("__gm_lost")), "left_anti")
+    return left.dropDuplicates([id_col, "__gm_digest"]).drop("__gm_digest")
