@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a certified cutoff reject go."""
     verdict = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     # Spark broadcasts the rejected ids below its size threshold and joins by shuffle beyond it.
-    gone = cut(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    gone = cut(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__gm_id")).distinct(), "rejected")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gm_id")), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the document with the smallest id stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(cut(gone, "copies"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gm_id")).distinct()
+    return docs.join(cut(gone, "copies"), docs["doc_id"].eqNullSafe(F.col("__gm_id")), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,18 +82,18 @@ class Plan:
         self.sources, self.blocks, self.edge, self.exponent = sources, blocks, edge, e
 
     def copies(self, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-        """``docs`` with ``_copies``, how often the mix holds each row."""
+        """``docs`` with ``__gm_copies``, how often the mix holds each row."""
         source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
         key = F.col(id_col).cast("long")
-        keyed = docs.withColumn("_source", source).withColumn("_key", key).withColumn("_number", _number(_hash(key)))
-        plan = self.sources.select(F.col("source").alias("_source"), F.col("n_blocks").alias("_n"))
-        keyed = keyed.join(plan, "_source").withColumn("_block", F.pmod("_number", "_n"))
-        blocks = self.blocks.select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("copies").alias("_whole"), F.col("edge").alias("_edge"))
-        keyed = keyed.join(blocks, ["_source", "_block"])
-        edge = self.edge.select(F.col("source").alias("_s"), F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.col("doc_id").isNull().alias("_none"), F.lit(1).alias("_more"))
-        keyed = keyed.join(edge, (F.col("_source") == F.col("_s")) & (F.coalesce("_key", F.lit(-1)) == F.col("_k")) & (F.col("_key").isNull() == F.col("_none")), "left")
-        out = keyed.withColumn("_copies", (F.col("_whole") + F.when(F.col("_edge"), F.coalesce("_more", F.lit(0))).otherwise(0)).cast("long"))
-        return out.select(*docs.columns, "_copies")
+        keyed = docs.withColumn("__gm_source", source).withColumn("__gm_key", key).withColumn("__gm_number", _number(_hash(key)))
+        plan = self.sources.select(F.col("source").alias("__gm_source"), F.col("n_blocks").alias("__gm_n"))
+        keyed = keyed.join(plan, "__gm_source").withColumn("__gm_block", F.pmod("__gm_number", "__gm_n"))
+        blocks = self.blocks.select(F.col("source").alias("__gm_source"), F.col("block").alias("__gm_block"), F.col("copies").alias("__gm_whole"), F.col("edge").alias("__gm_edge"))
+        keyed = keyed.join(blocks, ["__gm_source", "__gm_block"])
+        edge = self.edge.select(F.col("source").alias("__gm_s"), F.coalesce("doc_id", F.lit(-1)).alias("__gm_k"), F.col("doc_id").isNull().alias("__gm_none"), F.lit(1).alias("__gm_more"))
+        keyed = keyed.join(edge, (F.col("__gm_source") == F.col("__gm_s")) & (F.coalesce("__gm_key", F.lit(-1)) == F.col("__gm_k")) & (F.col("__gm_key").isNull() == F.col("__gm_none")), "left")
+        out = keyed.withColumn("__gm_copies", (F.col("__gm_whole") + F.when(F.col("__gm_edge"), F.coalesce("__gm_more", F.lit(0))).otherwise(0)).cast("long"))
+        return out.select(*docs.columns, "__gm_copies")
 
 
 def plan(sized: DataFrame, budget_share: float = 1.0, entropy_share: float | None = 0.5, max_repeat: float | None = 4.0) -> Plan:
@@ -128,7 +128,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result, and sources without tokens get nothing.
     """
     sized = cut(sizes(docs, id_col, text_col, source_col), "sizes")
-    return plan(sized, **how).copies(sized).withColumnRenamed("_copies", "copies")
+    return plan(sized, **how).copies(sized).withColumnRenamed("__gm_copies", "copies")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -137,5 +137,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = plan(sized, **how).copies(docs, id_col, source_col)
     once = how.get("max_repeat")
     if once is not None and once <= 1:
-        return out.where("_copies > 0").drop("_copies")
-    return out.where("_copies > 0").withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copies")
+        return out.where("__gm_copies > 0").drop("__gm_copies")
+    return out.where("__gm_copies > 0").withColumn("__gm_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__gm_copies")))).drop("__gm_copies")
