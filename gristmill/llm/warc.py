@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +25,12 @@ from gristmill.functions.scratch import cut, new_path
 
 SEGMENT, CHUNK, LEAST_REVISIT, FILE_RECORDS = 16 << 10, 4096, 100, 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, type string, uri string, page_id long, refers_to string, digest string, origin string, segment int, total long, block binary"
+RECORD = "record_id string, type string, uri string, page_id long, refers_to long, digest string, origin string, segment int, total long, block binary"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
 
 
-def record_id(page_id: int | None, row: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id}/{row}'.encode()).digest())}>"
+def record_id(page_id: int | None, place: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id}/{place}'.encode()).digest())}>"
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -69,23 +70,24 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 
 def _records(segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             out: list[bytes] = []
             size = 0
-            for row, page, url, payload, digest, first_page, first_row in zip(*(c for c in batch.columns), strict=True):
-                row, page, digest = row.as_py(), page.as_py(), digest.as_py()
-                own = record_id(page, row)
+            for page, url, payload, digest, revisit, first_page in zip(*(c for c in batch.columns), strict=True):
+                page, digest, row = page.as_py(), digest.as_py(), row + 1
+                own = record_id(page, f"{task}/{row}")
                 common = [("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Target-URI", _one_line(url.as_py() or "") or None), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-ID", page)]
-                if first_row.is_valid and first_row.as_py() != row:
+                if revisit.as_py():
                     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-                    out.append(_record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first_page.as_py(), first_row.as_py())), ("Content-Type", "application/http; msgtype=response")], head))
+                    out.append(_record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", first_page.as_py()), ("Content-Type", "application/http; msgtype=response")], head))
                 else:
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload.as_py())
                     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
                     kind = ("Content-Type", "application/http; msgtype=response")
                     out.append(_record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("WARC-Segment-Number", 1 if len(parts) > 1 else None), kind], parts[0]))
                     for n, part in enumerate(parts[1:], 2):
-                        again = record_id(page, f"{row}#{n}")
+                        again = record_id(page, f"{task}/{row}#{n}")
                         out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", again), *common[:2], ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)], part))
                 size += len(out[-1])
                 if size > 4 << 20:
@@ -97,16 +99,16 @@ def _records(segment: int):
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = SEGMENT) -> None:
-    """Write a record per row. Of rows with equal payloads of at least LEAST_REVISIT bytes the one with
-    the smallest id is a response (of rows repeating that id, one is) and the others revisit it."""
+    """Write a record per row. Of rows with equal payloads of at least LEAST_REVISIT bytes those with the
+    smallest id are responses and the others revisit that page; record ids are unique to each row."""
     rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload")
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
-    big = rows.where(F.octet_length("payload") >= LEAST_REVISIT).select("digest", "page_id", "row")
-    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row"))
-    first = big.groupBy("digest").agg(least.alias("at"), F.count("*").alias("n")).where("n > 1")
-    first = cut(first.select("digest", F.col("at.page_id").alias("first_page"), F.col("at.row").alias("first_row")), "first")
-    full = rows.join(first, "digest", "left").select("row", "page_id", "url", "payload", "digest", "first_page", "first_row")
+    big = rows.where(F.octet_length("payload") >= LEAST_REVISIT).select("digest", "page_id")
+    first = big.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1").select("digest", "first_page")
+    full = rows.join(cut(first, "first"), "digest", "left")
+    revisit = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
+    full = full.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), "first_page")
     out = full.mapInArrow(_records(segment), "value binary").select(F.col("value").cast("string").alias("value"))
     out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
@@ -142,8 +144,9 @@ def parse_records(data: bytes) -> Iterator[tuple]:
         block = data[end + 4 : end + 4 + size]
         at = end + 4 + size
         number, page, total = fields.get(b"warc-segment-number"), fields.get(b"x-page-id"), fields.get(b"warc-segment-total-length")
+        refers = fields.get(b"x-refers-to-page-id")
         yield (
-            fields.get(b"warc-record-id"), fields.get(b"warc-type"), fields.get(b"warc-target-uri"), int(page) if page else None, fields.get(b"warc-refers-to"),
+            fields.get(b"warc-record-id"), fields.get(b"warc-type"), fields.get(b"warc-target-uri"), int(page) if page else None, int(refers) if refers else None,
             (fields.get(b"warc-payload-digest") or "").removeprefix("sha256:") or None, fields.get(b"warc-segment-origin-id"), int(number) if number else None, int(total) if total else None, block,
         )
 
@@ -168,12 +171,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORD)
 
 
-PAYLOAD = "record_id string, type string, uri string, page_id long, refers_to string, digest string, complete boolean, payload binary"
+PAYLOAD = "record_id string, type string, uri string, page_id long, refers_to long, digest string, complete boolean, payload binary"
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records sorted by origin and segment, or unsegmented ones, to payloads."""
-    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
     names = [x.split()[0] for x in PAYLOAD.split(", ")]
     out: list[tuple] = []
     held: list[dict] = []
@@ -240,9 +243,9 @@ def reassemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write ``pages`` to archives, read them back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    Null payloads are empty. Rows repeated with one id are records of their own; of equal large
-    payloads only one row is the response. Null ids come after all others. Revisits take their length
-    from the response they refer to, whose digest must agree. Other columns are not read; an empty
+    Null payloads are empty. Rows repeated with one id are records of their own, and if that id is the
+    smallest of its payload all of them are responses. A null id is larger than any other, and equal to
+    null. Revisits take their length from the response they refer to, whose digest must agree. Other columns are not read; an empty
     table gives an empty result.
     """
     spark = pages.sparkSession
@@ -253,6 +256,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     got = cut(got, "records")
     answers = got.where("type = 'response'")
     asked = got.where("type = 'revisit'")
-    target = answers.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("to_page"), F.col("payload_bytes").alias("to_bytes"), F.col("payload_digest").alias("digest"))
-    revisits = asked.drop("payload_bytes", "payload_digest").join(target, ["refers_to", "digest"], "left").select("page_id", F.col("to_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("to_page").alias("refers_to"))
+    target = answers.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("to_bytes"), F.col("payload_digest").alias("digest")).distinct()
+    revisits = asked.drop("payload_bytes", "payload_digest").join(cut(target, "answers"), ["refers_to", "digest"], "left")
+    revisits = revisits.select("page_id", F.col("to_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
     return answers.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)
