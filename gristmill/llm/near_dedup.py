@@ -32,6 +32,7 @@ from gristmill.llm.words import U, Words, buffers, chunks, distinct_sorted, mix,
 from gristmill.operators.components import connected_components
 
 BANDS, ROWS, BLOCK_MEMBERS, BLOCK_BYTES = 24, 4, 192, 4 << 20
+BROADCAST_IDS = 1_000_000  # some 24 MB on an executor
 _NONE = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -176,7 +177,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
     pairs = cand.where((F.col("id") != F.col("hub")) & close).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = cut(pairs, "pairs")
-    needed = cand.select("id").distinct()
+    needed = cut(cand.select("id").distinct(), "needed")
+    if needed.count() <= BROADCAST_IDS:  # else the join moves texts by id
+        needed = F.broadcast(needed)
     texts = source.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets(k), "id long, items binary"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
