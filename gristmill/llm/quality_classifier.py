@@ -23,6 +23,7 @@ from gristmill.llm.words import SPACE, U, Words, buffers, chunks, mix, window_ha
 WORD_BITS, GRAM_BITS = 18, 16
 SIZE = (1 << WORD_BITS) + (1 << GRAM_BITS)
 MAX_TRAIN, EPOCHS, COST, THRESHOLD, FOLDS = 6000, 12, 1.0, 0.3, 5
+BROADCAST_LABELS = 1_000_000  # some 24 MB on an executor
 _BYTE = np.arange(256, dtype=np.uint8)
 _BYTE[SPACE] = 32
 
@@ -136,6 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = cut(known, "labels")
+    if known.count() <= BROADCAST_LABELS:  # else the join moves texts by id
+        known = F.broadcast(known)
     train = cut(source.join(known.where(~held_out(F.col("doc_id"))), "doc_id").select("text", "quality", "doc_id"), "train")
     counts = train.select("text", "quality").mapInArrow(_count, "feature int, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # at most SIZE + 1 rows
     good, bad = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
