@@ -105,20 +105,18 @@ def _share(a: str, b: str) -> Column:
     return F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1))
 
 
-#: Rules: statistic and cutoffs from lenient to strict; a document fails at or above the cutoff. Fixed values.
-RULES: dict[str, tuple[Column, list[float]]] = {}
+#: Rules: statistic as a ratio of counts, and cutoffs from lenient to strict; a document fails at or above one. Fixed values.
+GRIDS: dict[str, tuple[str, str, list[float]]] = {
+    "symbols": ("n_symbols", "word_chars", [0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02, 0.01]),
+    "upper": ("n_upper", "word_chars", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1]),
+    "dup_lines": ("n_dup_lines", "n_lines", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05]),
+    "repeats": ("n_repeat_words", "n_words", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.05]),
+    "long_words": ("word_chars", "n_words", [40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 10.0, 9.0, 8.0]),
+}
 
 
 def rules() -> dict[str, tuple[Column, list[float]]]:
-    if not RULES:
-        RULES.update(
-            symbols=(_share("n_symbols", "word_chars"), [0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02, 0.01]),
-            upper=(_share("n_upper", "word_chars"), [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1]),
-            dup_lines=(_share("n_dup_lines", "n_lines"), [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05]),
-            repeats=(_share("n_repeat_words", "n_words"), [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.05]),
-            long_words=(_share("word_chars", "n_words"), [40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 10.0, 9.0, 8.0]),
-        )
-    return RULES
+    return {name: (_share(a, b), grid) for name, (a, b, grid) in GRIDS.items()}
 
 
 def binomial_tail(errors: int, n: int, rate: float) -> float:

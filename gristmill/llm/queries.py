@@ -170,3 +170,60 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(i % 50 == 0, "LICENSE").otherwise(F.concat(i.cast("string"), F.lit(".txt")))
     path = F.when(i % 1000 == 0, F.concat_ws("/", F.lit("corpus"), project, F.lit("LICENSE"))).otherwise(F.concat_ws("/", F.lit("corpus"), project, folder, name))
     return license_of_files(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
+ORACLES["op3_substring_dedup"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+g as (select doc_id, i, w[i] as word, case when i + 49 <= len(w) then md5(array_to_string(w[i:i + 49], ' ')) end as h from p),
+m as (select *, h is not null and min(doc_id) over (partition by h) < doc_id as hit from g),
+c as (select doc_id, i, word, max(case when hit then 1 else 0 end) over (partition by doc_id order by i rows between 49 preceding and current row) = 1 as gone from m),
+k as (select doc_id, count(*) as n_words, count_if(gone) as n_removed, string_agg(word, ' ' order by i) filter (where not gone) as kept from c group by 1)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)
+"""
+
+ORACLES["op5_minhash_near_dedup"] = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+x as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from x join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+adj as (select a, b from l union select b, a from l),
+reach(n, r) as (select distinct a, a from adj union select adj.b, reach.r from reach join adj on reach.n = adj.a where reach.r < adj.b),
+root as (select n as doc_id, min(r) as r from reach group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(root.r, d.doc_id)) as component_id, least(d.doc_id, coalesce(root.r, d.doc_id)) = d.doc_id as kept
+from d left join n using (doc_id) left join root using (doc_id)
+"""
+
+
+def _rules_sql() -> str:
+    """Statistics, labelled counts and exact binomial tests of the quality rules."""
+    from gristmill.llm.quality_rules import GRIDS, LEVEL, LIMIT
+
+    grid = ", ".join(f"('{name}', {i}, {c}::double)" for name, (*_, cuts) in GRIDS.items() for i, c in enumerate(cuts))
+    stats = " union all ".join(f"select doc_id, lang, '{name}' as rule, cast({a} as double) / greatest({b}, 1) as stat from c" for name, (a, b, _) in GRIDS.items())
+    return rf"""
+with t as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+ln_ as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from t) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from t),
+g as (select doc_id, i, w[i] as word, case when i + 2 <= len(w) then array_to_string(w[i:i + 2], ' ') end as h from p),
+r as (select *, h is not null and count(*) over (partition by doc_id, h) > 1 as twice from g),
+v as (select doc_id, word, max(case when twice then 1 else 0 end) over (partition by doc_id order by i rows between 2 preceding and current row) as covered from r),
+wc as (select doc_id, count(*) as n_words, cast(sum(length(word)) as bigint) as word_chars, cast(sum(covered) as bigint) as n_repeat_words from v group by 1),
+c as (select doc_id, lang, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+   coalesce(n_repeat_words, 0) as n_repeat_words, len(regexp_extract_all(text, '[A-Z]')) as n_upper, coalesce(n_lines, 0) as n_lines,
+   coalesce(n_words, 0) < 50 or 100 * coalesce(n_repeat_words, 0) > 50 * coalesce(n_words, 0) as base_failed from t left join wc using (doc_id) left join ln_ using (doc_id)),
+st as ({stats}),
+good as (select c.doc_id, c.lang from c join (select doc_id from labels group by 1 having min(quality) = 1) using (doc_id) where not base_failed),
+n as (select lang, count(*) as n, count(*) over () as strata from good group by 1),
+grid(rule, idx, cut) as (values {grid}),
+e as (select lang, rule, idx, cut, count_if(stat >= cut) as errors from good join st using (doc_id, lang) join grid using (rule) group by all),
+b as (select lang, rule, idx, cut, n, strata, list_sum(list_transform(range(0, cast(errors as bigint) + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({LIMIT}::double) + (n - k) * ln(1 - {LIMIT}::double)))) as tail from e join n using (lang)),
+o as (select lang, rule, cut, bool_and(tail <= {LEVEL} / (strata * {len(GRIDS)})) over (partition by lang, rule order by idx) as ok from b),
+u as (select lang, rule, min(cut) as cut from o where ok group by 1, 2),
+bad as (select doc_id from st join u using (lang, rule) where stat >= cut group by 1)
+select c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.doc_id is null as kept from c left join bad using (doc_id)
+"""
+
+
+ORACLES["op6_risk_thresholds"] = _rules_sql()
