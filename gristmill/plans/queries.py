@@ -470,7 +470,7 @@ def stream_screen(spark, sf):
     raw.repartitionByRange(4, "line").sortWithinPartitions("line").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(raw.schema).parquet(f"{path}/in")
     screen_stream(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{path}/out/decisions")
+    return spark.read.schema(OUT).parquet(f"{path}/out/decisions").select("line", "state_hash", "decision", "reason")
 
 
 RUNS = [(i, f"run-{i % 5}", f"2026-01-{i + 1:02d}") for i in range(12)]

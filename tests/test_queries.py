@@ -40,3 +40,11 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True)
