@@ -29,7 +29,7 @@ def blank(c: Column) -> Column:
 
 
 def has_email(c: Column) -> Column:
-    return c.rlike(EMAIL)
+    return c.contains("@") & c.rlike(EMAIL)
 
 
 def let(value: Column, f) -> Column:
