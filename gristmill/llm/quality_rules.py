@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut
-from gristmill.llm.words import U, Words, buffers, chunks, mix, span_hashes, window_hashes
+from gristmill.llm.words import SPACE, U, Words, buffers, chunks, mix, span_hashes, window_hashes
 
 LIMIT, LEVEL = 0.02, 0.05
 _SYMBOL = np.zeros(256, bool)
@@ -40,8 +40,6 @@ def _counts(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> list[np.
         total = np.concatenate(([0], np.cumsum(mask)))
         return total[at[1:]] - total[at[:-1]]
 
-    from gristmill.llm.words import SPACE
-
     solid = ~SPACE[part]
     chars = per_doc(solid & ((part & 0xC0) != 0x80))
     # Lines: a document without bytes has none with a word, so it may be left out.
