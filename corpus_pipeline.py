@@ -33,8 +33,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest id stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gm_id")).distinct()
+    """Of each near-duplicate component (similarity 0.8 or more) the document with the smallest id stays."""
+    gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("__gm_id")).distinct()
     return docs.join(cut(gone, "copies"), docs["doc_id"].eqNullSafe(F.col("__gm_id")), "left_anti")
 
 

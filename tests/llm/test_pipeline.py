@@ -1,11 +1,12 @@
 """The pipeline stage by stage against brute force, over a small folder of tables."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 
-from tests.llm.test_documents import SCHEMA, make_rows, shingle_set
+from tests.llm.test_documents import SCHEMA, make_rows, sentence, shingle_set
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +65,36 @@ def test_empty_input(spark, folder):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_near_stage_links_from_80_percent(spark, folder):
+    """Pairs planted between 0.80 and 0.85, and one below, beside the ordinary rows."""
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    rows = [r for r in make_rows() if r[0] is not None]
+    for i, n in enumerate((100, 112, 120, 90)):  # two words of the copy differ
+        words = sentence(rng, n).split()
+        copy = list(words)
+        copy[30], copy[60] = f"other{i}a", f"other{i}b"
+        rows += [(200 + 2 * i, " ".join(words), "en", "s1", 0, True, 1, "x"), (201 + 2 * i, " ".join(copy), "en", "s1", 0, True, 1, "x")]
+    sets = {(r[0], r[1]): shingle_set(r[1]) for r in rows}
+    alike = lambda i: next(len(x & y) / len(x | y) for (a, _), x in sets.items() for (b, _), y in sets.items() if (a, b) == (i, i + 1))
+    assert all(0.80 <= alike(i) < 0.85 for i in (200, 202, 204)) and alike(206) < 0.80
+    up = {r[0]: r[0] for r in rows}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    keys = list(sets)
+    for a in range(len(keys)):
+        for b in range(a):
+            x, y = sets[keys[a]], sets[keys[b]]
+            n = len(x & y)
+            if x and y and 100 * n >= 80 * (len(x) + len(y) - n):
+                p, q = top(keys[a][0]), top(keys[b][0])
+                up[max(p, q)] = min(p, q)
+    got = P.near(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), folder)
+    assert Counter(tuple(r) for r in got.collect()) == Counter(r for r in rows if top(r[0]) == r[0])
