@@ -2,8 +2,9 @@
 
 Terms are runs of ASCII letters, digits and non-ASCII bytes, lower-cased. Document frequencies of the
 template terms are counted over all documents; any other term has frequency 0. Every line, every
-paragraph and the text as a whole is compared to every template, so a notice is found wherever it
-stands. A file named like a licence file gives its directory the licence of its text; other files
+paragraph and the text as a whole is compared to every template, and so is every window of a text
+that has as many terms as the template, or SLACK more or fewer, across line ends and comment marks.
+So a notice inside a longer line or a wrapped one is found too. Windows count from THRESHOLD on. A file named like a licence file gives its directory the licence of its text; other files
 without a notice of their own take that of the nearest directory above them that has one.
 
 Frequencies and templates are bounded by the template vocabulary. Directories are joined as distinct
@@ -24,6 +25,7 @@ from gristmill.functions.scratch import cut
 from gristmill.llm.words import U, Words, buffers, chunks, mix
 
 THRESHOLD = 0.7
+SLACK = 1
 LICENCE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([.\-_].*)?$"
 #: Licence identifiers and notices that stand for them. Fixed values.
 TEMPLATES: list[tuple[str, str]] = [
@@ -103,6 +105,7 @@ class Weights:
             for i, n in terms.items():
                 self.templates[i, t] = n * self.idf[i]
         self.templates /= np.sqrt((self.templates**2).sum(axis=0))
+        self.lengths = [sum(terms.values()) for terms in counts]
 
     def best(self, unit: np.ndarray, n_units: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest cosine of each unit to a template and that template; ``unit`` is ascending over words."""
@@ -129,6 +132,35 @@ class Weights:
             score[better], which[better] = cosine[better], t
         return score, which
 
+    def windows(self, doc: np.ndarray, n_docs: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest cosine, from THRESHOLD on, of a window of each document to a template and that template."""
+        score, which = np.zeros(n_docs), np.zeros(n_docs, np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == h
+        if not known.any():
+            return score, which
+        weight = np.where(known, self.idf[at], self.other)
+        square = np.concatenate(([0], np.cumsum(weight**2)))
+        for t, length in enumerate(self.lengths):
+            product = np.where(known, weight * self.templates[at, t], 0)
+            dot = np.concatenate(([0], np.cumsum(product)))
+            for size in range(max(1, length - SLACK), length + SLACK + 1):
+                if size > len(h):
+                    continue
+                # A repeated term only makes the norm larger, so this cosine is an upper bound.
+                bound = (THRESHOLD - 1e-6) * np.sqrt(square[size:] - square[:-size])
+                starts = np.flatnonzero((dot[size:] - dot[:-size] >= bound) & (doc[size - 1 :] == doc[: len(h) - size + 1]))
+                for lo in range(0, len(starts), 1024):
+                    begin = starts[lo : lo + 1024]
+                    span = begin[:, None] + np.arange(size)
+                    times = (h[span][:, :, None] == h[span][:, None, :]).sum(axis=2)
+                    cosine = product[span].sum(axis=1) / np.sqrt((weight[span] ** 2 * times).sum(axis=1))
+                    best = np.zeros(n_docs)
+                    np.maximum.at(best, doc[begin], np.where(cosine >= THRESHOLD, cosine, 0))
+                    better = best > score + 1e-12
+                    score[better], which[better] = best[better], t
+        return score, which
+
 
 def _scan(weights: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +197,9 @@ def _scan(weights: Weights):
                     first = order[np.concatenate(([True], owner[order][1:] != owner[order][:-1]))] if len(owner) else order
                     better = s[first] > score[owner[first]] + 1e-12
                     score[owner[first][better]], which[owner[first][better]] = s[first][better], t[first][better]
+                s, t = weights.windows(doc, n, h)
+                better = s > score + 1e-12
+                score[better], which[better] = s[better], t[better]
                 names = [TEMPLATES[t][0] if s >= THRESHOLD else None for s, t in zip(score, which, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(names, pa.string()), pa.array(np.round(score, 6))], ["doc_id", "path", "license", "score"])
 

@@ -363,3 +363,19 @@ def test_licenses(spark, docs, rows, empty):
     ])
     assert license_of_files(docs.withColumn("path", F.concat(F.lit("d/"), F.col("doc_id").cast("string")))).count() == len(rows)
     assert license_of_files(empty.withColumn("path", F.lit("x"))).count() == 0
+
+
+def test_licenses_inside_longer_and_wrapped_lines(spark):
+    from gristmill.llm.licenses import license_of_files
+
+    rng = random.Random(4)
+    prose = lambda n: sentence(rng, n)
+    files = [
+        (1, "Copyright 2024 Example Authors. Licensed under the Apache License, Version 2.0", "Apache-2.0"), (2, "This software is released under the MIT License, see LICENSE in this project for details.", "MIT"),
+        (3, f"{prose(300)} Licensed under CC BY-NC 4.0, {prose(300)}", "CC-BY-NC-4.0"), (4, f"# {prose(9)}\n# This work is licensed under the GNU\n# Lesser General Public License,\n# version 3 {prose(9)}\n# {prose(9)}", "LGPL-3.0"),
+        (5, prose(300) + " the terms of this work and of the public software", None), (6, "see the License for details", None), (7, prose(400), None), (8, "", None),
+    ]
+    files += [(10 + i, prose(50), None) for i in range(200)]
+    got = license_of_files(spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, t, _ in files], "doc_id long, path string, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == {i: x for i, _, x in files}
+    assert all(r.score > 0.99 for r in got if r.license)
