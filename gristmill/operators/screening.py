@@ -63,8 +63,8 @@ def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFram
     Order of checks: input error, content error, exact duplicate, length, cached decision, then the
     local rules or the scorer. ``cache`` has ``config_hash, state_hash, result``. A scorer maps rows
     with ``state_hash, state`` to ``state_hash, response (RESPONSE), failure``; it sees only distinct,
-    uncached states, at most ``max_requests`` of them in line order. Malformed answers are asked for
-    once more.
+    uncached states, at most ``max_requests`` of them in line order. ``max_requests`` may be None, for no
+    limit, only with ``replay_scorer``, which makes no requests. Malformed answers are asked for once more.
     """
     cfg = C.screening_config(config or {})
     rubric = C.RUBRICS[cfg["rubric"]]
@@ -85,8 +85,12 @@ def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFram
     else:
         if scorer is None:
             raise ValueError("provider scorer needs a scorer")
-        misses = df.where(open_ & ~F.col("cache_hit"))
-        asked = cut(misses.select("line", "state_hash", "state").orderBy("line").limit(cfg["max_requests"]).select("state_hash", "state"), "asked")
+        if cfg["max_requests"] is None and not getattr(scorer, "replays", False):
+            raise ValueError("max_requests may be None only for replayed answers")
+        misses = df.where(open_ & ~F.col("cache_hit")).select("line", "state_hash", "state")
+        if cfg["max_requests"] is not None:
+            misses = misses.orderBy("line").limit(cfg["max_requests"])
+        asked = cut(misses.select("state_hash", "state"), "asked")
         scored = _ask(asked, scorer, rubric, cfg["confidence"])
         df = df.join(scored, "state_hash", "left").withColumn("usage", F.when(open_ & ~F.col("cache_hit"), F.col("usage")))
         spent = _decision("review", "request_budget_exhausted", error="request_budget_exhausted", unevaluated=True, fatal=True)
@@ -138,6 +142,7 @@ def replay_scorer(answers: DataFrame) -> Scorer:
         got = rows.select("state_hash").join(answers.select("state_hash", "response"), "state_hash", "left")
         return got.select("state_hash", "response", F.when(F.col("response").isNull(), "invalid_request").alias("failure"))
 
+    score.replays = True
     return score
 
 

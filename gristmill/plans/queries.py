@@ -18,7 +18,7 @@ from gristmill.sources import strict, tables
 from gristmill.streaming.screen import OUT, screen_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SCORED = {"provider": "scorer", "max_requests": 1_000_000}
+SCORED = {"provider": "scorer", "max_requests": None}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

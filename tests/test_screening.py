@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import report
-from gristmill.operators.screening import ScorerError, cacheable, callable_scorer, screen
+from gristmill.operators.screening import ScorerError, cacheable, callable_scorer, replay_scorer, screen
 from gristmill.sources import strict
 
 
@@ -199,3 +199,18 @@ def test_gate_order(spark):
         ("keep_probability_below_threshold", None, "review"), ("reject_probability_above_threshold", None, "review"), (None, "confidence_below_threshold", "review"),
         (None, "keep_probability_below_threshold", "review"), (None, None, "reject"),
     ]
+
+
+def test_replayed_answers_have_no_budget(spark, tmp_path):
+    from gristmill.operators.gates import RESPONSE
+    from gristmill.plans.queries import SCORED
+
+    raw = load(spark, tmp_path, lines({"text": "the first record"}, {"text": "the second record"}, {"text": "the third record"}))
+    states = [r.state_hash for r in screen(raw).select("state_hash").collect()]
+    answers = spark.createDataFrame([(h, json.dumps(answer(0.95))) for h in states], "state_hash string, j string").select("state_hash", F.from_json("j", RESPONSE).alias("response"))
+    reasons = lambda **k: [r.result.reason for r in screen(raw, SCORED | k, scorer=replay_scorer(answers)).orderBy("line").collect()]
+    assert SCORED["max_requests"] is None and reasons() == ["scorer_decision"] * 3
+    assert reasons(max_requests=2) == ["scorer_decision"] * 2 + ["request_budget_exhausted"]
+    for bad in (None, 0, 1_000_001):
+        with pytest.raises(ValueError):
+            screen(raw, {"provider": "scorer", "max_requests": bad}, scorer=callable_scorer(lambda s: answer()))
