@@ -1,9 +1,11 @@
 """Vectorised word work on Arrow text buffers.
 
 A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. UTF-8 never uses those bytes inside a
-character, so words of bytes and words of characters are the same. Hashes are polynomials over
-2**64 with random byte values and an odd base, taken from prefix sums, then mixed; everything runs
-on whole chunks of documents at once.
+character, so words of bytes and words of characters are the same. A chunk's words are dictionary
+encoded: the codes tell words apart exactly inside the chunk, and each different word is hashed once
+with XXH3-128. Hashes of word sequences join those of their halves through a finaliser, so no two
+sequences collide by an identity of the hash. Hashes only ever propose: operators that remove or
+link text compare real words, by codes or bytes, before they do.
 """
 
 from __future__ import annotations
@@ -12,17 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_128_digest
 
 U = np.uint64
 CHUNK = 1 << 20
-_rng = np.random.Generator(np.random.PCG64(0x5EED))
-BYTE_VALUES = _rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | U(1)
-BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
+PHI = U(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,24 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``BASES[lane]**i`` and its inverses for i up to n; tables are kept up to a few MB."""
-    have = _powers.get(lane)
-    if have is None or len(have[0]) <= n:
-        size = max(CHUNK + 1, n + 1)
-        base = int(BASES[lane])
-        inverse = pow(base, -1, 1 << 64)
-        both = []
-        for b in (base, inverse):
-            t = np.full(size, U(b))
-            t[0] = 1
-            both.append(np.multiply.accumulate(t))
-        have = (both[0], both[1])
-        if size <= 4 * CHUNK:
-            _powers[lane] = have
-    return have
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets (one more than rows) and bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -84,6 +66,34 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         lo = hi
 
 
+def spans_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte ranges, in order and without overlap, as a binary array."""
+    n = len(data)
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    inside = np.cumsum(edge[:n], dtype=np.int8).astype(bool)
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    wide = offsets[-1] > 0x7FFFFFFF
+    kind, width = (pa.large_binary(), np.int64) if wide else (pa.binary(), np.int32)
+    return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(data[inside])])
+
+
+def span_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of byte ranges, equal exactly where the bytes are, and the two 64-bit hash lanes of each code."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+    coded = spans_of(data, starts, ends).dictionary_encode()
+    lanes = np.frombuffer(b"".join(map(xxh3_128_digest, coded.dictionary.to_pylist())), np.uint64).reshape(-1, 2)
+    return coded.indices.to_numpy().astype(np.int64), lanes
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range; ranges are in order and do not overlap."""
+    codes, lanes = span_lanes(data, starts, ends)
+    return lanes[codes, 0]
+
+
 class Words:
     """Words of some documents: byte ranges, and ``first[i]:first[i+1]`` are those of document i."""
 
@@ -106,67 +116,111 @@ class Words:
             self.starts = np.flatnonzero(begins)
             self.ends = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
+        self._coded: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def _lanes(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._coded is None:
+            self._coded = span_lanes(self.data, self.starts, self.ends)
+        return self._coded
+
+    def codes(self) -> np.ndarray:
+        """Numbers that are equal exactly where words are, within these documents."""
+        return self._lanes()[0]
+
     def hashes(self, lane: int = 0) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends, lane)
+        codes, lanes = self._lanes()
+        return lanes[codes, lane]
 
+    def canonical(self) -> pa.Array:
+        """Each document's words joined by one space."""
+        data, gap = self.data, np.ones(len(self.starts), np.int64)
+        gap[self.first[1:][self.counts > 0] - 1] = 0  # none after a document's last word
+        size = self.ends - self.starts
+        at = np.concatenate(([0], np.cumsum(size + gap)))
+        out = np.full(int(at[-1]), 32, np.uint8)
+        edge = np.zeros(len(out) + 1, np.int8)
+        edge[at[:-1]] += 1
+        edge[at[:-1] + size] -= 1
+        out[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)] = data[~SPACE[data]]
+        return pa.Array.from_buffers(pa.large_binary(), len(self.offsets) - 1, [None, pa.py_buffer(at[self.first].astype(np.int64)), pa.py_buffer(out)])
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A mixed 64-bit hash of each byte range; ranges are in order and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    lo, n = 0, len(starts)
-    while lo < n:
-        hi = min(max(int(np.searchsorted(ends, starts[lo] + CHUNK, "right")), lo + 1), n)
-        a, b = int(starts[lo]), int(ends[hi - 1])
-        forth, back = powers(lane, b - a)
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[lane][data[a:b]] * forth[: b - a], out=total[1:])
-        s, e = starts[lo:hi] - a, ends[lo:hi] - a
-        out[lo:hi] = mix((total[e] - total[s]) * back[s] + U(0x632BE59BD9B4E019) * (e - s).astype(np.uint64))
-        lo = hi
-    return out
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a + mix(b ^ U(0xD6E8FEB86659FD93)) * PHI)
 
-def window_hashes(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
-    """A mixed hash of each k consecutive entries of h, as if h were one document."""
+
+def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive entries of h, as if h were one document; by doubling."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    step = max(CHUNK - k, k)
-    for lo in range(0, n, step):
-        hi = min(lo + step, n)
-        part = h[lo : hi + k - 1]
-        forth, back = powers(lane, len(part))
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * forth[: len(part)], out=total[1:])
-        out[lo:hi] = mix((total[k:] - total[:-k]) * back[: hi - lo])
-    return out
+    span, level, out, have = 1, h, None, 0
+    while True:
+        if k & span:
+            part = level[have : have + n]
+            out = part if out is None else _pair(out, part)
+            have += span
+        if span * 2 > k:
+            return mix(out)
+        level = _pair(level[:-span], level[span:])
+        span *= 2
 
 
-def shingles(words: Words, k: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-word shingles of each document, repeated ones too, and where each document's begin.
+def _number(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers that are equal exactly where the pairs (a, b) are; a and b are below 2**31."""
+    return np.unique(a << 32 | b, return_inverse=True)[1].astype(np.int64)
 
-    A document of fewer words has its whole sequence as one shingle; one without words has none.
-    """
-    h, counts = words.hashes(lane), words.counts
-    whole = window_hashes(h, k, lane)
+
+def window_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of k consecutive codes that are equal exactly where the sequences are; by doubling."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    span, level, out, have = 1, codes, None, 0
+    while True:
+        if k & span:
+            part = level[have : have + n]
+            out = part if out is None else _number(out, part)
+            have += span
+        if span * 2 > k:
+            return out
+        level = _number(level[:-span], level[span:])
+        span *= 2
+
+
+def _shingles(words: Words, k: int, flat: np.ndarray, window, short) -> tuple[np.ndarray, np.ndarray]:
+    counts = words.counts
+    whole = window(flat, k)
     n_out = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
     first = np.concatenate(([0], np.cumsum(n_out)))
     doc = np.repeat(np.arange(len(counts)), n_out)
     at = words.first[:-1][doc] + (np.arange(first[-1]) - first[:-1][doc])
-    out = np.zeros(first[-1], np.uint64)
+    out = np.zeros(first[-1], flat.dtype)
     full = counts[doc] >= k
     out[full] = whole[at[full]]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
-        out[first[i]] = window_hashes(h[words.first[i] : words.first[i + 1]], int(counts[i]), lane)[0] ^ U(int(counts[i]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        out[first[i]] = short(flat[words.first[i] : words.first[i + 1]])
     return out, first
 
 
+def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all k-word shingles of each document, repeated ones too, and where each document's begin.
+
+    A document of fewer words has its whole sequence as one shingle; one without words has none.
+    """
+    return _shingles(words, k, words.hashes(), window_hashes, lambda h: window_hashes(h, len(h))[0] ^ U(len(h) * int(PHI) & (1 << 64) - 1))
+
+
+def shingle_codes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` with numbers that are equal exactly where the word sequences are, within these documents."""
+    seen: dict[bytes, int] = {}
+    return _shingles(words, k, words.codes(), window_codes, lambda c: -1 - seen.setdefault(c.tobytes(), len(seen)))
+
+
 def distinct_sorted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct values of each document's part of h."""
     parts, sizes = [], np.zeros(len(first) - 1, np.int64)
@@ -187,12 +241,19 @@ def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def range_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
-    """A mixed hash of h[s:e] for each given range, which may overlap; the length counts too."""
-    forth, back = powers(lane, len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * forth[: len(h)], out=total[1:])
-    return mix((total[ends] - total[starts]) * back[starts] + U(0x632BE59BD9B4E019) * (ends - starts).astype(np.uint64))
+def range_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of h[s:e] for each given range of one entry or more, which may overlap; the length counts too."""
+    size = ends - starts
+    depth = np.frexp(size)[1] - 1  # two windows of 2**depth entries cover a range
+    out, level, span = np.zeros(len(starts), np.uint64), h, 1
+    for d in range(int(depth.max()) + 1 if len(depth) else 0):
+        here = np.flatnonzero(depth == d)
+        out[here] = _pair(level[starts[here]] + size[here].astype(np.uint64) * PHI, level[ends[here] - span])
+        if len(level) <= span:
+            break
+        level = _pair(level[:-span], level[span:])
+        span *= 2
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

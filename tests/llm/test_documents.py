@@ -95,7 +95,8 @@ def test_near_duplicates(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_in_one_large_bucket(spark):
+@pytest.mark.parametrize("how", [{}, {"block_members": 40}, {"block_members": 40, "hot": 3}])
+def test_near_duplicates_in_one_large_bucket(spark, how):
     """A chain of close texts and a crowd below the limit share buckets: links are found, others not."""
     from gristmill.llm.near_dedup import near_duplicates
 
@@ -121,11 +122,33 @@ def test_near_duplicates_in_one_large_bucket(spark):
             if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
                 x, y = top(a), top(b)
                 up[max(x, y)] = min(x, y)
-    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
     assert got == {i: top(i) for i in range(500)}
     assert len(set(got.values())) > 5
 
 
+def thue_morse(n):
+    """Two complementary sequences of 2**n symbols, alike under any polynomial with an odd base modulo a power of two."""
+    x = [0]
+    for _ in range(n):
+        x += [1 - v for v in x]
+    return x, [1 - v for v in x]
+
+
+def test_words_and_sequences_made_to_collide_stay_apart(spark):
+    from gristmill.llm.near_dedup import near_duplicates
+    from gristmill.llm.substring_dedup import remove_repeated_spans
+
+    long_words = ["".join("ab"[v] for v in x) for x in thue_morse(10)]
+    runs = [" ".join(("left", "right")[v] for v in x) for x in thue_morse(10)]
+    rows = [(1, long_words[0]), (2, long_words[1]), (3, runs[0]), (4, runs[1])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.kept for r in near_duplicates(table).collect() if r.doc_id < 3)
+    passage = sentence(random.Random(3), 120)
+    pair = spark.createDataFrame([(1, f"{passage} {long_words[0]}"), (2, f"{passage} {long_words[1]}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in remove_repeated_spans(pair).collect()} == {1: 0, 2: 120}
+
+
 def test_sketch_fills_every_coordinate_and_tracks_similarity():
     import numpy as np
 
