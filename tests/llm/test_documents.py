@@ -402,3 +402,47 @@ def test_licenses_inside_longer_and_wrapped_lines(spark):
     got = license_of_files(spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, t, _ in files], "doc_id long, path string, text string")).collect()
     assert {r.doc_id: r.license for r in got} == {i: x for i, _, x in files}
     assert all(r.score > 0.99 for r in got if r.license)
+
+
+def test_exact_duplicates_of_one_partition_read_back_in_splits(spark, tmp_path):
+    """Equal texts meet although their one run comes back in several splits."""
+    from gristmill.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+
+    conf = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", "65536")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.pmod(F.col("id"), F.lit(15_000)).cast("string")).alias("text")).coalesce(1)
+        got = exact_duplicates(df).groupBy("kept", "group_size", (F.col("keep_id") < 15_000).alias("low")).count().collect()
+        assert {tuple(r) for r in got} == {(True, 2, True, 15_000), (False, 2, True, 15_000)}
+        assert drop_exact_duplicates(df).count() == 15_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+
+
+def test_runs_merge_like_a_sort():
+    import numpy as np
+
+    from gristmill.llm.exact_dedup import Run, merge_runs
+
+    rng = np.random.default_rng(1)
+    expected, runs = {}, []
+    for _ in range(7):
+        n = int(rng.integers(0, 60))
+        words = rng.integers(0, 3, (n, 4)).astype(np.uint64)
+        known = rng.random(n) < 0.8
+        rest = np.stack([rng.integers(0, 2, n), rng.integers(0, 2, n), np.where(known, rng.integers(0, 50, n), np.iinfo(np.int64).max), rng.integers(0, 9, n), np.ones(n, np.int64)], axis=1)
+        for w, r, k in zip(words.tolist(), rest.tolist(), known.tolist(), strict=True):
+            key = (*w, *r[:2])
+            least, count = expected.get(key, ((True, 0, 0), 0))
+            one = (not k, r[2], r[3])
+            expected[key] = (min(least, one) if count else one, count + 1)
+        run = Run(words, rest, known)
+        runs.append(run.take(run.order()).distinct())
+    out = merge_runs(runs)
+    got = [(*w, *r[:2], (not k, r[2], r[3]), r[4]) for w, r, k in zip(out.words.tolist(), out.rest.tolist(), out.known.tolist(), strict=True)]
+    assert got == [(*k, *v) for k, v in sorted(expected.items())]
