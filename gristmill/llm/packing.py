@@ -15,7 +15,6 @@ Only piece coordinates and checksums move; texts and ids stay in the task that r
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,12 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut
+from gristmill.llm.words import SPACE, buffers, chunks
 
-CAPACITY, SLACK = 1024, 12
-_SAFE = re.compile(r"(?<=\S) ")
-_UNSAFE = re.compile(r"\s ")
-
-
+CAPACITY, SLACK, TEXT_BYTES = 1024, 12, 4 << 20
 @lru_cache(maxsize=4096)
 def cut_lengths(rest: int, capacity: int = CAPACITY, slack: int = SLACK) -> tuple[int, ...]:
     """How a rest shorter than the capacity is cut."""
@@ -46,58 +42,104 @@ def cut_lengths(rest: int, capacity: int = CAPACITY, slack: int = SLACK) -> tupl
     return tuple(out)
 
 
+def _may_be_space(data: np.ndarray) -> np.ndarray:
+    """Bytes that end a character of Unicode white space, or look like it."""
+    out = SPACE[data] | ((data >= 0x1C) & (data <= 0x1F))
+    if len(data) > 1:
+        before, last = data[:-1], data[1:]
+        out[1:] |= (before == 0xC2) & ((last == 0x85) | (last == 0xA0))
+    if len(data) > 2:
+        a, b, c = data[:-2], data[1:-1], data[2:]
+        out[2:] |= ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xE1) & ((b == 0x9A) | (b == 0xA0)))
+    return out
+
+
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
     Ids are those of ``tokenizers`` for the vocabulary at ``json_path``. Byte-level BPE never merges
-    over a space that follows a solid character, so a text is encoded word by word with a cache of
-    bounded size; missing words go through the same vocabulary as ranks, which is several times as
-    fast and gives the same ids. Texts that spell a special token go to ``tokenizers`` whole.
+    over a space that follows a solid character, so a chunk of texts is cut before such spaces, its
+    pieces are dictionary encoded and each different piece is encoded once. Pieces go through the
+    same vocabulary as ranks, joined to one text and told apart again by their lengths in bytes; that
+    the ids are those of ``tokenizers`` is what the tests compare, text by text. Texts that spell a
+    special token go to ``tokenizers`` whole.
     """
 
-    LIMIT, LONG = 200_000, 48
-
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.slow.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(x) for x in ranks]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _plain(self, text: str) -> bytes:
+    def _alone(self, piece: bytes) -> np.ndarray:
         try:
-            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+            return np.array(self.fast.encode_ordinary(piece.decode()), "<u4")
         except Exception:  # noqa: BLE001  its pattern engine gives up on some very long runs
-            return self._whole(text)
-
-    def _word(self, word: str) -> bytes:
-        got = self.old.get(word)
-        if got is None:
-            got = self._plain(" " + word)
-            if len(word) > self.LONG:
-                return got
-        if len(self.new) >= self.LIMIT:
-            self.old, self.new = self.new, {}
-        self.new[word] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        words = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
-        found = list(map(self.new.get, words[1:]))
-        if None in found:
-            word = self._word
-            found = [word(w) if b is None else b for w, b in zip(words[1:], found, strict=True)]
-        return self._plain(words[0]) + b"".join(found)
+            return np.frombuffer(self._whole(piece.decode()), "<u4")
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces, how many each has and where they begin."""
+        offsets, data = buffers(pieces)
+        head, tail = data[offsets[:-1]], _may_be_space(data)[offsets[1:] - 1]
+        joined = (head == 32) & ~tail  # pieces that meet like this are cut apart by the pattern too
+        parts: list[np.ndarray] = [np.zeros(0, "<u4")]
+        size = np.zeros(len(pieces), np.int64)
+        order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
+        raw = pieces.take(pa.array(order[: joined.sum()]))
+        try:
+            ids = self.fast.encode_to_numpy(b"".join(raw.to_pylist()).decode(), disallowed_special=())
+            ends = np.concatenate(([0], np.cumsum(self.bytes_of[ids])))
+            edges = np.concatenate(([0], np.cumsum(np.diff(offsets)[joined])))
+            size[joined] = np.diff(np.searchsorted(ends, edges))
+            parts.append(ids)
+            alone = order[joined.sum() :]
+        except Exception:  # noqa: BLE001  as above
+            alone = order
+        for i in alone:
+            parts.append(self._alone(pieces[int(i)].as_py()))
+            size[i] = len(parts[-1])
+        ordered = size[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(ordered) - ordered
+        return np.concatenate(parts).astype("<u4"), size, place
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a chunk, ``end`` after each, and where each text's begin."""
+        n, at = len(offsets) - 1, offsets - offsets[0]
+        cuts = np.zeros(len(data) + 1, bool)
+        if len(data):
+            cuts[1:-1] = (data[1:] == 32) & ~_may_be_space(data)[:-1]
+        cuts[at] = True
+        edges = np.flatnonzero(cuts)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        flat, size, place = self._pieces(pieces.dictionary)
+        flat, place, size = np.append(flat, np.uint32(end)), np.append(place, len(flat)), np.append(size, 1)
+        # An end id closes each text: it is the piece after the text's last.
+        last = np.searchsorted(edges[:-1], at[1:])
+        codes = np.insert(pieces.indices.to_numpy().astype(np.int64), last, len(size) - 1)
+        long = size[codes]
+        total = np.concatenate(([0], np.cumsum(long)))
+        out = flat[np.arange(total[-1]) + np.repeat(place[codes] - total[:-1], long)]
+        closing = last + np.arange(n)
+        first = np.concatenate(([0], total[closing + 1]))
+        raw = data.tobytes() if self.special else b""
+        if any(s in raw for s in self.special):
+            texts = [raw[at[i] : at[i + 1]] for i in range(n)]
+            parts = [out[first[i] : first[i + 1]] for i in range(n)]
+            for i, text in enumerate(texts):
+                if any(s in text for s in self.special):
+                    parts[i] = np.frombuffer(self._whole(text.decode()) + np.array([end], "<u4").tobytes(), "<u4")
+            out, first = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return out, first
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -108,23 +150,23 @@ def _pieces(json_path: str, ranks_path: str, pattern: str, end_id: int, capacity
         key = (json_path, ranks_path, pattern)
         if key not in _encoders:
             _encoders[key] = Encoder(*key)
-        encode, end = _encoders[key].encode, np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            offsets, data = buffers(batch.column(1))
+            for lo, hi in chunks(offsets, TEXT_BYTES):
+                part = batch.slice(lo, hi - lo)
+                ids, first = _encoders[key].encode(offsets[lo : hi + 1], data[offsets[lo] : offsets[hi]], end_id)
+                raw = memoryview(np.ascontiguousarray(ids, "<u4").tobytes())
                 row, start, length, crc, total = [], [], [], [], []
-                for i, text in enumerate(part.column(1)):
-                    ids = memoryview(encode(text.as_py() or "") + end)
-                    n, at = len(ids) // 4, 0
-                    lengths = [capacity] * (n // capacity)
-                    lengths += cut_lengths(n % capacity, capacity)
+                for i, (s, e) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    n, at = e - s, 0
+                    lengths = (capacity,) * (n // capacity) + cut_lengths(n % capacity, capacity)
                     for size in lengths:
-                        row.append(i)
                         start.append(at)
-                        length.append(size)
-                        crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
+                        crc.append(zlib.crc32(raw[4 * (s + at) : 4 * (s + at + size)]))
                         at += size
+                    row += [i] * len(lengths)
+                    length += lengths
                     total += [n] * len(lengths)
                 lengths = np.array(length, np.int64)
                 order = np.argsort(lengths, kind="stable")
