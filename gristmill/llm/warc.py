@@ -1,20 +1,28 @@
 """WARC archives: writing with revisits and segments, reading, reassembly.
 
 Writing: a row becomes one record, or a first record and continuations when its block is larger than
-a segment. Records go out through Spark's text writer with CRLF CRLF as line end, which is exactly
-the end of a WARC record, so files reach any store Spark writes to and survive lost tasks.
-
-Reading: files are parsed by Content-Length. Segments of one origin meet by their origin id, in order
-of segment number; the total length is verified, chunked transfer framing is decoded, and the payload
-is checked against its digest. One payload is the most a task holds beyond its batch.
+a segment. Every record is a gzip member of its own, so archives can be sought by member. Members go
+out through Spark's text writer, whose line end is an empty gzip member; so files reach any store
+Spark writes to and survive lost tasks.
+
+Reading: archives are inflated and parsed piece by piece by Content-Length; a task holds one archive
+as stored (below 2 GB, Spark's limit for a binary file) and one record. A record whose header has no
+valid length is reported as ``invalid`` and reading goes on at the next record line.
+
+Segments of one origin meet by their origin id, in order of segment number; the total length is
+verified, chunked transfer framing is decoded, and the payload is checked against its digest (SHA-256
+or SHA-1; others are not checked). Numbers that are none, records cut short and different segments
+of one number make the payload incomplete. One payload is the most a task holds beyond its batch.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,6 +35,18 @@ SEGMENT, CHUNK, LEAST_REVISIT, FILE_RECORDS = 16 << 10, 4096, 100, 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, type string, uri string, page_id long, refers_to long, digest string, origin string, segment int, total long, block binary"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
+STEP, HEADER, BAD = 1 << 20, 1 << 20, (1 << 31) - 1  # BAD: a segment number that cannot be
+_SIZE = re.compile(rb"[0-9A-Fa-f]{1,15}")
+_WHOLE = re.compile(r"[0-9]{1,18}")
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member; the same bytes give the same member."""
+    z = zlib.compressobj(5, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+EMPTY_MEMBER = member(b"")
 
 
 def record_id(page_id: int | None, place: str) -> str:
@@ -39,20 +59,18 @@ def chunked(payload: bytes, size: int = CHUNK) -> bytes:
 
 
 def dechunked(body: bytes) -> bytes | None:
-    """The payload of a chunked body; None if its framing is broken or ends early."""
+    """The payload of a chunked body; None if its framing is broken or ends before its closing line."""
     out, at = [], 0
     while True:
         end = body.find(b"\r\n", at)
-        if end < 0:
-            return None
-        try:
-            size = int(body[at:end].split(b";")[0].strip(), 16)
-        except ValueError:
+        if end < 0 or not _SIZE.fullmatch(text := body[at:end].split(b";")[0].strip(b" \t")):
             return None
+        size, at = int(text, 16), end + 2
         if size == 0:
-            return b"".join(out)
-        at = end + 2
-        if size < 0 or at + size + 2 > len(body) or body[at + size : at + size + 2] != b"\r\n":
+            while (end := body.find(b"\r\n", at)) > at:  # trailer fields
+                at = end + 2
+            return b"".join(out) if end == at and end + 2 == len(body) else None
+        if at + size + 2 > len(body) or body[at + size : at + size + 2] != b"\r\n":
             return None
         out.append(body[at : at + size])
         at += size + 2
@@ -63,9 +81,9 @@ def _one_line(value: str) -> str:
 
 
 def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
-    """A record without its closing CRLF CRLF, which the writer adds."""
+    """A record as a gzip member."""
     head = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
-    return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block
+    return member(f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
 
 
 def _records(segment: int):
@@ -110,45 +128,109 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     revisit = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     full = full.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), "first_page")
     out = full.mapInArrow(_records(segment), "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    out.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def _inflate(data: bytes) -> bytes:
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of an archive in pieces; a broken gzip stream ends it."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
+        yield from (data[i : i + STEP] for i in range(0, len(data), STEP))
+        return
+    rest = memoryview(data)
+    while len(rest):
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data
-    return b"".join(out)
-
-
-def parse_records(data: bytes) -> Iterator[tuple]:
-    """The records of an archive's bytes as tuples in the order of RECORD; stops at a broken header."""
-    at = 0
-    while at < len(data):
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
+        while not z.eof:
+            try:
+                piece = z.decompress(rest, STEP)
+            except zlib.error:
+                return
+            rest = memoryview(z.unused_data if z.eof else z.unconsumed_tail)
+            if piece:
+                yield piece
+            elif not len(rest) and not z.eof:
+                return
+
+
+class _Stream:
+    """Bytes of an archive, as many as are asked for at a time."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.held, self.at = iter(pieces), bytearray(), 0
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        if self.at > STEP:
+            del self.held[: self.at]
+            self.at = 0
+        self.held += piece
+        return True
+
+    def reach(self, n: int) -> int:
+        """How many of the next n bytes there are."""
+        while len(self.held) - self.at < n and self.more():
+            pass
+        return min(n, len(self.held) - self.at)
+
+    def find(self, what: bytes, limit: int) -> int:
+        """Bytes before the next ``what``, -1 if it does not come within the limit."""
+        seen = 0
+        while True:
+            found = self.held.find(what, self.at + max(0, seen - len(what)))
+            if found >= 0:
+                return found - self.at
+            seen = len(self.held) - self.at
+            if seen > limit or not self.more():
+                return -1
+
+    def take(self, n: int) -> bytes:
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += len(out)
+        return out
+
+
+def _number(text: str | None, low: int, high: int, bad: int | None) -> int | None:
+    if text is None:
+        return None
+    return int(text) if _WHOLE.fullmatch(text) and low <= int(text) <= high else bad
+
+
+def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple]:
+    """The records of an archive's content as tuples in the order of RECORD."""
+    s = _Stream(pieces)
+    while True:
+        while s.reach(2) == 2 and s.held[s.at : s.at + 2] == b"\r\n":
+            s.take(2)
+        if not s.reach(1):
             return
-        fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        end = s.find(b"\r\n\r\n", HEADER)
+        head = s.take(end if end >= 0 else 0)
+        fields: dict[str, str] = {}
+        for line in head.split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
-            fields[k.strip().lower()] = v.strip().decode("utf-8", "replace")
-        try:
-            size = int(fields.get(b"content-length", ""))
-        except ValueError:
-            return
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        number, page, total = fields.get(b"warc-segment-number"), fields.get(b"x-page-id"), fields.get(b"warc-segment-total-length")
-        refers = fields.get(b"x-refers-to-page-id")
+            fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+        size = _number(fields.get("content-length"), 0, 1 << 40, None)
+        valid = head[:5] == b"WARC/" and size is not None
+        if valid:
+            s.take(4)
+            block = s.take(s.reach(size))
+            kind, segment = fields.get("warc-type"), _number(fields.get("warc-segment-number"), 1, BAD - 1, BAD)
+            if len(block) < size:
+                segment = BAD
+        else:
+            kind, segment, block = "invalid", BAD, b""
+        page = lambda name: _number(fields.get(name), 0, (1 << 63) - 1, None)
+        total = _number(fields.get("warc-segment-total-length"), 0, 1 << 50, -1)
         yield (
-            fields.get(b"warc-record-id"), fields.get(b"warc-type"), fields.get(b"warc-target-uri"), int(page) if page else None, int(refers) if refers else None,
-            (fields.get(b"warc-payload-digest") or "").removeprefix("sha256:") or None, fields.get(b"warc-segment-origin-id"), int(number) if number else None, int(total) if total else None, block,
+            fields.get("warc-record-id"), kind, fields.get("warc-target-uri"), page("x-page-id"), page("x-refers-to-page-id"),
+            (fields.get("warc-payload-digest") or "").removeprefix("sha256:") or None, fields.get("warc-segment-origin-id"), segment, total, block,
         )
+        if not valid:
+            next_ = s.find(b"\r\n\r\nWARC/", 1 << 62)
+            if next_ < 0:
+                return
+            s.take(next_ + 4)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +238,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows, size = [], 0
-            for r in parse_records(_inflate(content.as_py())):
+            for r in parse_records(inflated(content.as_py())):
                 rows.append(r)
                 size += len(r[-1])
                 if size > 4 << 20:
@@ -171,6 +253,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORD)
 
 
+def _agrees(digest: str, payload: bytes) -> bool:
+    """Whether a payload has the digest; algorithms other than SHA-256 and SHA-1 are taken on trust."""
+    name, sep, value = digest.partition(":")
+    if not sep:
+        return hashlib.sha256(payload).hexdigest() == digest.lower()
+    if name.lower() == "sha1":
+        own = hashlib.sha1(payload)
+        return value.lower() in (own.hexdigest(), base64.b32encode(own.digest()).decode().lower())
+    return True
+
+
 PAYLOAD = "record_id string, type string, uri string, page_id long, refers_to long, digest string, complete boolean, payload binary"
 
 
@@ -199,7 +292,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payload = dechunked(body)
             whole = whole and payload is not None
         if whole and head["digest"] and head["type"] == "response":
-            whole = hashlib.sha256(payload).hexdigest() == head["digest"]
+            whole = _agrees(head["digest"], payload)
         keep = payload if whole and head["type"] == "response" else None
         out.append((head["record_id"], head["type"], head["uri"], head["page_id"], head["refers_to"], head["digest"], whole, keep))
         size += len(keep or b"")
@@ -216,8 +309,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             r = {n: batch.column(j)[i].as_py() for j, n in enumerate(NAMES)}
             same = held and r["type"] == "continuation" and r["origin"] in (held[0]["record_id"], held[0]["origin"])
-            if same and r["segment"] == held[-1]["segment"]:
-                continue  # a repeated segment
+            again = held and r["record_id"] == held[0]["record_id"] and len(held) == 1
+            if (same or again) and all(r[k] == held[-1][k] for k in ("segment", "total", "block")):
+                continue  # a repeated record; a different one of the same number breaks the count
             if not same:
                 close()
             held.append(r)
@@ -234,9 +328,9 @@ def reassemble(records: DataFrame) -> DataFrame:
     ``complete``: numbers run from 1 without gap, lengths sum to the stated total, framing decodes and
     the digest agrees. ``payload`` is null for revisits and for anything incomplete.
     """
-    single = records.where("segment is null and type != 'continuation'").mapInArrow(_joined, PAYLOAD)
-    parts = records.where("segment is not null or type = 'continuation'").withColumn("_at", F.coalesce("origin", "record_id"))
-    parts = parts.repartition("_at").sortWithinPartitions("_at", "segment", F.col("type") == "continuation").select(*NAMES)
+    single = records.where("segment is null and not type <=> 'continuation'").mapInArrow(_joined, PAYLOAD)
+    parts = records.where("segment is not null or type <=> 'continuation'").withColumn("_at", F.coalesce("origin", "record_id"))
+    parts = parts.repartition("_at").sortWithinPartitions("_at", F.col("type") == "continuation", "segment").select(*NAMES)
     return single.unionByName(parts.mapInArrow(_joined, PAYLOAD))
 
 

@@ -59,4 +59,66 @@ def test_chunked_framing():
     for n in (0, 1, 4096, 10_000):
         assert dechunked(chunked(b"x\r\n" * n)) == b"x\r\n" * n
     assert dechunked(b"5;ext=1\r\nabcde\r\n0\r\n\r\n") == b"abcde"
+    assert dechunked(b"5\r\nabcde\r\n0\r\nX-A: 1\r\n\r\n") == b"abcde"
+    for body in (b"0x5\r\nabcde\r\n0\r\n\r\n", b"1_0\r\n" + b"a" * 16 + b"\r\n0\r\n\r\n", b"-1\r\n\r\n", b"5\r\nabcde\r\n0\r\n", b"5\r\nabcde\r\n0\r\n\r\nx", b"+5\r\nabcde\r\n0\r\n\r\n"):
+        assert dechunked(body) is None
     assert dechunked(b"5\r\nabc") is None and dechunked(b"zz\r\n") is None and dechunked(b"") is None
+
+
+def record(block: bytes, length=None, **fields):
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+    return f"WARC/1.1\r\n{head}Content-Length: {len(block) if length is None else length}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\n\r\n"
+
+
+def test_malformed_headers_end_in_incomplete_records(spark, tmp_path):
+    from gristmill.llm.warc import member, read_warc, reassemble
+
+    good = record(HTTP + b"fine", WARC_Type="response", WARC_Record_ID="<good>")
+    bad = [
+        record(HTTP + b"x", -54, WARC_Type="response", WARC_Record_ID="<negative>"), record(HTTP + b"x", "many", WARC_Type="response", WARC_Record_ID="<words>"),
+        record(HTTP + b"x", WARC_Type="response", WARC_Record_ID="<segment>", WARC_Segment_Number="first"), b"GARBAGE\r\n\r\n",
+        record(HTTP + b"x", WARC_Type="continuation", WARC_Record_ID="<total>", WARC_Segment_Origin_ID="<none>", WARC_Segment_Number=2, WARC_Segment_Total_Length="1e3"),
+        record(HTTP + b"x", WARC_Type="response", WARC_Record_ID="<digest>", WARC_Payload_Digest="sha1:AAAA"),
+    ]
+    odd = record(HTTP + b"x", WARC_Type="response", WARC_Record_ID="<page>", X_Page_ID="abc")
+    body = b"".join(x + good.replace(b"<good>", b"<good%d>" % i) for i, x in enumerate([*bad, odd]))
+    short = record(HTTP + b"cut", 5000, WARC_Type="response", WARC_Record_ID="<short>")
+    for name, data in (("plain", body + short), ("whole", member(body + short)), ("members", b"".join(member(x) for x in [*bad, odd, short]) + member(good)), ("torn", member(body)[:-20])):
+        path = tmp_path / f"{name}.warc"
+        path.write_bytes(data)
+        got = reassemble(read_warc(spark, f"file://{path}")).collect()
+        assert all((r.payload is not None) == r.complete for r in got)
+        if name in ("plain", "whole"):
+            assert {r.record_id for r in got if r.complete} == {"<page>", *(f"<good{i}>" for i in range(len(bad) + 1))}
+            assert sum(not r.complete for r in got) == len(bad) + 1
+
+
+def test_segments_of_one_number_must_agree(spark):
+    from gristmill.llm.warc import RECORD, reassemble
+
+    first = ("<a>", "response", None, 1, None, None, None, 1, None, HTTP + b"one ")
+    second = ("<b>", "continuation", None, 1, None, None, "<a>", 2, len(HTTP) + 7, b"two")
+    other = ("<c>", "continuation", None, 1, None, None, "<a>", 2, len(HTTP) + 7, b"TWO")
+    for rows, payload in (([second, first], b"one two"), ([first, second, second, first], b"one two"), ([first, second, other], None)):
+        got = reassemble(spark.createDataFrame(rows, RECORD)).collect()
+        assert [r.payload for r in got] == [payload]
+
+
+def test_records_are_gzip_members(spark):
+    import zlib
+
+    from gristmill.llm.warc import write_warc
+
+    path = new_path(spark, "warc")
+    write_warc(spark.createDataFrame(pages(), SCHEMA).coalesce(1), path)
+    data = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect())
+    members = []
+    while data:
+        z = zlib.decompressobj(31)
+        members.append(z.decompress(data))
+        data = z.unused_data
+    full = [m for m in members if m]
+    assert len(full) > len(pages()) and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in full)
