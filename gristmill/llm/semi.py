@@ -10,12 +10,16 @@ from gristmill.functions.scratch import cut
 SLOTS = 1 << 26  # bits; at most SLOTS / 64 rows of two longs are broadcast
 
 
-def _bits(ids: DataFrame, id_col: str) -> DataFrame:
-    slot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SLOTS))
-    bits = ids.where(F.col(id_col).isNotNull()).select(slot.alias("__gm_slot"))
+def bits_of(ids: DataFrame, slot: Column) -> DataFrame:
+    """Words of 64 bits of the slots that occur: at most SLOTS / 64 rows ``__gm_cell, __gm_bits``."""
+    bits = ids.select(slot.alias("__gm_slot"))
     return bits.groupBy(F.shiftright("__gm_slot", 6).alias("__gm_cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__gm_slot % 64 as int))")).alias("__gm_bits"))
 
 
+def _bits(ids: DataFrame, id_col: str) -> DataFrame:
+    return bits_of(ids.where(F.col(id_col).isNotNull()), F.pmod(F.xxhash64(F.col(id_col)), F.lit(SLOTS)))
+
+
 def _hit(key: str) -> Column:
     own = F.pmod(F.xxhash64(F.col(key)), F.lit(SLOTS))
     return (F.shiftright(own, 6) == F.col("__gm_cell")) & (F.getbit("__gm_bits", F.pmod(own, F.lit(64)).cast("int")) == 1)

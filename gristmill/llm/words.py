@@ -122,17 +122,17 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def _lanes(self) -> tuple[np.ndarray, np.ndarray]:
+    def lanes(self) -> tuple[np.ndarray, np.ndarray]:
         if self._coded is None:
             self._coded = span_lanes(self.data, self.starts, self.ends)
         return self._coded
 
     def codes(self) -> np.ndarray:
         """Numbers that are equal exactly where words are, within these documents."""
-        return self._lanes()[0]
+        return self.lanes()[0]
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        codes, lanes = self._lanes()
+        codes, lanes = self.lanes()
         return lanes[codes, lane]
 
     def canonical(self) -> pa.Array:
