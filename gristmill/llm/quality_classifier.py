@@ -3,8 +3,11 @@
 Features are indicators of hashed word unigrams and bigrams and byte trigrams of the whole text.
 Over all labelled training rows, per-class counts give log-count ratios r = log((p/|p|)/(q/|q|)).
 Indicators are scaled by r, each document to unit length, and a linear hinge-loss model is fitted by
-dual coordinate descent on a bounded sample of training rows (MAX_TRAIN, those with the smallest
-hashed ids). Margins become probabilities by a sigmoid fitted on cross-fitted margins.
+dual coordinate descent on a bounded sample of training rows: different (id, text) pairs in order of
+their hashes, MAX_TRAIN rows at most and as many as have MAX_FEATURES feature ids together (64 MB).
+Margins become probabilities by a sigmoid fitted on cross-fitted margins.
+
+Texts meet their labels by one plan at every size: a sieve of fixed size, then a join by id.
 """
 
 from __future__ import annotations
@@ -14,16 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut, drop
+from gristmill.llm.semi import perhaps_among
 from gristmill.llm.words import SPACE, U, Words, buffers, chunks, mix, window_hashes
 
 WORD_BITS, GRAM_BITS = 18, 16
 SIZE = (1 << WORD_BITS) + (1 << GRAM_BITS)
-MAX_TRAIN, EPOCHS, COST, THRESHOLD, FOLDS = 6000, 12, 1.0, 0.3, 5
-BROADCAST_LABELS = 1_000_000  # some 24 MB on an executor
+MAX_TRAIN, MAX_FEATURES, EPOCHS, COST, THRESHOLD, FOLDS = 6000, 16_000_000, 12, 1.0, 0.3, 5
 _BYTE = np.arange(256, dtype=np.uint8)
 _BYTE[SPACE] = 32
 
@@ -72,7 +75,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(offsets):
             ids, first = features(offsets[lo : hi + 1], data[offsets[lo] : offsets[hi]])
             blobs = pa.array([ids[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())
-            yield pa.RecordBatch.from_arrays([blobs, batch.column(1).slice(lo, hi - lo)], ["ids", "quality"])
+            yield pa.RecordBatch.from_arrays([blobs, *(batch.column(i).slice(lo, hi - lo) for i in (1, 2, 3))], ["ids", "quality", "doc_id", "version"])
 
 
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 0) -> np.ndarray:
@@ -133,27 +136,51 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Model:
-    """Fit on labelled rows outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text, quality, doc_id`` of the labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = cut(known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), "labels")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = cut(known, "labels")
-    if known.count() <= BROADCAST_LABELS:  # else the join moves texts by id
-        known = F.broadcast(known)
-    train = cut(source.join(known.where(~held_out(F.col("doc_id"))), "doc_id").select("text", "quality", "doc_id"), "train")
+    return perhaps_among(source, "doc_id", known, "doc_id").join(known.hint("merge"), "doc_id").select("text", "quality", "doc_id")
+
+
+def class_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Training rows of label 1 and of label 0 that have each feature; the last entry counts all rows."""
     counts = train.select("text", "quality").mapInArrow(_count, "feature int, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # at most SIZE + 1 rows
     good, bad = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     at = counts["feature"].to_numpy()
     good[at], bad[at] = counts["good"].to_numpy(), counts["bad"].to_numpy()
-    n1, n0 = good[SIZE], bad[SIZE]
+    return good, bad
+
+
+def log_ratios(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     p, q = good[:SIZE] + 1, bad[:SIZE] + 1
     scale = np.log((p / p.sum()) / (q / q.sum()))
     scale[(good[:SIZE] + bad[:SIZE]) == 0] = 0
+    return scale
+
+
+def bounded_sample(train: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> pa.Table:
+    """``ids, quality`` of at most ``max_train`` different rows with at most ``max_features`` ids in all."""
+    keys = train.select("doc_id", F.xxhash64("text").alias("version")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "version").limit(max_train)
+    few = train.withColumn("version", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+    coded = few.select("text", "quality", "doc_id", "version").mapInArrow(_encode, "ids binary, quality int, doc_id long, version long")
+    coded = cut(coded, "sample")  # max_train rows at most, so one window may hold them
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "version")
+    kept = coded.select("doc_id", "version", F.sum(F.octet_length("ids") / 4).over(order).alias("sum")).where(F.col("sum") <= max_features).select("doc_id", "version")
+    return coded.join(F.broadcast(kept), ["doc_id", "version"]).orderBy(F.xxhash64("doc_id"), "doc_id", "version").select("ids", "quality").toArrow()
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
+    """Fit on labelled rows outside the held-out fold."""
+    train = cut(training_rows(docs, labels, id_col, text_col), "train")
+    good, bad = class_counts(train)
+    scale = log_ratios(good, bad)
+    n1, n0 = good[SIZE], bad[SIZE]
     if not n1 or not n0:
         prior = (n1 + 1) / (n1 + n0 + 2)
         return Model(scale, np.zeros(SIZE), 0.0, 1.0, math.log(prior / (1 - prior)))
-    chosen = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # at most max_train ids
-    sample = train.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(_encode, "ids binary, quality int").toArrow()
+    sample = bounded_sample(train, max_train, max_features)
     drop(train)
     rows = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["ids"]]
     y = np.where(sample["quality"].to_numpy() == 1, 1.0, -1.0)
