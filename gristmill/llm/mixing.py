@@ -7,8 +7,11 @@ limit; both fall as e grows, so e is bisected, GRID + 1 sections to a pass over
 Weights turn into token quotas of the budget. A source's documents fall into at most MAX_BLOCKS
 blocks by hash. A quota is met by whole passes over the source and a last, partial pass through a
 permutation of its blocks: whole blocks while they fit, then documents of the next block in hash
-order while they fit. No window ever holds more than the blocks of a source or the documents of one
-block, and texts are neither sorted nor gathered.
+order while they fit. A block has a turn, its place in that permutation; ``mix(ordered=True)`` puts
+the rows of every pass out in the order of its own permutation. No window ever holds more than the
+blocks of a source or the narrow rows of one block (a source's tokens over MAX_BLOCKS).
+
+A source cannot be repeated less than the budget share on average, so a limit below it is refused.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ def exponent(sources: DataFrame, budget_share: float, entropy_share: float | Non
 
     ``entropy_share`` places the target entropy between that of the shares (0) and log K (1).
     """
+    if max_repeat is not None and budget_share > max_repeat + 1e-12:
+        raise ValueError(f"a budget of {budget_share} times all tokens repeats some source more than {max_repeat} times")
     live = sources.where("tokens > 0")
     first = live.agg(F.sum("tokens").alias("t"), F.min("tokens").alias("least"), F.count("*").alias("k")).first()
     if not first["k"] or first["k"] == 1:
@@ -82,18 +87,18 @@ class Plan:
         self.sources, self.blocks, self.edge, self.exponent = sources, blocks, edge, e
 
     def copies(self, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-        """``docs`` with ``__gm_copies``, how often the mix holds each row."""
+        """``docs`` with ``__gm_copies``, how often the mix holds each row, and its ``__gm_block`` and ``__gm_turn``."""
         source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
         key = F.col(id_col).cast("long")
         keyed = docs.withColumn("__gm_source", source).withColumn("__gm_key", key).withColumn("__gm_number", _number(_hash(key)))
         plan = self.sources.select(F.col("source").alias("__gm_source"), F.col("n_blocks").alias("__gm_n"))
         keyed = keyed.join(plan, "__gm_source").withColumn("__gm_block", F.pmod("__gm_number", "__gm_n"))
-        blocks = self.blocks.select(F.col("source").alias("__gm_source"), F.col("block").alias("__gm_block"), F.col("copies").alias("__gm_whole"), F.col("edge").alias("__gm_edge"))
+        blocks = self.blocks.select(F.col("source").alias("__gm_source"), F.col("block").alias("__gm_block"), F.col("copies").alias("__gm_whole"), F.col("edge").alias("__gm_edge"), F.col("turn").alias("__gm_turn"))
         keyed = keyed.join(blocks, ["__gm_source", "__gm_block"])
         edge = self.edge.select(F.col("source").alias("__gm_s"), F.coalesce("doc_id", F.lit(-1)).alias("__gm_k"), F.col("doc_id").isNull().alias("__gm_none"), F.lit(1).alias("__gm_more"))
         keyed = keyed.join(edge, (F.col("__gm_source") == F.col("__gm_s")) & (F.coalesce("__gm_key", F.lit(-1)) == F.col("__gm_k")) & (F.col("__gm_key").isNull() == F.col("__gm_none")), "left")
         out = keyed.withColumn("__gm_copies", (F.col("__gm_whole") + F.when(F.col("__gm_edge"), F.coalesce("__gm_more", F.lit(0))).otherwise(0)).cast("long"))
-        return out.select(*docs.columns, "__gm_copies")
+        return out.select(*docs.columns, "__gm_copies", "__gm_block", "__gm_turn", "__gm_source", "__gm_key")
 
 
 def plan(sized: DataFrame, budget_share: float = 1.0, entropy_share: float | None = 0.5, max_repeat: float | None = 4.0) -> Plan:
@@ -110,10 +115,11 @@ def plan(sized: DataFrame, budget_share: float = 1.0, entropy_share: float | Non
     shares = cut(shares.withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("long")).select("source", "tokens", "quota", "passes", "rest", "n_blocks"), "quotas")
     member = sized.join(shares.select("source", "n_blocks"), "source").withColumn("number", _number(_hash(F.col("doc_id")))).withColumn("block", F.pmod("number", "n_blocks"))
     blocks = member.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")).join(shares.select("source", "passes", "rest"), "source")
-    order = Window.partitionBy("source").orderBy(_hash(F.col("source"), F.col("passes"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("after", F.sum("tokens").over(order)).withColumn("before", F.col("after") - F.col("tokens"))
+    turns = Window.partitionBy("source").orderBy(_hash(F.col("source"), F.col("passes"), F.col("block")), "block")
+    order = turns.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("turn", (F.row_number().over(turns) - 1).cast("long")).withColumn("after", F.sum("tokens").over(order)).withColumn("before", F.col("after") - F.col("tokens"))
     fits = F.col("after") <= F.col("rest")
-    blocks = blocks.select("source", "block", (F.col("passes") + F.when(fits, 1).otherwise(0)).alias("copies"), (~fits & (F.col("before") < F.col("rest"))).alias("edge"), (F.col("rest") - F.col("before")).alias("room"))
+    blocks = blocks.select("source", "block", "turn", (F.col("passes") + F.when(fits, 1).otherwise(0)).alias("copies"), (~fits & (F.col("before") < F.col("rest"))).alias("edge"), (F.col("rest") - F.col("before")).alias("room"))
     blocks = cut(blocks, "blocks")
     inside = Window.partitionBy("source", "block").orderBy(_hash(F.col("doc_id")), "doc_id")  # rows that repeat an id are taken together
     edge = member.join(blocks.where("edge").select("source", "block", "room"), ["source", "block"]).withColumn("sum", F.sum("n_tokens").over(inside)).where("sum <= room").select("source", "doc_id").distinct()
@@ -121,21 +127,31 @@ def plan(sized: DataFrame, budget_share: float = 1.0, entropy_share: float | Non
 
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """One row per input row: ``doc_id, source, n_tokens, copies``, how often the mix holds it (0: not at all).
+    """One row per input row: ``doc_id, source, n_tokens, copies, block, turn``.
+
+    ``copies``: how often the mix holds the row (0: not at all); ``block``: its block of the source;
+    ``turn``: the block's place in the permutation of the last pass.
 
     Null text has no tokens and a null source is the source "". Rows repeated with one id and source
     share their copies. Null ids count as one id. Other columns are not read; an empty table gives an
-    empty result, and sources without tokens get nothing.
+    empty result, and sources without tokens get nothing. A repetition limit below ``budget_share``
+    raises ValueError.
     """
     sized = cut(sizes(docs, id_col, text_col, source_col), "sizes")
-    return plan(sized, **how).copies(sized).withColumnRenamed("__gm_copies", "copies")
+    out = plan(sized, **how).copies(sized)
+    return out.select("doc_id", "source", "n_tokens", F.col("__gm_copies").alias("copies"), F.col("__gm_block").alias("block"), F.col("__gm_turn").alias("turn"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix holds it, with their columns."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False, **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix holds it, with their columns.
+
+    ``ordered``: in the order of the passes and, in each pass, of its permutation of blocks.
+    """
     sized = cut(sizes(docs, id_col, text_col, source_col), "sizes")
-    out = plan(sized, **how).copies(docs, id_col, source_col)
-    once = how.get("max_repeat")
-    if once is not None and once <= 1:
-        return out.where("__gm_copies > 0").drop("__gm_copies")
-    return out.where("__gm_copies > 0").withColumn("__gm_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__gm_copies")))).drop("__gm_copies")
+    out = plan(sized, **how).copies(docs, id_col, source_col).where("__gm_copies > 0")
+    out = out.withColumn("__gm_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__gm_copies") - 1)))
+    if ordered:
+        order = ["__gm_pass", "__gm_place", "__gm_block", "__gm_number", "__gm_key"]
+        place = _hash(F.col("__gm_source"), F.col("__gm_pass"), F.col("__gm_block"))
+        out = out.withColumn("__gm_place", place).withColumn("__gm_number", _hash(F.col("__gm_key"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    return out.select(*docs.columns)

@@ -1,13 +1,13 @@
 """Quality rules whose cutoffs keep the rate of false rejections below a limit.
 
 Every document gets a few statistics in one pass. A rule rejects a document when a statistic reaches
-a cutoff. Cutoffs come from fixed grids; labelled documents of each stratum (language) decide which
-cutoff is used: along a grid from lenient to strict, a cutoff is certified while the exact binomial
-tail P(X <= errors | n, limit) of its rejections among good documents stays at or below the level,
-and the last certified cutoff before the first failure is used (fixed-sequence testing). Levels are
-divided by rules and strata (Bonferroni), so with probability 1 - LEVEL every rule in every stratum
-rejects at most LIMIT of its good documents. A stratum with too few labels certifies nothing and
-rejects nothing by these rules.
+a cutoff; a document goes when any rule rejects it. All rules tighten together along one fixed
+sequence of steps, from lenient to strict. Labelled documents of each stratum (language) decide which
+step is used: a step is certified while the exact binomial tail P(X <= errors | n, limit) of the good
+documents that any rule rejects at it stays at or below the level, and the last certified step before
+the first failure is used (fixed-sequence testing). The level is divided by the strata (Bonferroni),
+so with probability 1 - LEVEL the rules together reject at most LIMIT of the good documents of every
+stratum. A stratum with too few labels certifies nothing and rejects nothing by these rules.
 """
 
 from __future__ import annotations
@@ -103,14 +103,15 @@ def _share(a: str, b: str) -> Column:
     return F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1))
 
 
-#: Rules: statistic as a ratio of counts, and cutoffs from lenient to strict; a document fails at or above one. Fixed values.
+#: Rules: statistic as a ratio of counts, and its cutoff at each step; a document fails at or above one. Fixed values.
 GRIDS: dict[str, tuple[str, str, list[float]]] = {
     "symbols": ("n_symbols", "word_chars", [0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02, 0.01]),
     "upper": ("n_upper", "word_chars", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1]),
-    "dup_lines": ("n_dup_lines", "n_lines", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05]),
-    "repeats": ("n_repeat_words", "n_words", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.05]),
-    "long_words": ("word_chars", "n_words", [40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 10.0, 9.0, 8.0]),
+    "dup_lines": ("n_dup_lines", "n_lines", [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05]),
+    "repeats": ("n_repeat_words", "n_words", [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.05]),
+    "long_words": ("word_chars", "n_words", [60.0, 50.0, 40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 10.0, 9.0, 8.0]),
 }
+STEPS = 12
 
 
 def rules() -> dict[str, tuple[Column, list[float]]]:
@@ -127,7 +128,7 @@ def binomial_tail(errors: int, n: int, rate: float) -> float:
 
 
 def certified(rejected: list[int], n: int, limit: float, level: float) -> int:
-    """Index of the strictest certified cutoff, -1 for none. ``rejected``: good documents each cutoff rejects."""
+    """Index of the strictest certified step, -1 for none. ``rejected``: good documents rejected at each step."""
     last = -1
     for i, errors in enumerate(rejected):
         if errors >= n * limit or binomial_tail(errors, n, limit) > level:
@@ -137,29 +138,31 @@ def certified(rejected: list[int], n: int, limit: float, level: float) -> int:
 
 
 def cutoffs(counted: DataFrame, limit: float = LIMIT, level: float = LEVEL) -> DataFrame:
-    """``stratum`` and one column per rule with its cutoff (null: rejects nothing).
+    """``stratum`` and one column per rule with its cutoff; strata without a certified step do not come back.
 
-    ``counted`` has the statistics of the labelled good documents. Only strata with enough good
-    documents to certify an errorless cutoff come back, so rows are at most the labels over that size.
+    ``counted`` has the statistics of the labelled good documents. Rows are at most the strata with
+    enough good documents to certify an errorless step.
     """
     table = rules()
-    sums = [F.count_if(stat >= c).alias(f"{name}_{i}") for name, (stat, grid) in table.items() for i, c in enumerate(grid)]
-    passed = counted.where(~base_failed())
-    per = cut(passed.groupBy("stratum").agg(F.count("*").alias("n"), *sums), "strata")
-    strata = max(1, per.count())
-    share = level / (strata * len(table))
+    sums = []
+    for step in range(STEPS):
+        hit = F.lit(False)
+        for stat, grid in table.values():
+            hit = hit | (stat >= grid[step])
+        sums.append(F.count_if(hit).alias(f"step_{step}"))
+    per = cut(counted.where(~base_failed()).groupBy("stratum").agg(F.count("*").alias("n"), *sums), "strata")
+    share = level / max(1, per.count())
     least = math.ceil(math.log(share) / math.log1p(-limit))
-    names = [(name, len(grid)) for name, (_, grid) in table.items()]
     grids = {name: grid for name, (_, grid) in table.items()}
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            out = {"stratum": [r["stratum"] for r in rows]}
-            for name, size in names:
-                picks = [certified([r[f"{name}_{i}"] for i in range(size)], r["n"], limit, share) for r in rows]
-                out[name] = pa.array([grids[name][i] if i >= 0 else None for i in picks], pa.float64())
-            yield pa.RecordBatch.from_pydict({"stratum": pa.array(out["stratum"], pa.string()), **{k: v for k, v in out.items() if k != "stratum"}})
+            picks = [certified([r[f"step_{i}"] for i in range(STEPS)], r["n"], limit, share) for r in rows]
+            out = [(r["stratum"], *(grid[i] for grid in grids.values())) for r, i in zip(rows, picks, strict=True) if i >= 0]
+            if out:
+                columns = [pa.array(c, pa.float64() if k else pa.string()) for k, c in enumerate(zip(*out, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["stratum", *grids])
 
     return per.where(F.col("n") >= least).mapInArrow(choose, "stratum string, " + ", ".join(f"{n} double" for n in table))
 

@@ -119,11 +119,12 @@ pl as (select source, tokens, quota, case when tokens > 0 then cast(floor(quota
 me as (select d.doc_id, d.source, d.n_tokens, p.passes, p.quota - p.passes * p.tokens as rest, md5('mix/' || d.doc_id) as h,
          cast('0x' || substr(md5('mix/' || d.doc_id), 1, 8) as bigint) % p.n_blocks as block from sized d join pl p using (source)),
 bl as (select source, block, passes, rest, sum(n_tokens) as tokens from me group by 1, 2, 3, 4),
-cu as (select *, sum(tokens) over (partition by source order by md5('mix/' || source || '/' || passes || '/' || block), block rows unbounded preceding) as after from bl),
-ed as (select m.*, c.after, c.tokens, c.after - c.tokens as before,
+cu as (select *, sum(tokens) over (partition by source order by md5('mix/' || source || '/' || passes || '/' || block), block rows unbounded preceding) as after,
+         row_number() over (partition by source order by md5('mix/' || source || '/' || passes || '/' || block), block) - 1 as turn from bl),
+ed as (select m.*, c.after, c.turn, c.tokens, c.after - c.tokens as before,
          sum(m.n_tokens) over (partition by m.source, m.block order by m.h, m.doc_id) as inside from me m join cu c using (source, block))
 select doc_id, source, n_tokens,
-       cast(passes + case when after <= rest then 1 when before < rest and inside <= rest - before then 1 else 0 end as bigint) as copies
+       cast(passes + case when after <= rest then 1 when before < rest and inside <= rest - before then 1 else 0 end as bigint) as copies, block, turn
 from ed
 """
 
@@ -217,11 +218,11 @@ st as ({stats}),
 good as (select c.doc_id, c.lang from c join (select doc_id from labels group by 1 having min(quality) = 1) using (doc_id) where not base_failed),
 n as (select lang, count(*) as n, count(*) over () as strata from good group by 1),
 grid(rule, idx, cut) as (values {grid}),
-e as (select lang, rule, idx, cut, count_if(stat >= cut) as errors from good join st using (doc_id, lang) join grid using (rule) group by all),
-b as (select lang, rule, idx, cut, n, strata, list_sum(list_transform(range(0, cast(errors as bigint) + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({LIMIT}::double) + (n - k) * ln(1 - {LIMIT}::double)))) as tail from e join n using (lang)),
-o as (select lang, rule, cut, bool_and(tail <= {LEVEL} / (strata * {len(GRIDS)})) over (partition by lang, rule order by idx) as ok from b),
-u as (select lang, rule, min(cut) as cut from o where ok group by 1, 2),
-bad as (select doc_id from st join u using (lang, rule) where stat >= cut group by 1)
+e as (select lang, idx, count(distinct doc_id) filter (stat >= cut) as errors from good join st using (doc_id, lang) join grid using (rule) group by all),
+b as (select lang, idx, errors, n, strata, list_sum(list_transform(range(0, cast(errors as bigint) + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({LIMIT}::double) + (n - k) * ln(1 - {LIMIT}::double)))) as tail from e join n using (lang)),
+o as (select lang, idx, bool_and(errors < n * {LIMIT}::double and tail <= {LEVEL} / strata) over (partition by lang order by idx) as ok from b),
+u as (select lang, max(idx) as idx from o where ok group by 1),
+bad as (select doc_id from st join u using (lang) join grid using (rule, idx) where stat >= cut group by 1)
 select c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.doc_id is null as kept from c left join bad using (doc_id)
 """
 

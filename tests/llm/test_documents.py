@@ -337,6 +337,10 @@ def test_mixing(docs, rows, empty):
         used[r.source] += r.n_tokens * r.copies
     assert sum(used.values()) <= sum(tokens.values()) + len(tokens)
     assert max(used[s] / tokens[s] for s in tokens if tokens[s]) <= 4.0
+    with pytest.raises(ValueError, match="repeats some source"):
+        mix_counts(docs, budget_share=3.0, entropy_share=None, max_repeat=1.0)
+    exact = mix_counts(docs, budget_share=3.0, entropy_share=None, max_repeat=3.0).collect()
+    assert {r.copies for r in exact if r.n_tokens} <= {2, 3}
     capped = mix(docs, budget_share=0.9, entropy_share=None, max_repeat=1.0)
     assert capped.columns == docs.columns
     taken = [tuple(r) for r in capped.collect()]
@@ -344,6 +348,28 @@ def test_mixing(docs, rows, empty):
     assert mix_counts(empty).count() == 0 and mix(empty).count() == 0
 
 
+def test_mixing_puts_passes_out_in_permuted_blocks(spark, monkeypatch):
+    from gristmill.llm import mixing
+
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, sentence(rng, 10), "ab"[i % 3 == 0]) for i in range(120)], "doc_id long, text string, source string")
+    how = {"budget_share": 2.0, "entropy_share": None, "max_repeat": 4.0}
+    plan = {r.doc_id: r for r in mixing.mix_counts(docs, **how).collect()}
+    out = [r.doc_id for r in mixing.mix(docs, ordered=True, **how).collect()]
+    assert Counter(out) == Counter({i: r.copies for i, r in plan.items() if r.copies})
+    runs, passes, seen = [], [], Counter()
+    for i in out:  # every block stands in one piece in each pass, and passes differ
+        key = (plan[i].source, plan[i].block, seen[i])
+        seen[i] += 1
+        if not runs or runs[-1] != key:
+            runs.append(key)
+    assert len(runs) == len(set(runs)) and [k[2] for k in runs] == sorted(k[2] for k in runs)
+    for p in (0, 1):
+        passes.append([k[:2] for k in runs if k[2] == p])
+    assert sorted(passes[0]) != passes[0] and [k for k in passes[0] if k in passes[1]] != passes[1]
+
+
 def test_line_spread(docs, rows, empty):
     from gristmill.llm.line_spread import remove_spread_lines
 
@@ -446,3 +472,146 @@ def test_runs_merge_like_a_sort():
     out = merge_runs(runs)
     got = [(*w, *r[:2], (not k, r[2], r[3]), r[4]) for w, r, k in zip(out.words.tolist(), out.rest.tolist(), out.known.tolist(), strict=True)]
     assert got == [(*k, *v) for k, v in sorted(expected.items())]
+
+
+def test_classifier_sample_is_bounded_in_rows_and_features(spark):
+    from gristmill.llm.quality_classifier import bounded_sample, training_rows
+
+    rng = random.Random(4)
+    texts = {i: sentence(rng, 30) for i in range(40)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items() for _ in range(50)] + [(1, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    train = training_rows(docs, labels)
+    assert bounded_sample(train, max_train=5).num_rows == 5
+    everything = bounded_sample(train)
+    known = {r.doc_id for r in train.collect()}
+    assert known == {i for i in texts if zlib.crc32(str(i).encode()) % 5}
+    assert everything.num_rows == len(known) + (1 in known)  # rows of one id and text count once
+    sizes = [len(x.as_py()) // 4 for x in everything["ids"]]
+    few = bounded_sample(train, max_features=sum(sizes[:7]))
+    assert few.num_rows == 7
+
+
+def test_classifier_against_brute_force(spark):
+    """Features, class counts, log-count ratios and scores, one row at a time."""
+    import math
+
+    import numpy as np
+    from xxhash import xxh3_128_digest
+
+    from gristmill.llm import quality_classifier as Q
+    from gristmill.llm.words import window_hashes
+
+    rng = random.Random(8)
+    docs = [(i, (sentence(rng, 12) + ("$ %" if i % 3 == 0 else "\n\tz")) if i else None) for i in range(60)]
+    table, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 60, 2)], "doc_id long, quality int")
+
+    def feature_set(text):
+        words = (text or "").encode().split()
+        h = np.array([int.from_bytes(xxh3_128_digest(w)[:8], "little") for w in words], np.uint64)
+        out = {int(x) >> 46 for x in h} | {int(x) >> 46 for x in window_hashes(h, 2)}
+        b = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in (text or "").encode())
+        for i in range(len(b) - 2):
+            x = np.array([b[i] << 16 | b[i + 1] << 8 | b[i + 2]], np.uint64)
+            out.add((int(Q.mix(x)[0]) >> 48) + (1 << 18))
+        return out
+
+    sets = {i: feature_set(t) for i, t in docs}
+    chosen = [(i, int(i % 3 > 0)) for i in range(0, 60, 2) if zlib.crc32(str(i).encode()) % 5]
+    count = {y: Counter(f for i, label in chosen if label == y for f in sets[i]) for y in (0, 1)}
+    good, bad = Q.class_counts(Q.training_rows(table, labels))
+    assert (good[-1], bad[-1]) == (sum(y for _, y in chosen), sum(1 - y for _, y in chosen))
+    assert {f: int(n) for f, n in enumerate(good[:-1]) if n} == count[1] and {f: int(n) for f, n in enumerate(bad[:-1]) if n} == count[0]
+    total = {y: sum(count[y].values()) + Q.SIZE for y in (0, 1)}
+    ratio = {f: math.log((count[1][f] + 1) / total[1] / ((count[0][f] + 1) / total[0])) for f in count[0] | count[1]}
+    scale = Q.log_ratios(good, bad)
+    assert all(scale[f] == pytest.approx(r) for f, r in ratio.items()) and np.count_nonzero(scale) <= len(ratio)
+    model = Q.fit(table, labels)
+    got = {r.doc_id: r for r in Q.classify(table, labels).collect()}
+    for i, s in sets.items():
+        norm = math.sqrt(sum(ratio.get(f, 0) ** 2 for f in s))
+        margin = sum(float(model.weights[f]) for f in s) / max(norm, 1e-12) + model.bias
+        score = 1 / (1 + math.exp(-(model.a * margin + model.b)))
+        assert got[i].score == pytest.approx(score, abs=1e-4) and got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_rules_are_certified_together(spark):
+    """Each rule alone would pass with errors below the limit; together they reach it, so the step before is used."""
+    from gristmill.llm.quality_rules import GRIDS, STEPS, binomial_tail, cutoffs
+
+    assert {len(g) for *_, g in GRIDS.values()} == {STEPS}
+    zero = {c: 0 for c in ("n_symbols", "n_dup_lines", "n_repeat_words", "n_upper")}
+    plain = {"stratum": "en", "n_words": 100, "word_chars": 500, "n_lines": 10, **zero}
+    rows = [plain] * 1960 + [plain | {"n_symbols": 80}] * 12 + [plain | {"n_upper": 160}] * 14 + [plain | {"n_dup_lines": 4}] * 14
+    assert all(binomial_tail(n, 2000, 0.02) <= 0.05 for n in (12, 14, 26)) and binomial_tail(40, 2000, 0.02) > 0.05
+    rows += [plain | {"stratum": "few"}] * 20
+    got = cutoffs(spark.createDataFrame(rows)).collect()
+    assert [r.stratum for r in got] == ["en"]  # 20 documents certify nothing
+    step = GRIDS["symbols"][2].index(got[0].symbols)
+    assert all(GRIDS[n][2][step] == got[0][n] for n in GRIDS)
+    errors = lambda i: sum(80 / 500 >= GRIDS["symbols"][2][i] for _ in range(12)) + sum(160 / 500 >= GRIDS["upper"][2][i] for _ in range(14)) + sum(4 / 10 >= GRIDS["dup_lines"][2][i] for _ in range(14))
+    assert errors(step) < 40 and errors(step + 1) >= 40 or binomial_tail(errors(step + 1), 2000, 0.02) > 0.025
+
+
+def test_near_miss_licenses_are_told_apart(spark):
+    from gristmill.llm.licence_texts import NAMES, TEXTS
+    from gristmill.llm.licenses import license_of_files
+
+    rng = random.Random(11)
+    wrap = lambda t, mark="": "\n".join(f"{mark}{' '.join(t.split()[i : i + 9])}" for i in range(0, len(t.split()), 9))
+    mit, bsd2, bsd3 = TEXTS[0][1], TEXTS[2][1], TEXTS[3][1]
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    files = [
+        ("Copyright (c) 2020 Some Body\n\n" + wrap(mit), "MIT"), (wrap(bsd2, " * "), "BSD-2-Clause"), (wrap(bsd3, "// "), "BSD-3-Clause"), (notice, "AGPL-3.0"), (notice.replace("Affero ", ""), "GPL-3.0"), (notice.replace("Affero", "Lesser").replace("program", "library"), "LGPL-3.0"),
+        (notice.replace("Affero ", "").replace("version 3", "version 2"), "GPL-2.0"), ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", None),
+        ("// SPDX-License-Identifier: LGPL-2.1\nint x;", "LGPL-2.1"), ("GNU LESSER GENERAL PUBLIC LICENSE\n   Version 2.1, February 1999", "LGPL-2.1"), ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "GPL-3.0"),
+        ("Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/", "Apache-2.0"), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under the Foo License.", None), ("the license of this work is unknown", None),
+    ]
+    files += [(f"{sentence(rng, 20)} Released under the {name}. {sentence(rng, 20)}", i) for i, name in NAMES.items() if i not in ("CC0-1.0", "Unlicense") and not i.startswith("CC")]
+    files += [(sentence(rng, 60) + " the software and its license is free of any version", None) for _ in range(300)]
+    got = license_of_files(spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, (t, _) in enumerate(files)], "doc_id long, path string, text string")).collect()
+    wrong = [(files[r.doc_id], r.license, r.score) for r in got if r.license != files[r.doc_id][1]]
+    assert not wrong
+
+
+def test_license_scores_against_brute_force(spark):
+    """Every window, every template, dictionaries for vectors."""
+    import math
+
+    from gristmill.llm.licence_texts import templates
+    from gristmill.llm.licenses import THRESHOLD, scan
+
+    rng = random.Random(12)
+    found = templates()
+    short = [t for t in found if len(t[1].split()) < 14]
+    files = []
+    for i in range(60):
+        words = rng.choice(short)[1].split()
+        for _ in range(rng.randrange(3)):
+            words.insert(rng.randrange(len(words)), rng.choice(["alpha", "the", "of", "2"]))
+        files.append((i, f"p/{i}", f"{sentence(rng, 12)} the license of {' '.join(words)} {sentence(rng, 9)}" if i % 4 else sentence(rng, 30)))
+    files += [(60, "p/60", None), (61, None, files[1][2])]
+    tokens = lambda t: re.findall("[a-z0-9]+", lower(t).encode("ascii", "ignore").decode())
+    assert all((t or "").isascii() or tokens(t) for *_, t in files)
+    split = {i: re.findall("[a-z0-9\x80-\U0010ffff]+", lower(t)) for i, _, t in files}
+    df = Counter(w for ws in split.values() for w in set(ws))
+    weigh = lambda ws: {w: n * (math.log((1 + len(files)) / (1 + df[w])) + 1) for w, n in Counter(ws).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    best = {}
+    for i, ws in split.items():
+        top = 0.0
+        for _, t in found:
+            tw = re.findall("[a-z0-9]+", lower(t))
+            u = weigh(tw)
+            slack = max(1, len(tw) // 16)
+            rare = max((math.log((1 + len(files)) / (1 + df[w])) for w in tw))
+            for size in {max(1, len(tw) - slack), len(tw), len(tw) + slack}:
+                for s in range(len(ws) - size + 1):
+                    v = weigh(ws[s : s + size])
+                    if any(w in u and math.log((1 + len(files)) / (1 + df[w])) >= rare - 1e-12 for w in v):
+                        top = max(top, sum(x * u.get(w, 0) for w, x in v.items()) / norm(v) / norm(u))
+        best[i] = top if top >= THRESHOLD else 0.0
+    got = {r.doc_id: r.score for r in scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert sum(x > 0 for x in best.values()) > 20
+    off = {i: (got[i], best[i]) for i in best if abs(got[i] - best[i]) > 1e-5}
+    assert not off
