@@ -6,27 +6,42 @@ then costs a re-read, never a recomputation of everything before it.
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_live: dict[str, SparkSession] = {}
+_live: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one where none is set (tests, local runs)."""
+    """The shared folder named by the session. Local runs without one get a temporary folder; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='gristmill-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/gristmill-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    _live[path] = spark
+    """A fresh path; what is left below it goes when the driver's JVM ends, however the session stops."""
+    own = f"{scratch_root(spark)}/gristmill-{spark.sparkContext.applicationId}"
+    if own not in _live:
+        where, fs = _file_system(spark, own)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _live.add(own)
+    path = f"{own}/{label}-{uuid.uuid4().hex}"
+    _live.add(path)
     return path
 
 
@@ -41,10 +56,9 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _live.pop(path, None)
+    where, fs = _file_system(spark, path)
+    fs.delete(where, True)
+    _live.discard(path)
 
 
 def drop(*frames: DataFrame) -> None:
@@ -54,10 +68,18 @@ def drop(*frames: DataFrame) -> None:
             remove_path(df.sparkSession, path)
 
 
-@atexit.register
-def _sweep() -> None:
-    for path, spark in list(_live.items()):
-        try:
+@contextmanager
+def released() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at the end all tables made meanwhile but those passed to the function it gives."""
+    before, kept, spark = set(_live), set(), None
+
+    def keep(df: DataFrame) -> DataFrame:
+        nonlocal spark
+        spark = df.sparkSession
+        kept.add(df._scratch_path)
+        return df
+
+    yield keep
+    for path in _live - before - kept if spark else ():
+        if path.rpartition("/")[0] in _live:  # not a run's folder itself
             remove_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone by now; its folder is then the cluster's to clean
-            _live.pop(path, None)
