@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut, drop
-from gristmill.llm.semi import perhaps_among
+from gristmill.llm.semi import keyed, perhaps_among, without
 from gristmill.llm.words import PHI, U, Words, buffers, chunks, distinct_sorted, mix, shingle_codes, shingles
 from gristmill.operators.components import connected_components
 
@@ -82,7 +82,7 @@ def _signatures(k: int, bands: int, rows: int):
                     keys = mix(keys * PHI + sketch[:, :, r])
                 keys = mix(keys + np.arange(1, bands + 1, dtype=np.uint64))
                 lists = pa.ListArray.from_arrays(np.arange(0, (hi - lo) * bands + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(whole, pa.binary()), lists], ["doc_id", "n_shingles", "whole", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(whole, pa.binary()), lists], ["doc_id", "__gm_row", "n_shingles", "whole", "bands"])
 
     return run
 
@@ -242,8 +242,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of the rows with the same words, or null, and is kept only when that is null. Rows that
     share an id but not a text are one node with the links of each. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = cut(source.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, whole binary, bands array<long>"), "signatures")
+    return _components(docs, id_col, text_col, k, percent, bands, rows, block_members, hot).drop("__gm_row")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns; rows are told apart by id and text."""
+    gone = _components(docs, id_col, text_col, **how).where(~F.col("kept")).select("__gm_row").distinct()
+    return without(keyed(docs, id_col, F.col(text_col).cast("string")), cut(gone, "copies"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block_members: int = BLOCK_MEMBERS, hot: int = HOT) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    source = keyed(docs, id_col, text).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), "__gm_row")
+    sig = cut(source.mapInArrow(_signatures(k, bands, rows), "doc_id long, __gm_row long, n_shingles long, whole binary, bands array<long>"), "signatures")
     reps = sig.where("n_shingles > 0 and doc_id is not null").groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     reps = cut(reps, "representatives")
     member = reps.select(F.explode("bands").alias("key"), "id", "n")
@@ -254,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = cand.where((F.col("id") != F.col("hub")) & close).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = cut(pairs, "pairs")
     needed = cut(cand.select(F.col("id").alias("doc_id")).distinct(), "needed")
-    texts = perhaps_among(source, "doc_id", needed, "doc_id").join(needed.hint("merge"), "doc_id", "left_semi")
+    texts = perhaps_among(source.drop("__gm_row"), "doc_id", needed, "doc_id").join(needed.hint("merge"), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_canonical, "id long, words binary"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
     links = cut(both.select("a", "b", "x", "y").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
@@ -263,6 +274,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(pairs, cand, shared, needed, sets)
     final = first if more.isEmpty() else connected_components(more.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = reps.select("whole", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("whole", F.coalesce("root", "id").alias("component"))
-    out = sig.select("doc_id", "n_shingles", "whole").join(cut(named, "named"), "whole", "left")
+    out = sig.select("doc_id", "__gm_row", "n_shingles", "whole").join(cut(named, "named"), "whole", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "__gm_row", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut
+from gristmill.llm.semi import keyed, without
 from gristmill.llm.words import SPACE, U, Words, buffers, chunks, mix, span_hashes, window_hashes
 
 LIMIT, LEVEL = 0.02, 0.05
@@ -90,9 +91,10 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """``doc_id, stratum`` and the counts of each document's whole text; null text counts as empty."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_statistics, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    """``doc_id, stratum, __gm_row`` and the counts of each document's whole text; null text counts as empty."""
+    text, stratum = F.col(text_col).cast("string"), F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
+    row = keyed(docs, id_col, text, stratum).select(F.col(id_col).cast("long").alias("doc_id"), stratum.alias("stratum"), "__gm_row", text.alias("text"))
+    return row.mapInArrow(_statistics, "doc_id long, stratum string, __gm_row long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -176,6 +178,18 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     every copy says so. A null id has no label. Other columns are not read; an empty table gives an
     empty result, and without labels only the base rejects.
     """
+    out = _verdicts(docs, labels, id_col, text_col, stratum_col, limit, level)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", limit: float = LIMIT, level: float = LEVEL) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns; rows are told apart by id, text and stratum."""
+    gone = _verdicts(docs, labels, id_col, text_col, stratum_col, limit, level).where(~F.col("kept")).select("__gm_row").distinct()
+    text, stratum = F.col(text_col).cast("string"), F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
+    return without(keyed(docs, id_col, text, stratum), cut(gone, "rejected"))
+
+
+def _verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, limit: float, level: float) -> DataFrame:
     stats = cut(statistics(docs, id_col, text_col, stratum_col), "statistics")
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     table = cut(cutoffs(stats.join(good, "doc_id", "left_semi"), limit, level), "cutoffs")
@@ -183,4 +197,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     failed = F.lit(False)
     for name, (stat, _) in rules().items():
         failed = failed | F.coalesce(stat >= F.col(name), F.lit(False))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~failed).alias("kept"))
+    return joined.withColumn("kept", ~base_failed() & ~failed)

@@ -39,3 +39,14 @@ def parted(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[Data
     """Rows whose ``key`` may be among the ids (as ``perhaps_among``), and all others, null keys too."""
     bits = F.broadcast(cut(_bits(ids, id_col), "sieve"))
     return rows.where(F.col(key).isNotNull()).join(bits, _hit(key), "left_semi"), rows.join(bits, _hit(key), "left_anti")
+
+
+def keyed(rows: DataFrame, id_col: str, *parts: Column) -> DataFrame:
+    """``rows`` with ``__gm_row``, a number that rows of one id and equal ``parts`` share, null ids too."""
+    return rows.withColumn("__gm_row", F.xxhash64(F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), *parts))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (with ``__gm_row``) that are not among ``gone(__gm_row)``; only rows that may be move."""
+    some, others = parted(rows, "__gm_row", gone, "__gm_row")
+    return some.join(gone.hint("merge"), "__gm_row", "left_anti").select(*rows.columns).unionByName(others).drop("__gm_row")
