@@ -1,30 +1,26 @@
 """A corpus pipeline: quality rules, exact dedup, near dedup, mixing, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all documents its predecessor kept. All but
-the last return the columns of ``documents``. Rows that repeat an id are one document:
-a stage that drops documents drops all rows of an id, except exact dedup, which keeps one row of an
-id and text. Nulls, empty texts and empty tables have the results stated by each operator.
+the last return the columns of ``documents``. Stages tell rows apart by id and text, so a row without
+an id or with one that repeats goes on its own account; of rows that repeat an id and its text, exact
+dedup keeps one. Nulls, empty texts and empty tables have the results stated by each operator.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gristmill.functions.scratch import cut
+from gristmill.functions.scratch import cut, drop, released
 from gristmill.llm.exact_dedup import drop_exact_duplicates
 from gristmill.llm.mixing import mix
-from gristmill.llm.near_dedup import near_duplicates
+from gristmill.llm.near_dedup import drop_near_duplicates
 from gristmill.llm.packing import pack
-from gristmill.llm.quality_rules import judge
+from gristmill.llm.quality_rules import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a certified cutoff reject go."""
-    verdict = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # Spark broadcasts the rejected ids below its size threshold and joins by shuffle beyond it.
-    gone = cut(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__gm_id")).distinct(), "rejected")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gm_id")), "left_anti")
+    """Documents that the base rules or a certified step reject go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +30,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component (similarity 0.8 or more) the document with the smallest id stays."""
-    gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("__gm_id")).distinct()
-    return docs.join(cut(gone, "copies"), docs["doc_id"].eqNullSafe(F.col("__gm_id")), "left_anti")
+    return drop_near_duplicates(docs, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A mix of nine tenths of the tokens, as flat over sources as no repetition allows."""
-    return mix(docs, budget_share=0.9, entropy_share=None, max_repeat=1.0)
+    """A mix of nine tenths of the tokens, as flat over sources as no repetition allows, in permuted blocks."""
+    return mix(docs, ordered=True, budget_share=0.9, entropy_share=None, max_repeat=1.0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before = docs
+        with released() as keep:  # a stage's own tables go once its result is written
+            docs = keep(cut(stage(spark, before, sf_dir), name))
+        drop(before)
     return docs
