@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut, drop
 from gristmill.llm.semi import keyed, perhaps_among, without
-from gristmill.llm.words import PHI, U, Words, buffers, chunks, distinct_sorted, mix, shingle_codes, shingles
+from gristmill.llm.words import PHI, U, Words, buffers, chunks, distinct_sorted, mix, shingle_codes, shingles, values_of
 from gristmill.operators.components import connected_components
 
 BANDS, ROWS, BLOCK_MEMBERS, BLOCK_BYTES, HOT = 24, 4, 192, 4 << 20, 384
@@ -75,7 +75,7 @@ def _signatures(k: int, bands: int, rows: int):
         for batch in batches:
             for lo, hi, words in _documents(batch.column(1), True):
                 flat, first = distinct_sorted(*shingles(words, k))
-                whole = [hashlib.sha256(x.as_buffer()).digest() for x in words.canonical()]
+                whole = [hashlib.sha256(x).digest() for x in values_of(words.canonical())]
                 sketch = fast_sketch(flat, first, bands * rows).reshape(hi - lo, bands, rows)
                 keys = np.zeros((hi - lo, bands), np.uint64)
                 for r in range(rows):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut
-from gristmill.llm.words import SPACE, buffers, chunks
+from gristmill.llm.words import SPACE, buffers, chunks, values_of
 
 CAPACITY, SLACK, TEXT_BYTES = 1024, 12, 4 << 20
 @lru_cache(maxsize=4096)
@@ -96,7 +96,7 @@ class Encoder:
         order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
         raw = pieces.take(pa.array(order[: joined.sum()]))
         try:
-            ids = self.fast.encode_to_numpy(b"".join(raw.to_pylist()).decode(), disallowed_special=())
+            ids = self.fast.encode_to_numpy(b"".join(values_of(raw)).decode(), disallowed_special=())
             ends = np.concatenate(([0], np.cumsum(self.bytes_of[ids])))
             edges = np.concatenate(([0], np.cumsum(np.diff(offsets)[joined])))
             size[joined] = np.diff(np.searchsorted(ends, edges))

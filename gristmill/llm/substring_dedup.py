@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut, drop
 from gristmill.llm.semi import parted, perhaps_among
-from gristmill.llm.words import Words, buffers, chunks, range_hashes, sliding_min, window_hashes
+from gristmill.llm.words import Words, buffers, chunks, range_hashes, sliding_min, values_of, window_hashes
 
 WINDOW, PART = 50, 12
 
@@ -169,14 +169,14 @@ def _rebuild(k: int):
             offsets, data = buffers(batch.column(1))
             for lo, hi in chunks(offsets):
                 words = Words(offsets[lo : hi + 1], data[offsets[lo] : offsets[hi]])
-                texts, n_words = words.canonical(), words.counts
+                texts, n_words = list(values_of(words.canonical())), words.counts
                 n_removed, digests = np.zeros(hi - lo, np.int64), []
                 for i in range(hi - lo):
                     starts = batch.column(2)[lo + i]
                     if not starts.is_valid or not len(starts):
-                        digests.append(hashlib.sha256(texts[i].as_buffer()).hexdigest())
+                        digests.append(hashlib.sha256(texts[i]).hexdigest())
                         continue
-                    all_, kept, last = texts[i].as_py().split(), [], 0
+                    all_, kept, last = texts[i].split(), [], 0
                     spans = [r for s, p in zip(starts.as_py(), batch.column(3)[lo + i].as_py(), strict=True) for r in agreeing(all_, s, p.split(), k)]
                     for s, e in sorted(spans):
                         if e > last:

@@ -66,6 +66,13 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         lo = hi
 
 
+def values_of(column: pa.Array) -> Iterator[bytes]:
+    """The values of a string or binary column, null as empty."""
+    offsets, data = buffers(column)
+    raw, at = data.tobytes(), offsets.tolist()
+    return (raw[s:e] for s, e in zip(at, at[1:], strict=False))
+
+
 def spans_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Byte ranges, in order and without overlap, as a binary array."""
     n = len(data)
@@ -84,7 +91,7 @@ def span_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
     coded = spans_of(data, starts, ends).dictionary_encode()
-    lanes = np.frombuffer(b"".join(map(xxh3_128_digest, coded.dictionary.to_pylist())), np.uint64).reshape(-1, 2)
+    lanes = np.frombuffer(b"".join(map(xxh3_128_digest, values_of(coded.dictionary))), np.uint64).reshape(-1, 2)
     return coded.indices.to_numpy().astype(np.int64), lanes
 
 
