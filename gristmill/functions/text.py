@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: White space as Python's ``str.split`` sees it. Fixed values.
 WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Runs of white space that are not one plain space already.
+_RARE = WS.replace(r"\x{1C}-\x{20}", r"\x{1C}-\x{1F}")
+_FOLD = rf"\x20?{_RARE}{WS}*+|\x20{{2,}}{WS}*+"
 _W = r"[\p{L}\p{N}_]"
 _EDGE = rf"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 #: An e-mail address between Unicode word boundaries.
@@ -20,7 +23,7 @@ def strip(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Each run of white space as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(c, f"{WS}+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(c, _FOLD, " "), F.lit(" "))
 
 
 def blank(c: Column) -> Column:
@@ -53,13 +56,6 @@ def digest(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
-def byte_tokens(text: Column, limit: int) -> Column:
-    """The first ``limit`` UTF-8 bytes as integers, then EOS."""
-    raw = F.substring(F.encode(text, "UTF-8"), 1, limit)
-    cells = F.regexp_extract_all(F.hex(raw), F.lit("(..)"), F.lit(1))
-    return F.concat(F.transform(cells, lambda h: F.conv(h, 16, 10).cast("int")), F.array(F.lit(EOS)))
-
-
 def isclose(a: Column, b: Column, tolerance: float) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b)), F.lit(tolerance))
 

@@ -1,17 +1,27 @@
-"""A byte-bigram model as relations: counts, losses before each update, held-out evaluation."""
+"""A byte-bigram model: counts, losses before each update, held-out evaluation.
+
+Texts become transitions between byte tokens inside Arrow batches; a task hands on at most one row
+per cell of the model (258 contexts, 257 tokens), and cells are summed by Spark.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill import config as C
-from gristmill.functions.text import BOS, VOCABULARY, byte_tokens
+from gristmill.functions.scratch import cut
 
 ALPHA = 0.5
+#: Tokens: bytes, then the end mark; the start mark is only ever a context. Fixed values.
+EOS, BOS, VOCABULARY = 256, 257, 257
+CELLS = (VOCABULARY + 1) * VOCABULARY
 
 
 def batches(train: DataFrame, config: dict[str, Any]) -> DataFrame:
@@ -28,46 +38,114 @@ def batches(train: DataFrame, config: dict[str, Any]) -> DataFrame:
     return epochs.withColumn("step", ((F.col("epoch") - 1) * per_epoch + F.col("batch") + 1).cast("long")).where(F.col("step") <= steps).select("step", "epoch", "line", "text")
 
 
-def transitions(df: DataFrame, limit: int, keep: list[str]) -> DataFrame:
-    """One row per token: ``pos, prev, token`` and the columns to keep; BOS comes before a row's first token."""
-    tokens = byte_tokens(F.col("text"), limit)
-    pairs = F.arrays_zip(F.concat(F.array(F.lit(BOS)), F.slice("tokens", 1, F.size("tokens") - 1)).alias("prev"), F.col("tokens").alias("token"))
-    rows = df.select(*keep, tokens.alias("tokens")).select(*keep, F.posexplode(pairs).alias("pos", "x"))
-    return rows.select(*keep, "pos", F.col("x.prev").alias("prev"), F.col("x.token").alias("token"))
-
-
-def counts(steps: DataFrame, limit: int) -> DataFrame:
-    """The model: ``prev, token, n``; at most 258 x 257 rows."""
-    return transitions(steps, limit, []).groupBy("prev", "token").agg(F.count("*").alias("n"))
+def tokens(column: pa.Array, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and tokens of all texts (the first ``limit`` bytes and the end mark), and each text's number of tokens."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if n and column.buffers()[2] is not None and column.buffers()[2].size else np.zeros(0, np.uint8)
+    size = np.minimum(np.diff(offsets), limit) + 1
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if n else 0
+    text = np.repeat(np.arange(n), size)
+    place = np.arange(total) - np.repeat(ends - size, size)
+    last = ends - 1
+    token = np.full(total, EOS, np.int64)
+    inner = np.ones(total, bool)
+    inner[last] = False
+    token[inner] = data[(offsets[:-1][text] + place)[inner]]
+    context = np.empty(total, np.int64)
+    context[1:] = token[:-1]
+    context[place == 0] = BOS
+    return context, token, size
+
+
+def counts(rows: DataFrame, limit: int, by: str | None = None) -> DataFrame:
+    """Transitions of rows with ``text``: ``[by,] prev, token, n``; few values of ``by``, at most CELLS rows each."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
+        for batch in found:
+            context, token, size = tokens(batch.column(1), limit)
+            names, which = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
+            cell = context * VOCABULARY + token
+            group = np.repeat(which, size)
+            for i, name in enumerate(names.tolist()):
+                seen.setdefault(name, np.zeros(CELLS, np.int64))
+                seen[name] += np.bincount(cell[group == i] if len(names) > 1 else cell, minlength=CELLS)
+        for name, table in seen.items():
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array((at // VOCABULARY).astype(np.int32)), pa.array((at % VOCABULARY).astype(np.int32)), pa.array(table[at])], ["by", "prev", "token", "n"])
+
+    value = F.col(by).cast("string") if by else F.lit("")
+    part = rows.select(value.alias("by"), "text").mapInArrow(run, "by string, prev int, token int, n long")
+    keys = (["by"] if by else []) + ["prev", "token"]
+    out = part.groupBy(*keys).agg(F.sum("n").alias("n"))
+    return out.withColumnRenamed("by", by) if by else out
+
+
+def token_sums(rows: DataFrame, limit: int) -> DataFrame:
+    """``line, n_tokens, total``: how many tokens each text has and the sum of their numbers."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            _, token, size = tokens(batch.column(1), limit)
+            sums = np.add.reduceat(token, np.cumsum(size) - size) if len(size) else size
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(sums)], ["line", "n_tokens", "total"])
+
+    return rows.select("line", "text").mapInArrow(run, "line long, n_tokens long, total long")
 
 
 def totals(model: DataFrame) -> DataFrame:
     return model.groupBy("prev").agg(F.sum("n").alias("total"))
 
 
-def _nll(c, t):
-    return -F.log((c + ALPHA) / (t + ALPHA * VOCABULARY))
+def loss_history(steps: DataFrame, limit: int) -> DataFrame:
+    """``step, epoch, loss``: the mean loss of each step, each token scored with the counts before it.
 
+    The visits are bounded by the settings; one task reads them in order and holds one table of cells.
+    """
 
-def loss_history(steps: DataFrame, limit: int) -> DataFrame:
-    """Mean loss per step, each token scored with the counts before it; training rows are bounded by config."""
-    rows = transitions(steps, limit, ["step", "epoch", "line"])
-    order = ["epoch", "line", "pos"]
-    seen = F.row_number().over(Window.partitionBy("prev", "token").orderBy(*order)) - 1
-    context = F.row_number().over(Window.partitionBy("prev").orderBy(*order)) - 1
-    scored = rows.withColumn("c", seen).withColumn("t", context)
-    return scored.groupBy("step", "epoch").agg(F.avg(_nll(F.col("c"), F.col("t"))).alias("loss"))
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, contexts = np.zeros(CELLS, np.int64), np.zeros(VOCABULARY + 1, np.int64)
+        held: dict[tuple[int, int], list[float]] = {}
+
+        def before(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+            """How often each key stood earlier, in the table or in ``keys``; the table takes them in."""
+            order = np.argsort(keys, kind="stable")
+            ordered = keys[order]
+            rank = np.empty(len(keys), np.int64)
+            rank[order] = np.arange(len(keys)) - np.searchsorted(ordered, ordered)
+            out = table[keys] + rank
+            table += np.bincount(keys, minlength=len(table))
+            return out
+
+        for batch in found:
+            context, token, size = tokens(batch.column(2), limit)
+            seen, total = before(context * VOCABULARY + token, cells), before(context, contexts)
+            loss = -np.log((seen + ALPHA) / (total + ALPHA * VOCABULARY))
+            sums = np.add.reduceat(loss, np.cumsum(size) - size) if len(size) else []
+            for key, s, n in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), sums, size, strict=True):
+                one = held.setdefault(key, [0.0, 0])
+                one[0] += float(s)
+                one[1] += int(n)
+        if held:
+            step, epoch = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(step, pa.int64()), pa.array(epoch, pa.int32()), pa.array([s / n for s, n in held.values()], pa.float64())], ["step", "epoch", "loss"])
+
+    ordered = steps.select("step", "epoch", "text", "line").coalesce(1).sortWithinPartitions("epoch", "line").select("step", "epoch", "text")
+    return ordered.mapInArrow(run, "step long, epoch int, loss double")
 
 
 def evaluate(df: DataFrame, model: DataFrame | None, limit: int, by: list[str] | None = None) -> DataFrame:
     """``tokens, loss`` of rows with ``text``: token-weighted mean; without a model it is uniform."""
     by = by or []
-    rows = transitions(df, limit, by).groupBy(*by, "prev", "token").agg(F.count("*").alias("w"))
+    rows = counts(df, limit, by[0] if by else None).withColumnRenamed("n", "w")
     if model is None:
         rows = rows.withColumn("n", F.lit(0)).withColumn("total", F.lit(0))
     else:  # the model has a fixed size: 258 contexts, 257 tokens
         rows = rows.join(F.broadcast(model), ["prev", "token"], "left").join(F.broadcast(totals(model)), "prev", "left")
-    loss = _nll(F.coalesce("n", F.lit(0)), F.coalesce("total", F.lit(0)))
+    loss = -F.log((F.coalesce("n", F.lit(0)) + ALPHA) / (F.coalesce("total", F.lit(0)) + ALPHA * VOCABULARY))
     return rows.groupBy(*by).agg(F.sum("w").alias("tokens"), (F.sum(loss * F.col("w")) / F.sum("w")).alias("loss"))
 
 
@@ -75,32 +153,31 @@ def perplexity(loss: float | None) -> float | None:
     return math.exp(loss) if loss is not None and loss < 700 else None
 
 
-def dense(model: DataFrame) -> dict[str, Any]:
+def dense(model: DataFrame, limit: int) -> dict[str, Any]:
     """The model as nested lists for export."""
-    table = [[0] * VOCABULARY for _ in range(VOCABULARY + 1)]
-    for r in model.collect():
-        table[r["prev"]][r["token"]] = r["n"]
-    return {"alpha": ALPHA, "vocabulary": VOCABULARY, "counts": table, "totals": [sum(row) for row in table]}
+    table = np.zeros((VOCABULARY + 1, VOCABULARY), np.int64)
+    for r in model.collect():  # at most CELLS rows
+        table[r["prev"], r["token"]] = r["n"]
+    return {"model_type": "utf8_byte_bigram", "vocabulary_size": VOCABULARY, "bos": BOS, "eos": EOS, "smoothing_alpha": ALPHA, "counts": table.tolist(), "context_totals": table.sum(axis=1).tolist(), "max_seq_bytes": limit}
 
 
 def train_and_evaluate(split: DataFrame, config: dict[str, Any] | None = None) -> dict[str, Any]:
     """Model report of records with ``line, text, split``."""
     cfg = C.training_config(config)
     limit = cfg["max_seq_length"]
-    train = split.where("split = 'train'")
-    steps = batches(train, cfg).persist()
-    model = counts(steps, limit).persist()
-    held = split.where("split != 'train'")
-    read = lambda m: {r["split"]: r for r in evaluate(held, m, limit, ["split"]).collect()}
-    before, after = read(None), read(model)
+    steps = cut(batches(split.where("split = 'train'"), cfg), "steps")
+    model = cut(counts(steps, limit), "model")
+    held = cut(counts(split.where("split != 'train'"), limit, "split"), "held")
+    scored = held.withColumnRenamed("n", "w").join(F.broadcast(model), ["prev", "token"], "left").join(F.broadcast(totals(model)), "prev", "left")
+    loss = lambda n, t: F.sum(-F.log((n + ALPHA) / (t + ALPHA * VOCABULARY)) * F.col("w")) / F.sum("w")
+    none = F.lit(0)
+    read = {r["split"]: r for r in scored.groupBy("split").agg(F.sum("w").alias("tokens"), loss(none, none).alias("before"), loss(F.coalesce("n", none), F.coalesce("total", none)).alias("after")).collect()}
     history = [r.asDict() for r in loss_history(steps, limit).orderBy("step").collect()]
-    out: dict[str, Any] = {"steps": len(history), "training_record_visits": steps.count(), "loss_history": history}
+    out: dict[str, Any] = {"steps": len(history), "training_record_visits": steps.count(), "loss_history": history, "evaluation_tokens": {s: r["tokens"] for s, r in read.items()}}
     for s in ("validation", "test"):
-        a, b = before[s]["loss"], after[s]["loss"]
-        out |= {f"baseline_{s}_loss": a, f"trained_{s}_loss": b, f"baseline_{s}_perplexity": perplexity(a), f"trained_{s}_perplexity": perplexity(b), f"delta_{s}_loss": b - a, f"{s}_tokens": after[s]["tokens"]}
-    out["model"] = dense(model)
-    steps.unpersist()
-    model.unpersist()
+        a, b = read[s]["before"], read[s]["after"]
+        out |= {f"baseline_{s}_loss": a, f"trained_{s}_loss": b, f"baseline_{s}_perplexity": perplexity(a), f"trained_{s}_perplexity": perplexity(b), f"delta_{s}_loss": b - a, f"{s}_tokens": read[s]["tokens"]}
+    out["model"] = dense(model, limit)
     return out
 
 

@@ -19,6 +19,18 @@ def counts(decided: DataFrame) -> DataFrame:
     )
 
 
+def shares(decided: DataFrame) -> DataFrame:
+    """``records, keep, review, reject``: how many records, and each decision's share in percent."""
+    part = lambda d: F.round(100 * F.count_if(F.col("result.decision") == d) / F.greatest(F.count("*"), F.lit(1)), 2).alias(d)
+    return decided.agg(F.count("*").alias("records"), part("keep"), part("review"), part("reject"))
+
+
+def masking(split: DataFrame) -> DataFrame:
+    """``masked_rows, prompt_chars, learned_chars`` of rows with ``x``, their ``answer_split``."""
+    left = F.coalesce(F.length("x.prompt"), F.lit(0))
+    return split.agg(F.count_if(F.col("x.prompt").isNotNull()).alias("masked_rows"), F.sum(left).alias("prompt_chars"), F.sum(F.length("x.full") - left).alias("learned_chars"))
+
+
 def first_errors(decided: DataFrame, n: int = 20) -> DataFrame:
     return decided.where("result.error is not null").select("line", F.col("result.error").alias("error"), F.col("result.detail").alias("detail")).orderBy("line").limit(n)
 

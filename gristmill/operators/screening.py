@@ -1,8 +1,10 @@
 """Screening: dedup, length, cached decisions, rules or scorer answers, one decision per record.
 
-Input rows: ``line, record, input_error, input_fatal, fields`` (see ``state``). Order is the column
-``line``. Only keys and flags are shuffled for dedup; a hash shared by very many records costs one
-aggregated row and a join that adaptive execution splits.
+Input rows: ``line, record, input_error, input_fatal, fields`` (see ``state``) and any small columns,
+which are carried along. Order is the column ``line``. Texts are read once: one pass gives every row
+its identity, size and flags, and that narrow table is all that is shuffled. A hash shared by very
+many records costs one aggregated row and a join that adaptive execution splits. Records meet their
+decisions again, by line, only where they are written.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill import config as C
@@ -49,16 +51,33 @@ def prepared(raw: DataFrame, mode: str) -> DataFrame:
     return with_state(raw).withColumn("state_hash", F.when(F.col("input_error").isNull(), state_hash(mode))).withColumn("n_chars", F.length(state_text()))
 
 
+def narrow(raw: DataFrame, mode: str) -> DataFrame:
+    """One pass over the texts: carried columns, errors, identity, size and the local rule's flag, cut."""
+    carried = [c for c in raw.columns if c not in ("record", "fields")]
+    seen = prepared(raw, mode).withColumn("email", F.coalesce(has_email(state_text()), F.lit(False)))
+    return cut(seen.select(*carried, "content_error", "state_hash", "n_chars", "email"), "identities")
+
+
 def mark_duplicates(df: DataFrame) -> DataFrame:
     """Add ``is_dup``: not the first line of its state."""
-    # A copied state has one aggregated row; copies are found by a join on it.
+    # A copied state has one aggregated row; copies are found by a join on it. Rows without a state join on their line.
     repeated = df.where("state_hash is not null").groupBy("state_hash").agg(F.min("line").alias("first_line"), F.count("*").alias("copies")).where("copies > 1")
-    repeated = cut(repeated.select("state_hash", "first_line"), "repeated")
-    return df.join(repeated, "state_hash", "left").withColumn("is_dup", F.coalesce(F.col("line") > F.col("first_line"), F.lit(False))).drop("first_line")
+    repeated = cut(repeated.select(F.col("state_hash").alias("_key"), "first_line"), "repeated")
+    keyed = df.withColumn("_key", F.coalesce("state_hash", F.col("line").cast("string")))
+    return keyed.join(repeated, "_key", "left").withColumn("is_dup", F.coalesce(F.col("line") > F.col("first_line"), F.lit(False))).drop("first_line", "_key")
+
+
+def first_lines(df: DataFrame, n: int, span: int = 1 << 16) -> DataFrame:
+    """The n rows with the smallest lines; no task sorts more than the rows of ``span`` lines."""
+    binned = df.withColumn("_bin", F.floor(F.col("line") / span))
+    bins = binned.groupBy("_bin").agg(F.count("*").alias("n"))
+    ahead = bins.select("_bin", (F.sum("n").over(Window.orderBy("_bin")) - F.col("n")).alias("_ahead")).where(F.col("_ahead") < n)  # a row per span lines
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy("line"))
+    return binned.join(ahead, "_bin").withColumn("_place", place + F.col("_ahead")).where(F.col("_place") <= n).drop("_bin", "_ahead", "_place")
 
 
 def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
-    """Decide every record: adds ``result`` (DECISION), ``state_hash``, ``is_dup``, ``cache_hit``, ``usage``.
+    """Decide every record: the carried columns and ``result`` (DECISION), ``state_hash``, ``config_hash``, ``is_dup``, ``cache_hit``, ``usage``.
 
     Order of checks: input error, content error, exact duplicate, length, cached decision, then the
     local rules or the scorer. ``cache`` has ``config_hash, state_hash, result``. A scorer maps rows
@@ -69,30 +88,36 @@ def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFram
     cfg = C.screening_config(config or {})
     rubric = C.RUBRICS[cfg["rubric"]]
     run_hash = C.config_hash(cfg)
-    df = mark_duplicates(prepared(raw, rubric["dedupe"]))
+    df = mark_duplicates(narrow(raw, rubric["dedupe"]))
+    within = F.col("n_chars").between(cfg["min_chars"], cfg["max_chars"])
+    df = df.withColumn("_open", F.col("input_error").isNull() & F.col("content_error").isNull() & ~F.col("is_dup") & F.coalesce(within, F.lit(False)))
+    df = df.withColumn("_key", F.when(F.col("_open"), F.col("state_hash")).otherwise(F.col("line").cast("string")))
     if cache is not None:
-        known = cache.where(F.col("config_hash") == run_hash).select("state_hash", F.col("result").alias("cached"))
-        df = df.join(known, "state_hash", "left")
+        known = cache.where(F.col("config_hash") == run_hash).select(F.col("state_hash").alias("_key"), F.col("result").alias("cached"))
+        df = df.join(known, "_key", "left")
     else:
         df = df.withColumn("cached", F.lit(None).cast(DECISION))
-    within = F.col("n_chars").between(cfg["min_chars"], cfg["max_chars"])
-    open_ = F.col("input_error").isNull() & F.col("content_error").isNull() & ~F.col("is_dup") & within
-    df = df.withColumn("cache_hit", open_ & F.col("cached").isNotNull())
+    df = df.withColumn("cache_hit", F.col("_open") & F.col("cached").isNotNull())
     usage = F.lit(None).cast("struct<input_tokens:double,output_tokens:double,cost:double>")
     if cfg["provider"] == "demo":
-        df = df.withColumn("usage", usage).withColumn("email", F.coalesce(has_email(state_text()), F.lit(False)))
+        df = df.withColumn("usage", usage)
         judged = {"decision": F.when(F.col("email"), "review").otherwise("keep"), "reason": F.when(F.col("email"), "demo_email_pattern").otherwise("demo_rules_passed")}
     else:
         if scorer is None:
             raise ValueError("provider scorer needs a scorer")
-        if cfg["max_requests"] is None and not getattr(scorer, "replays", False):
+        replays = getattr(scorer, "replays", False)
+        if cfg["max_requests"] is None and not replays:
             raise ValueError("max_requests may be None only for replayed answers")
-        misses = df.where(open_ & ~F.col("cache_hit")).select("line", "state_hash", "state")
+        df = cut(df, "open")
+        misses = df.where(F.col("_open") & ~F.col("cache_hit")).select("line", "state_hash")
         if cfg["max_requests"] is not None:
-            misses = misses.orderBy("line").limit(cfg["max_requests"])
-        asked = cut(misses.select("state_hash", "state"), "asked")
-        scored = _ask(asked, scorer, rubric, cfg["confidence"])
-        df = df.join(scored, "state_hash", "left").withColumn("usage", F.when(open_ & ~F.col("cache_hit"), F.col("usage")))
+            misses = first_lines(misses, cfg["max_requests"])
+        if replays:
+            asked = misses.select("state_hash")
+        else:
+            asked = with_state(raw).select("line", "state").join(cut(misses, "misses"), "line").select("state_hash", "state")
+        scored = _ask(cut(asked, "asked"), scorer, rubric, cfg)
+        df = df.join(scored.withColumnRenamed("state_hash", "_key"), "_key", "left").withColumn("usage", F.when(F.col("_open") & ~F.col("cache_hit"), F.col("usage")))
         spent = _decision("review", "request_budget_exhausted", error="request_budget_exhausted", unevaluated=True, fatal=True)
         df = df.withColumn("scored", F.coalesce(F.col("scored"), spent))
         judged = {n: F.col(f"scored.{n}") for n in PARTS}
@@ -113,13 +138,18 @@ def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFram
         if n in judged:
             value = value.when(F.col("_step") == "judged", judged[n])
         parts.append(value.cast(kind).alias(n))
-    return df.withColumn("result", F.struct(*parts)).withColumn("config_hash", F.lit(run_hash)).drop("cached", "scored", "email", "_step")
+    return df.withColumn("result", F.struct(*parts)).withColumn("config_hash", F.lit(run_hash)).drop("cached", "scored", "email", "_step", "_open", "_key")
+
+
+def with_records(decided: DataFrame, raw: DataFrame) -> DataFrame:
+    """Decisions with the records and typed fields they were made on, met by line."""
+    return decided.join(raw.select("line", "record", "fields"), "line")
 
 
-def _ask(asked: DataFrame, scorer: Scorer, rubric: dict[str, Any], confidence: float) -> DataFrame:
+def _ask(asked: DataFrame, scorer: Scorer, rubric: dict[str, Any], cfg: dict[str, Any]) -> DataFrame:
     def judged(rows: DataFrame) -> DataFrame:
         out = scorer(rows).select("state_hash", "failure", "response.*")
-        return cut(judge_answers(out, rubric, confidence), "answers")
+        return cut(judge_answers(out, rubric, cfg["confidence"]), "answers")
 
     first = judged(asked)
     bad = first.where("failure is null and answer_error is not null").select("state_hash")
@@ -175,11 +205,9 @@ def cacheable(decided: DataFrame) -> DataFrame:
     return fresh.select("config_hash", "state_hash", "result")
 
 
-def merge_cache(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Cache rows with the newest result per configuration and state."""
-    if old is None:
-        return new
-    return old.join(new, ["config_hash", "state_hash"], "left_anti").unionByName(new)
+def newest(cache: DataFrame) -> DataFrame:
+    """Cache rows (with ``written``, when) reduced to the newest per configuration and state."""
+    return cache.groupBy("config_hash", "state_hash").agg(F.max_by("result", "written").alias("result"))
 
 
 def audit(decided: DataFrame, mode: str) -> DataFrame:

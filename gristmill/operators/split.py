@@ -15,7 +15,7 @@ from gristmill import config as C
 from gristmill.functions.scratch import cut
 from gristmill.functions.text import blank, digest, fold
 from gristmill.operators.components import connected_components
-from gristmill.operators.state import training_text
+from gristmill.operators.state import training_fault, training_text
 
 SPLITS = ["train", "validation", "test"]
 MIN_COMPONENTS = 6
@@ -61,12 +61,26 @@ def assign(df: DataFrame, config: dict[str, Any] | None = None) -> tuple[DataFra
     return out, {"train": groups - n_val - n_test, "validation": n_val, "test": n_test}
 
 
+def faults(kept: DataFrame) -> DataFrame:
+    """``line, fault`` of kept records (with ``text``) that cannot be split: badly typed ids, unfit training texts."""
+    wrong = F.col("id_error") if "id_error" in kept.columns else F.lit(None).cast("string")
+    return kept.select("line", F.coalesce(wrong, training_fault(F.col("text"))).alias("fault")).where("fault is not null")
+
+
 def prepare(kept: DataFrame, config: dict[str, Any] | None = None) -> tuple[DataFrame, dict[str, int]]:
-    """Split kept records (``line, state`` and optional ``group_id, conversation_id``): adds text, component, split."""
+    """Split kept records (``line, state`` and optional ``group_id, conversation_id, id_error``): adds text, keys, component, split.
+
+    Records with a badly typed id or an empty or over-long training text raise ValueError. Keys and
+    splits are found on narrow rows; texts meet their split once, by line.
+    """
     has = lambda n: F.col(n) if n in kept.columns else None
     df = kept.withColumn("text", training_text())
-    df = df.withColumn("keys", split_keys(F.col("text"), has("group_id"), has("conversation_id")))
-    return assign(with_component(df), config)
+    wrong = F.coalesce(has("id_error") if "id_error" in kept.columns else F.lit(None).cast("string"), training_fault(F.col("text")))
+    keyed = cut(df.select("line", split_keys(F.col("text"), has("group_id"), has("conversation_id")).alias("keys"), wrong.alias("fault")), "keys")
+    if (first := keyed.where("fault is not null").agg(F.min_by(F.struct("line", "fault"), "line").alias("x")).first()["x"]) is not None:
+        raise ValueError(f"line {first['line']}: {first['fault']}")
+    placed, groups = assign(with_component(keyed.drop("fault")), config)
+    return df.join(placed.select("line", "keys", "component", "split"), "line"), groups
 
 
 def leakage(df: DataFrame) -> DataFrame:

@@ -104,6 +104,11 @@ def training_text(state: Column | None = None) -> Column:
     return strip(F.when(s["messages"].isNotNull(), turns).otherwise(state_text(s)))
 
 
+def training_fault(text: Column) -> Column:
+    """Why a text cannot be trained on, or null."""
+    return F.when(text.isNull() | (text == ""), "the training text is empty").when(F.length(text) > MAX_TRAINING_CHARS, f"the training text has more than {MAX_TRAINING_CHARS} characters")
+
+
 def folded(state: Column) -> Column:
     parts = [fold(state[n]).alias(n) for n in ("input", "instruction")]
     parts.append(F.transform(state["messages"], lambda m: F.struct(fold(m["content"]).alias("content"), m["role"].alias("role"))).alias("messages"))

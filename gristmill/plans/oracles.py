@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.plans.queries import PRECEDENCE, RUNS
+from gristmill.plans.queries import PRECEDENCE
 
 WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -54,7 +54,8 @@ select line, case when f <> '' then 'text' end as layout, case when f <> '' then
     )
     + ") t(name, layout, error, text_of_state)",
     "preview_fields": "select doc_id + 1 as line, left(text, 800) as text, lang, source from documents order by doc_id limit 8",
-    "dataset_inspection": "select count(*) as rows, cast(0 as bigint) as invalid_rows from documents",
+    "preview_key_union": """with k as (select doc_id, unnest(case doc_id % 3 when 0 then ['text', 'n_chars'] when 1 then ['text', 'lang'] else ['text', 'source'] end) as key, generate_subscripts([1, 2], 1) as i from documents order by doc_id limit 10),
+u as (select key, min(doc_id * 2 + i) as place from k group by 1) select row_number() over (order by place) - 1 as pos, key from u qualify row_number() over (order by place) <= 5""",
 }
 
 _TALK = f"""with t as (select conv_id + 1 as line, list(struct_pack(content := text, role := role) order by turn) as m, string_agg(text, chr(10) order by turn) as joined,
@@ -203,7 +204,23 @@ select step, round(avg(-ln((c + 0.5) / (t + 128.5))), 6) as loss from pq group b
     "strict_csv_scan": "with " + _screen("select row_number() over (order by doc_id) as line, text from documents") + " select decision, count(*) as n from d group by 1",
     "strict_jsonl_scan": """with x as (select row_number() over (order by doc_id) as line, doc_id % 50 as c from documents)
 select case when c in (7, 11, 13) then 'invalid_json' when c = 9 then 'record_must_be_object' else 'none' end as error, count(*) as n, min(line) as first_line from x group by 1""",
-    "recent_runs": f"with r(seq, id, time) as (values {', '.join(map(str, RUNS))}) select id, cast(max(seq) as bigint) as seq from r group by id order by seq desc limit 2 offset 2",
-    "last_log_entries": f"with r(seq, id, time) as (values {', '.join(map(str, RUNS))}) select id, time from (select *, row_number() over (partition by id order by time desc) as k from r) where k <= 2",
+    "recent_runs": "select source as id, max(doc_id) as seq, arg_max(lang, doc_id) as body from documents group by 1 order by seq desc limit 2 offset 2",
+    "last_log_entries": "select conv_id, turn, text from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 2",
+    "training_text_faults": """select doc_id + 1 as line, case when doc_id % 10 = 1 or text is null or text = '' then 'the training text is empty'
+  when doc_id % 500 = 7 and doc_id % 3 > 0 then 'the training text has more than 1000000 characters' when doc_id % 500 <> 7 and length(text) > 1000000 then 'the training text has more than 1000000 characters' end as fault from documents""",
+    "split_id_faults": """select row_number() over (order by doc_id) as line, case doc_id % 7 when 0 then '5' when 1 then 'five' end as group_id,
+  case when doc_id % 7 >= 3 then 'group_id must be a string or an integer' end as fault from documents""",
+    "decision_shares": _D + " select count(*) as records, round(100.0 * count_if(decision = 'keep') / count(*), 2) as keep, round(100.0 * count_if(decision = 'review') / count(*), 2) as review, round(100.0 * count_if(decision = 'reject') / count(*), 2) as reject from d",
+    "masking_counters": _TALK + f""", x as (select {strip("said")} as f, {strip("answer")} as a, last_role from t),
+m as (select length(f) as n, case when last_role = 'assistant' and a <> '' and ends_with(f, a) and length(f) > length(a) then length(f) - length(a) end as p from x)
+select count(p) as masked_rows, cast(sum(coalesce(p, 0)) as bigint) as prompt_chars, cast(sum(n - coalesce(p, 0)) as bigint) as learned_chars from m""",
+    "strict_csv_faults": """with d as (select doc_id, doc_id % 20 as c, text, lang, case when doc_id % 20 = 5 then 1 else 1 + length(text) - length(replace(text, chr(10), '')) end as n from documents where text is not null),
+p as (select *, 2 + cast(coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as line from d)
+select line, case when c = 3 then 'csv_column_count_mismatch' else 'none' end as error, false as input_fatal, case when c <> 3 then sha256(text) end as text_sha256 from p where c <> 5
+union all select cast(2 + sum(n) as bigint), 'invalid_csv_syntax', true, null from p""",
 }
+_LINES = """with x as (select row_number() over (order by doc_id) as line, doc_id, doc_id % 50 as c from documents where text is not null),
+f as (select line, doc_id, case when doc_id % 1000 = 3 then 'row_exceeds_1_mib' when c = 5 then 'invalid_utf8' when c in (7, 13, 15) then 'invalid_json' when c = 9 then 'record_must_be_object' else 'none' end as error, c from x where c <> 11 or doc_id % 1000 = 3)"""
+SQL["strict_jsonl_faults"] = _LINES + " select line, error, false as input_fatal, case when error = 'none' and c <> 17 then cast(doc_id as varchar) end as group_id from f"
+SQL["dataset_inspection"] = _LINES + " select count(*) as rows, count_if(error <> 'none') as invalid_rows, arg_min(error, line) filter (where error in ('row_exceeds_1_mib', 'invalid_utf8')) as fault from f"
 SQL["stream_screen"] = _D + " select line, state_hash, decision, reason from d"

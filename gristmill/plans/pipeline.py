@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,61 +12,75 @@ from pyspark.sql import functions as F
 from gristmill import config as C
 from gristmill.functions.scratch import cut
 from gristmill.operators import bigram, report
-from gristmill.operators.screening import DECISION, Scorer, audit, cacheable, merge_cache, screen
+from gristmill.operators.screening import DECISION, Scorer, audit, cacheable, newest, screen, with_records
 from gristmill.operators.split import SPLITS, prepare
 from gristmill.operators.state import with_state
-from gristmill.sources import sinks
+from gristmill.sources import sinks, strict
 
-CACHE = f"config_hash string, state_hash string, result {DECISION}"
+CACHE = f"config_hash string, state_hash string, result {DECISION}, written long"
 
 
 class Pipeline:
     """Stages over one output folder; a later run over the same folder replays cached decisions."""
 
-    def __init__(self, spark: SparkSession, out: str, screening: dict[str, Any] | None = None, training: dict[str, Any] | None = None, scorer: Scorer | None = None):
-        self.spark, self.out, self.scorer = spark, out.rstrip("/"), scorer
-        self.screening, self.training = C.screening_config(screening or {}), C.training_config(training)
+    def __init__(self, spark: SparkSession, out: str, screening: dict[str, Any] | None = None, training: dict[str, Any] | None = None, scorer: Scorer | None = None, progress: Callable[[dict[str, Any]], None] | None = None):
+        self.spark, self.out, self.scorer, self.progress = spark, out.rstrip("/"), scorer, progress or (lambda _: None)
+        self.screening, self.training, self.splits = C.screening_config(screening or {}), C.training_config(training), "splits"
 
-    def screen(self, raw: DataFrame) -> tuple[DataFrame, dict[str, Any]]:
-        """Decide all records, write partitions, audit, cache and report."""
+    def screen(self, raw: DataFrame, source: str | None = None) -> tuple[DataFrame, dict[str, Any]]:
+        """Decide all records, write partitions, audit, cache and report. ``source``: the input's path, which must not lie in the output folder.
+
+        The cache is only ever appended to; on reading, the newest result of a state wins, so a run that
+        fails at any point loses none of it.
+        """
+        if source is not None and sinks.inside(self.spark, source, self.out):
+            raise ValueError("the input lies in the output folder")
+        self.progress({"stage": "screening"})
+        raw = cut(raw, "raw")
         where = f"{self.out}/cache"
-        cache = self.spark.read.schema(CACHE).parquet(where) if sinks.exists(self.spark, where) else None
+        cache = newest(self.spark.read.schema(CACHE).parquet(where)) if sinks.exists(self.spark, where) else None
         decided = cut(screen(raw, self.screening, cache, self.scorer), "decided")
-        sinks.write_partitions(decided, f"{self.out}/decisions")
+        fresh = cacheable(decided).withColumn("written", F.lit(time.time_ns()))
+        fresh.write.mode("append").partitionBy("config_hash").parquet(where)
+        full = with_records(decided, raw)
+        sinks.write_partitions(full, f"{self.out}/decisions")
         fatal = not decided.where("input_fatal").isEmpty()
         result = report.data_report(decided, self.screening, exhausted=not fatal, input_fatal=fatal)
         sinks.write_audit(audit(decided, result["mode"]), f"{self.out}/audit")
-        merged = cut(merge_cache(cache, cacheable(decided)), "cache")
-        merged.write.mode("overwrite").partitionBy("config_hash").parquet(where)
         sinks.write_json(self.spark, f"{self.out}/data_report.json", result)
-        return decided, result
+        self.progress({"stage": "data_evaluation", "counts": result["counts"], "processed": result["processed"]})
+        return full, result
 
     def train(self, decided: DataFrame) -> dict[str, Any]:
         """Split, train and evaluate the kept records; outputs must not exist yet."""
-        if sinks.exists(self.spark, f"{self.out}/splits"):
+        if sinks.exists(self.spark, f"{self.out}/{self.splits}"):
             raise ValueError("the output folder already has splits; use a new one")
-        kept = decided.where("result.decision = 'keep'")
+        self.progress({"stage": "training"})
+        kept = with_state(decided.where("result.decision = 'keep'"))
         split, groups = prepare(kept, self.training)
         split = cut(split, "split")
         rows = {r["split"]: r["n"] for r in split.groupBy("split").agg(F.count("*").alias("n")).collect()}
         if set(rows) != set(SPLITS):
             raise ValueError("every split must contain at least one record")
-        sinks.write_splits(split, f"{self.out}/splits")
+        sinks.write_splits(split, f"{self.out}/{self.splits}")
         result = bigram.train_and_evaluate(split, self.training) | {"split_counts": rows, "group_counts": groups, "config": self.training}
+        self.progress({"stage": "model_evaluation", "step": result["steps"]})
         model = result.pop("model")
         sinks.write_json(self.spark, f"{self.out}/model/byte_bigram.json", model)
         sinks.write_json(self.spark, f"{self.out}/training_report.json", result)
         sinks.write_json(self.spark, f"{self.out}/model_report.json", {k: v for k, v in result.items() if k != "loss_history"})
         return result
 
-    def run(self, raw: DataFrame) -> dict[str, Any]:
+    def run(self, raw: DataFrame, source: str | None = None) -> dict[str, Any]:
         """Both stages; an incomplete or unready screening stops before training."""
-        decided, data = self.screen(raw)
+        decided, data = self.screen(raw, source)
         if not data["complete"]:
             raise ValueError("screening is incomplete")
         if not data["training_ready"]:
             raise ValueError("too many records were not evaluated")
-        return {"data_report": data, "model_report": self.train(decided)}
+        out = {"data_report": data, "model_report": self.train(decided)}
+        self.progress({"stage": "completed"})
+        return out
 
 
 def summary(result: dict[str, Any]) -> str:
@@ -78,8 +94,17 @@ def summary(result: dict[str, Any]) -> str:
     ])
 
 
-def training_states(raw: DataFrame) -> DataFrame:
-    """Records with their states, any content fault an error: the input rule of training."""
-    df = with_state(raw)
+MAX_TRAINING_LINE = 8 << 20
+
+
+def training_records(spark: SparkSession, path: str) -> DataFrame:
+    """Kept records from a file of JSON lines, for training alone: any fault of a line raises ValueError.
+
+    Lines may have 8 MiB, and there is no review: a line that is no object, or whose content or ids do
+    not fit, stops the run with its number.
+    """
+    rows = with_state(strict.read_records(spark, path, "jsonl", MAX_TRAINING_LINE))
     fault = F.coalesce("input_error", "content_error")
-    return df.where(F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("bad record: "), fault)).cast("boolean")).otherwise(F.lit(True)))
+    if (first := rows.where(fault.isNotNull()).agg(F.min_by(F.struct("line", fault.alias("fault")), "line").alias("x")).first()["x"]) is not None:
+        raise ValueError(f"line {first['line']}: {first['fault']}")
+    return rows

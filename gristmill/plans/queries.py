@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from gristmill import config as C
 from gristmill.functions.scratch import cut, new_path
-from gristmill.functions.text import byte_tokens, has_email
+from gristmill.functions.text import has_email
 from gristmill.operators import bigram, report, split
 from gristmill.operators.gates import judge_answers, thresholds_table
-from gristmill.operators.screening import cacheable, prepared, replay_scorer, screen
-from gristmill.operators.state import answer_split, conversation, fields, state_hash, state_text, training_text, with_state
-from gristmill.sources import strict, tables
+from gristmill.operators.screening import cacheable, narrow, replay_scorer, screen
+from gristmill.operators.state import answer_split, conversation, fields, state_hash, state_text, training_fault, training_text, with_state
+from gristmill.sources import store, strict, tables
 from gristmill.streaming.screen import OUT, screen_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +63,7 @@ def screen_decisions_exact(spark, sf):
 
 @query
 def duplicate_groups(spark, sf):
-    df = prepared(docs(spark, sf), "whitespace").where("state_hash is not null")
+    df = narrow(docs(spark, sf), "whitespace").where("state_hash is not null")
     return df.groupBy("state_hash").agg(F.count("*").alias("n"), F.min("line").alias("first_line")).where("n > 1")
 
 
@@ -153,16 +153,25 @@ def answer_mask_cut(spark, sf):
     return df.select("line", F.length("x.full").cast("long").alias("full_chars"), F.length("x.prompt").cast("long").alias("prompt_chars"))
 
 
+def _cell(value):
+    """A JSON value of a preview as a plain string."""
+    return F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"]
+
+
 @query
 def preview_fields(spark, sf):
-    df = table(spark, sf, "documents").orderBy("doc_id").limit(8)
-    return df.select((F.col("doc_id") + 1).alias("line"), F.left("text", F.lit(800)).alias("text"), "lang", "source")
+    df = tables.records(table(spark, sf, "documents"), F.col("doc_id") + 1, "text", "lang", "source")
+    shown = strict.preview(df)
+    return shown.select("line", *(_cell(F.col("fields")[n]).alias(n) for n in ("text", "lang", "source")))
 
 
 @query
-def dataset_inspection(spark, sf):
-    df = docs(spark, sf)
-    return df.agg(F.count("*").alias("rows"), F.count_if(F.col("input_error").isNotNull()).alias("invalid_rows"))
+def preview_key_union(spark, sf):
+    """The first keys of the first records, which have different fields."""
+    d = table(spark, sf, "documents")
+    i = F.col("doc_id") % 3
+    df = tables.records(d.select("doc_id", "text", F.when(i == 1, F.col("lang")).alias("lang"), F.when(i == 2, F.col("source")).alias("source"), F.when(i == 0, F.col("n_chars")).alias("n_chars")), F.col("doc_id") + 1, "text", "lang", "source", "n_chars")
+    return strict.preview_keys(strict.preview(df)).select(F.posexplode("keys").alias("pos", "key")).select(F.col("pos").cast("long").alias("pos"), "key")
 
 
 @query
@@ -255,7 +264,7 @@ def thresholds(spark, sf):
 
 def answers_by_state(spark, sf) -> DataFrame:
     a = label_answers(table(spark, sf, "labels"))
-    states = prepared(docs(spark, sf, doc_id=F.col("doc_id")), "whitespace").where("state_hash is not null").groupBy("state_hash").agg(F.min("doc_id").alias("doc_id"))
+    states = narrow(docs(spark, sf, doc_id=F.col("doc_id")), "whitespace").where("state_hash is not null").groupBy("state_hash").agg(F.min("doc_id").alias("doc_id"))
     return states.join(a, "doc_id").select("state_hash", F.struct("model", "id", "usage", "answers").alias("response"))
 
 
@@ -313,11 +322,15 @@ def cache_replay(spark, sf):
 # Splits
 
 
-def grouped(spark, sf) -> DataFrame:
+def texts(spark, sf) -> DataFrame:
+    """``line, text, group_id`` of the documents that have content."""
     group = F.floor(F.col("doc_id") / 4).cast("long")
-    df = with_state(docs(spark, sf, group_id=group)).where("state is not null")
-    df = df.select("line", "group_id", training_text().alias("text"))
-    return df.withColumn("keys", split.split_keys(F.col("text"), F.col("group_id")))
+    return with_state(docs(spark, sf, group_id=group)).where("state is not null").select("line", "group_id", training_text().alias("text"))
+
+
+def grouped(spark, sf) -> DataFrame:
+    """``line, keys``: narrow rows, so no text takes part in joins."""
+    return cut(texts(spark, sf).select("line", split.split_keys(F.col("text"), F.col("group_id")).alias("keys")), "keys")
 
 
 def assigned(spark, sf, config: dict | None = None) -> DataFrame:
@@ -366,7 +379,8 @@ def split_seed_sensitivity(spark, sf):
 
 def training(spark, sf) -> tuple[DataFrame, DataFrame]:
     cfg = C.training_config()
-    rows = cut(assigned(spark, sf).select("line", "text", "split"), "split")
+    parts = assigned(spark, sf).select("line", "split")
+    rows = cut(texts(spark, sf).select("line", "text").join(parts, "line"), "split")
     return rows, cut(bigram.batches(rows.where("split = 'train'"), cfg), "steps")
 
 
@@ -377,9 +391,7 @@ def batch_steps(spark, sf):
 
 @query
 def byte_token_sums(spark, sf):
-    t = byte_tokens(F.col("text"), 256)
-    df = grouped(spark, sf).withColumn("t", t)
-    return df.select("line", F.size("t").cast("long").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    return bigram.token_sums(texts(spark, sf), 256)
 
 
 @query
@@ -473,21 +485,85 @@ def stream_screen(spark, sf):
     return spark.read.schema(OUT).parquet(f"{path}/out/decisions").select("line", "state_hash", "decision", "reason")
 
 
-RUNS = [(i, f"run-{i % 5}", f"2026-01-{i + 1:02d}") for i in range(12)]
+# Faults of files, ids and texts
+
+
+def _faulty_lines(spark, sf) -> str:
+    """Documents as JSON lines, some of them broken in each way a line can be, as one file with a byte order mark."""
+    i = F.col("doc_id")
+    hexed = lambda c: F.expr(f"cast(unhex('{c}') as string)")
+    bad = (
+        F.when(i % 1000 == 3, F.concat(F.lit('{"text": "'), F.repeat(F.lit("x"), 1 << 20), F.lit('"}'))).when(i % 50 == 5, hexed("7B2274657874223A22FF227D")).when(i % 50 == 7, "{broken}").when(i % 50 == 9, "[1, 2]").when(i % 50 == 11, "  ")
+        .when(i % 50 == 13, '{"text": "torn \\ud800 pair"}').when(i % 50 == 15, '{"text": "large", "n": 1e400}').when(i % 50 == 17, '{"text": "first", "text": "the last of two keys counts"}')
+    )
+    mark = F.when(i == 0, hexed("EFBBBF")).otherwise("")
+    good = F.to_json(F.struct("text", i.alias("group_id")))
+    return _as_files(spark, table(spark, sf, "documents").orderBy("doc_id").select(F.concat(mark, F.coalesce(bad, good)).alias("value")), "jsonl")
+
+
+@query
+def strict_jsonl_faults(spark, sf):
+    rows = strict.read_records(spark, _faulty_lines(spark, sf), "jsonl")
+    return rows.select("line", F.coalesce("input_error", F.lit("none")).alias("error"), "input_fatal", "group_id")
+
+
+@query
+def dataset_inspection(spark, sf):
+    return strict.inspection(strict.read_records(spark, _faulty_lines(spark, sf), "jsonl"))
+
+
+@query
+def strict_csv_faults(spark, sf):
+    """Documents as CSV with quoted newlines, ragged and blank rows, and an open quote at the end."""
+    i = F.col("doc_id")
+    quoted = F.concat(F.lit('"'), F.regexp_replace("text", '"', '""'), F.lit('"'))
+    row = F.when(i % 20 == 3, F.concat(quoted, F.lit(",x,y"))).when(i % 20 == 5, "").otherwise(F.concat(quoted, F.lit(","), F.col("lang")))
+    ends = spark.createDataFrame([(-1, "text,lang"), (1 << 62, '"never closed')], "doc_id long, value string")
+    path = _as_files(spark, table(spark, sf, "documents").select("doc_id", row.alias("value")).unionByName(ends).orderBy("doc_id").select("value"), "jsonl")
+    return strict.read_records(spark, path, "csv").select("line", F.coalesce("input_error", F.lit("none")).alias("error"), "input_fatal", F.sha2(F.col("fields.text.value").cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def split_id_faults(spark, sf):
+    """Grouping ids of every JSON type: strings and integers are keys, nulls are none, the others are faults."""
+    i = F.col("doc_id") % 7
+    value = F.when(i == 0, "5").when(i == 1, '"five"').when(i == 2, "null").when(i == 3, "5.5").when(i == 4, "true").when(i == 5, "[5]").otherwise('{"a": 5}')
+    lines_ = table(spark, sf, "documents").orderBy("doc_id").select(F.concat(F.lit('{"text": "some text", "group_id": '), value, F.lit("}")).alias("value"))
+    rows = strict.read_records(spark, _as_files(spark, lines_, "jsonl"), "jsonl")
+    faults = split.faults(with_state(rows).withColumn("text", training_text()))
+    return rows.join(faults, "line", "left").select("line", "group_id", F.col("fault").alias("fault"))
+
+
+@query
+def training_text_faults(spark, sf):
+    """Documents blank, as they are, and repeated beyond the limit."""
+    i = F.col("doc_id")
+    long_ = F.rpad(F.lit("x"), F.lit(1_000_000) + (i % 3).cast("int"), "y")
+    text = F.when(i % 10 == 1, "").when(i % 500 == 7, long_).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select((i + 1).alias("line"), training_fault(text).alias("fault"))
+
+
+@query
+def decision_shares(spark, sf):
+    """Shares of each decision in percent, and the number of records."""
+    return report.shares(screened(spark, sf))
+
+
+@query
+def masking_counters(spark, sf):
+    """Rows whose prompt is left out of the loss, characters left out and learned."""
+    df = with_state(tables.turns(table(spark, sf, "conversations"))).withColumn("x", answer_split())
+    return report.masking(df)
 
 
 @query
 def recent_runs(spark, sf):
-    """Runs by last write, second page of two."""
-    rows = spark.createDataFrame(RUNS, "seq long, id string, time string")
-    last = rows.groupBy("id").agg(F.max("seq").alias("seq"))
-    return last.orderBy(F.desc("seq")).offset(2).limit(2)
+    """Sources as items, written again by each of their documents: the second page of two, by last write."""
+    events = table(spark, sf, "documents").select(F.lit("run").alias("kind"), F.col("source").alias("id"), F.col("lang").alias("body"), F.col("doc_id").alias("seq"))
+    return store.page(store.newest_items(events, ["kind", "id"]), 2, 2).select("id", "seq", "body")
 
 
 @query
 def last_log_entries(spark, sf):
-    from pyspark.sql import Window
-
-    rows = spark.createDataFrame(RUNS, "seq long, id string, time string")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("time"))))
-    return ranked.where("r <= 2").select("id", "time")
+    """The last two turns of each conversation."""
+    return store.last_entries(table(spark, sf, "conversations"), "conv_id", "turn", 2).select("conv_id", "turn", "text")

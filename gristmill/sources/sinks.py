@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,18 @@ def write_audit(audit: DataFrame, path: str) -> None:
     audit.repartitionByRange("line").sortWithinPartitions("line").write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def _with_split_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for record, text, state, group in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            out.append(json.dumps(json.loads(record) | {"text": text, "_state": json.loads(state), "_split_group": group}, ensure_ascii=False))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["split", "value"])
+
+
 def write_splits(split: DataFrame, path: str) -> None:
-    """Records of each split with their training text, state and component; existing output is an error."""
-    rows = split.select("split", "line", "record", "text", F.to_json("state").alias("_state"), F.col("component").alias("_split_group"))
-    rows.repartitionByRange("line").sortWithinPartitions("split", "line").write.mode("errorifexists").partitionBy("split").json(path)
+    """Original records with ``text, _state, _split_group`` as JSON lines below ``split=...``; existing output is an error."""
+    rows = split.select("split", "line", "record", "text", F.to_json("state").alias("state"), "component").repartitionByRange("line").sortWithinPartitions("split", "line")
+    rows.drop("line").mapInArrow(_with_split_fields, "split string, value string").write.mode("errorifexists").partitionBy("split").text(path)
 
 
 def write_json(spark: SparkSession, path: str, value: dict[str, Any]) -> None:
@@ -45,6 +55,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def inside(spark: SparkSession, path: str, folder: str) -> bool:
+    """Whether ``path`` is ``folder`` or lies below it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    full = lambda p: (w := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).makeQualified(w).toString().rstrip("/") + "/"
+    return full(path).startswith(full(folder))
+
+
 def artifacts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".json", ".txt", ".parquet")) -> list[str]:
     """Files below ``path`` with a known suffix, sorted, relative to it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -17,6 +17,11 @@ def documents(df: DataFrame, **extra: Column) -> DataFrame:
     return _source(df, F.col("doc_id") + 1, fields(text=F.col("text")), F.to_json(F.struct("text")), extra)
 
 
+def records(df: DataFrame, line: Column, *names: str) -> DataFrame:
+    """Text records whose JSON has the named columns; nulls are left out."""
+    return _source(df, line, fields(text=F.col("text")), F.to_json(F.struct(*names)), {})
+
+
 def turns(df: DataFrame) -> DataFrame:
     """Message records, one per conversation, of ``conv_id, turn, role, text``."""
     talk = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))

@@ -39,48 +39,79 @@ def test_layouts_and_content_errors(spark, tmp_path):
     assert [r.error for r in rows] == [e for _, e in cases]
 
 
-def test_bad_lines_are_reviewed_and_counted(spark, tmp_path):
-    data = b'\xef\xbb\xbf{"text": "first line with mark"}\n{broken}\n\n[1,2]\n{"text":"\xff"}\n{"text": NaN}\n{"text":"\\ud800"}\n{"text":"fine","n":1e400}\n{"text": "x"} y\n{"a":1,"text":"good text here"}\r\n'
-    got, _ = decide(load(spark, tmp_path, data))
-    assert got == [
-        (1, "keep", "demo_rules_passed"), (2, "review", "invalid_json"), (4, "review", "record_must_be_object"), (5, "review", "invalid_utf8"), (6, "review", "invalid_json"),
-        (7, "review", "invalid_json"), (8, "review", "invalid_json"), (9, "review", "invalid_json"), (10, "keep", "demo_rules_passed"),
-    ]
+def faults(df):
+    return [(r.line, r.input_error) for r in df.orderBy("line").collect()]
 
 
-def test_oversized_row_then_recovery(spark, tmp_path):
-    fits = b'{"text": "' + b"y" * ((1 << 20) - 13) + b'"}\n'
-    data = b"x" * ((1 << 20) + 1) + b"\n" + lines({"text": "after the large row"}) + fits
-    got, _ = decide(load(spark, tmp_path, data), max_chars=1 << 20)
-    assert len(fits) == 1 << 20
-    assert got == [(1, "review", "row_exceeds_1_mib"), (2, "keep", "demo_rules_passed"), (3, "keep", "demo_rules_passed")]
-
-
-def test_csv(spark, tmp_path):
-    got, rows = decide(load(spark, tmp_path, b'text,owner\n"two\nlines here",me\nshort row\n\n"last, line",you\n', "a.csv"))
-    assert got == [(2, "keep", "demo_rules_passed"), (4, "review", "csv_column_count_mismatch"), (6, "keep", "demo_rules_passed")]
-    raw = load(spark, tmp_path, b'text\n"good row one"\n"open\n', "b.csv")
-    got, rows = decide(raw)
-    assert [(d, r) for _, d, r in got] == [("keep", "demo_rules_passed"), ("review", "invalid_csv_syntax")] and rows[1].fatal
-    for head in (b"a,a\nx,y\n", b"a,\nx,y\n"):
-        assert [r.input_error for r in load(spark, tmp_path, head, "c.csv").collect()] == ["csv_requires_unique_nonempty_headers"]
-    assert load(spark, tmp_path, b"", "d.csv").count() == 0
-    assert [r.input_error for r in load(spark, tmp_path, b"a\nx\n" + b"y" * (1 << 20) + b"y\n", "e.csv").collect()] == [None, "csv_row_exceeds_1_mib"]
-
-
-def test_data_sources(spark, tmp_path):
-    strict.register(spark)
-    (tmp_path / "x.jsonl").write_bytes(lines({"text": "hello there", "group_id": 5}))
-    (tmp_path / "x.csv").write_bytes(b"text\nhello there\n")
-    a = spark.read.format("strict_jsonl").load(str(tmp_path / "x.jsonl")).first()
-    b = spark.read.format("strict_csv").load(str(tmp_path / "x.csv")).first()
-    assert a.group_id == "5" and a.fields.text.value == b.fields.text.value == "hello there"
+def test_each_kind_of_broken_line(spark, tmp_path):
+    kinds = [
+        (b'\xef\xbb\xbf{"text": "a mark before the first line"}', None), (b"no json at all", "invalid_json"), (b"", "skipped"), (b" \t\x0b ", "skipped"), (b'"a string"', "record_must_be_object"), (b"null", "record_must_be_object"),
+        (b'{"text": "caf\xe9 in another encoding"}', "invalid_utf8"), (b'{"text": "x", "n": Infinity}', "invalid_json"), (b'{"text": "half a pair \\uDC00"}', "invalid_json"), (b'{"text": "a whole pair \\ud83d\\ude00"}', None),
+        (b'{"n": 1e999}', "invalid_json"), (b'{"n": 12345678901234567890123}', None), (b'{"a": 1} {"b": 2}', "invalid_json"), (b'{"a": 1, "a": 2}', None), (b'{"text": "ends with a carriage return"}\r', None), (b"[" * 100_000, "invalid_json"), (b'{"text": "no newline at the end"}', None),
+    ]
+    got = faults(load(spark, tmp_path, b"\n".join(k for k, _ in kinds)))
+    assert got == [(i, e) for i, (_, e) in enumerate(kinds, 1) if e != "skipped"]
+
+
+def test_line_numbers_over_many_splits_and_files(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for name in "ab":
+            (tmp_path / f"{name}.jsonl").write_bytes(b"\n" * 5 + b"".join(b'{"text": "%b number %d"}\n\n' % (name.encode(), i) for i in range(200)))
+        df = strict.read_records(spark, f"file://{tmp_path}", "jsonl")
+        assert df.rdd.getNumPartitions() > 4
+        want = {(6 + 2 * i, f"{n} number {i}") for n in "ab" for i in range(200)}
+        rows = df.select("line", "fields.text.value").collect()
+        assert len(rows) == 400 and {tuple(r) for r in rows} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("end", [b"\n", b""])
+def test_size_limit_counts_the_newline(spark, tmp_path, end):
+    wrap = lambda n: b'{"text": "' + b"z" * (n - 12) + b'"}'
+    limit = 1 << 20
+    data = wrap(limit - 1) + b"\n" + wrap(limit) + b"\n" + b'{"text": "small again"}\n' + wrap(limit) + end
+    last = "row_exceeds_1_mib" if end else None
+    assert faults(load(spark, tmp_path, data)) == [(1, None), (2, "row_exceeds_1_mib"), (3, None), (4, last)]
+
+
+def test_csv_cells():
+    cells = strict.csv_cells
+    assert cells('a,"b ""c"", d",\r\n') == ["a", 'b "c", d', ""] and cells('x"y,z\n') == ['x"y', "z"] and cells('"",""') == ["", ""]
+    for still_open in ('a,"b', '"x""', '"one\ntwo'):
+        assert cells(still_open) is None
+    for wrong in ('"a"b\n', "a\rb\n", '"a" ,b\n'):
+        with pytest.raises(strict.CsvSyntax):
+            cells(wrong)
+
+
+def test_csv_files(spark, tmp_path):
+    read = lambda data: [(r.line, r.input_error, r.fields.text.value) for r in load(spark, tmp_path, data, "t.csv").orderBy("line").collect()]
+    assert read(b'\xef\xbb\xbftext,n\r\n"over\ntwo, lines",1\r\n\r\nalone\n"q ""q""",2') == [(2, None, "over\ntwo, lines"), (5, "csv_column_count_mismatch", None), (6, None, 'q "q"')]
+    assert read(b"") == []
+    assert read(b'text\nfine\n"runs\non') == [(2, None, "fine"), (4, "invalid_csv_syntax", None)]
+    assert read(b'text\nfine\n"x" y\nafter\n') == [(2, None, "fine"), (3, "invalid_csv_syntax", None)]
+    assert read(b"text\nfine\n\xff\nafter\n") == [(2, None, "fine"), (3, "invalid_utf8", None)]
+    for head in (b"text,text", b"text,,n", b""):
+        assert read(head + b"\n1,2\n") == [(1, "csv_requires_unique_nonempty_headers", None)]
+    big = b'"' + b"line\n" * 300_000
+    assert [e for _, e, _ in read(b"text\nfine\n" + big)] == [None, "csv_row_exceeds_1_mib"]
+    assert all(r.input_fatal == (r.input_error is not None) for r in load(spark, tmp_path, b'text\nfine\n"open', "u.csv").collect())
+
+
+def test_ids_and_suffixes(spark, tmp_path):
+    ids = [("5", "5", False), ('"five"', "five", False), ("null", None, False), ("5.0", None, True), ("true", None, True), ("[5]", None, True), ("12345678901234567890", "12345678901234567890", False)]
+    rows = load(spark, tmp_path, b"".join(b'{"conversation_id": %b}\n' % v.encode() for v, *_ in ids)).orderBy("line").collect()
+    assert [(r.conversation_id, r.id_error) for r in rows] == [(k, "conversation_id must be a string or an integer" if bad else None) for _, k, bad in ids]
+    assert strict.format_of("X.NDJSON") == "jsonl"
     with pytest.raises(ValueError):
         strict.format_of("x.txt")
 
 
 def test_order_of_checks(spark, tmp_path):
-    data = lines({"text": "hi"}, {"text": "hi "}, {"text": "A useful   training example"}, {"text": " A useful training example \n"}, {"text": "write to me@example.com now"}, {"text": "Just enough"})
+    data = lines({"text": "short"}, {"text": "short "}, {"text": "spaces   may differ"}, {"text": "\tspaces may\u2003differ\n"}, {"text": "ask some.one@mail.example first"}, {"text": "8 chars!"})
     got, _ = decide(load(spark, tmp_path, data))
     assert [r for _, _, r in got] == ["content_length_outside_bounds", "exact_duplicate", "demo_rules_passed", "exact_duplicate", "demo_email_pattern", "demo_rules_passed"]
     got, _ = decide(load(spark, tmp_path, data), rubric="code")

@@ -36,9 +36,26 @@ def test_canonical_json_is_pythons(spark):
         assert r.j == json.dumps({"text": r.text}, ensure_ascii=False, separators=(",", ":"))
 
 
-def test_byte_tokens_cut_bytes_not_characters(spark):
-    r = spark.createDataFrame([("aé漢",)], "t string").select(T.byte_tokens(F.col("t"), 4).alias("x")).first()
-    assert r.x == [*"aé漢".encode()[:4], 256]
+def test_byte_tokens_cut_bytes_not_characters():
+    import pyarrow as pa
+
+    from gristmill.operators.bigram import tokens
+
+    texts = ["aé漢", "", "xy", "é" * 9]
+    context, token, size = tokens(pa.array(["left out", *texts])[1:], 4)
+    expected = [[*t.encode()[:4], 256] for t in texts]
+    assert size.tolist() == [len(e) for e in expected] and token.tolist() == sum(expected, [])
+    assert context.tolist() == sum(([257, *e[:-1]] for e in expected), [])
+
+
+def test_fold_is_split_and_join(spark):
+    import random
+
+    rng = random.Random(0)
+    texts = ["".join(rng.choice("ab  \n\t\x1c\x85\u00a0\u3000\u2028\u200b") for _ in range(rng.randrange(25))) for _ in range(500)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", T.fold(F.col("t")).alias("f")).collect()
+    assert {r.i: r.f for r in got} == {i: " ".join(t.split()) for i, t in enumerate(texts)}
+
 
 
 def test_digest(spark):
