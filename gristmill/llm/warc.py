@@ -35,7 +35,7 @@ SEGMENT, CHUNK, LEAST_REVISIT, FILE_RECORDS = 16 << 10, 4096, 100, 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, type string, uri string, page_id long, refers_to long, digest string, origin string, segment int, total long, block binary"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
-STEP, HEADER, BAD = 1 << 20, 1 << 20, (1 << 31) - 1  # BAD: a segment number that cannot be
+STEP, FEED, HEADER, BAD = 1 << 20, 1 << 13, 1 << 20, (1 << 31) - 1  # BAD: a segment number that cannot be
 _SIZE = re.compile(rb"[0-9A-Fa-f]{1,15}")
 _WHOLE = re.compile(r"[0-9]{1,18}")
 
@@ -136,18 +136,20 @@ def inflated(data: bytes) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield from (data[i : i + STEP] for i in range(0, len(data), STEP))
         return
-    rest = memoryview(data)
-    while len(rest):
+    view, at = memoryview(data), 0
+    while at < len(view):
         z = zlib.decompressobj(31)
         while not z.eof:
+            part = view[at : at + FEED]  # what a member leaves over is copied, so little is fed at a time
             try:
-                piece = z.decompress(rest, STEP)
+                piece = z.decompress(part, STEP)
             except zlib.error:
                 return
-            rest = memoryview(z.unused_data if z.eof else z.unconsumed_tail)
+            used = len(part) - len(z.unused_data) - len(z.unconsumed_tail)
+            at += used
             if piece:
                 yield piece
-            elif not len(rest) and not z.eof:
+            elif not used and not z.eof:
                 return
 
 
@@ -345,7 +347,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages, path, id_col, url_col, payload_col)
-    got = reassemble(read_warc(spark, path))
+    got = reassemble(cut(read_warc(spark, path), "parsed"))
     got = got.select("record_id", "page_id", "type", "refers_to", "digest", "complete", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     got = cut(got, "records")
     answers = got.where("type = 'response'")
