@@ -224,3 +224,12 @@ f as (select line, doc_id, case when doc_id % 1000 = 3 then 'row_exceeds_1_mib'
 SQL["strict_jsonl_faults"] = _LINES + " select line, error, false as input_fatal, case when error = 'none' and c <> 17 then cast(doc_id as varchar) end as group_id from f"
 SQL["dataset_inspection"] = _LINES + " select count(*) as rows, count_if(error <> 'none') as invalid_rows, arg_min(error, line) filter (where error in ('row_exceeds_1_mib', 'invalid_utf8')) as fault from f"
 SQL["stream_screen"] = _D + " select line, state_hash, decision, reason from d"
+SQL["decision_files"] = _D + " select decision, sha256(text) as text_sha256 from d"
+SQL["audit_rows"] = _D + " select line, state_hash, 'demo_rule_based' as mode, false as cache_hit, decision, reason from d"
+SQL["stored_decisions"] = _D + " select state_hash, decision, reason from d where reason in ('demo_rules_passed', 'demo_email_pattern')"
+_KEPT = f"""with recursive {_screen("select doc_id + 1 as line, text from documents")},
+k0 as (select line, {strip("text")} as text, (line - 1) // 4 as group_id from d where decision = 'keep'),
+k as (select line, text, 'text:' || sha256({fold("text")}) as a, 'group_id:' || sha256(cast(group_id as varchar)) as b from k0)""" + _COMP[_COMP.index(",\nadj as"):]
+_KEPT_SPLIT = _KEPT + ", " + _split(42)
+SQL["split_files"] = _KEPT_SPLIT + " select split, component, sha256(text) as text_sha256 from sp"
+SQL["model_artifact"] = _KEPT_SPLIT + _MODEL[len(_SPLIT):] + " select cast(prev as bigint) as prev, cast(token as bigint) as token, n from mo"

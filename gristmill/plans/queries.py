@@ -567,3 +567,55 @@ def recent_runs(spark, sf):
 def last_log_entries(spark, sf):
     """The last two turns of each conversation."""
     return store.last_entries(table(spark, sf, "conversations"), "conv_id", "turn", 2).select("conv_id", "turn", "text")
+
+
+# What a run writes, read back
+
+
+def _run(spark, sf, train: bool = False) -> str:
+    from gristmill.plans.pipeline import Pipeline
+
+    path = new_path(spark, "run")
+    run = Pipeline(spark, path)
+    decided, _ = run.screen(docs(spark, sf, group_id=F.floor(F.col("doc_id") / 4).cast("string")))
+    if train:
+        run.train(decided)
+    return path
+
+
+@query
+def decision_files(spark, sf):
+    """Records in the files of each decision, in their order: every file's lines ascend."""
+    rows = spark.read.text(f"{_run(spark, sf)}/decisions")
+    return rows.select("decision", F.sha2(F.get_json_object("value", "$.text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def audit_rows(spark, sf):
+    rows = spark.read.schema("line long, state_hash string, mode string, cache_hit boolean, decision string, reason string").json(f"{_run(spark, sf)}/audit")
+    return rows.select("line", "state_hash", "mode", "cache_hit", "decision", "reason")
+
+
+@query
+def split_files(spark, sf):
+    """Kept records with their split, component and training text."""
+    rows = spark.read.text(f"{_run(spark, sf, True)}/splits")
+    get = lambda n: F.get_json_object("value", f"$.{n}")
+    return rows.select("split", get("_split_group").alias("component"), F.sha2(get("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def model_artifact(spark, sf):
+    """Cells of the exported model that are not zero."""
+    text = spark.read.text(f"{_run(spark, sf, True)}/model/byte_bigram.json", wholetext=True)
+    cells = text.select(F.from_json("value", "counts array<array<long>>, model_type string").alias("m")).select(F.posexplode("m.counts").alias("prev", "row"))
+    return cells.select(F.col("prev").cast("long").alias("prev"), F.posexplode("row").alias("token", "n")).where("n > 0").select("prev", F.col("token").cast("long").alias("token"), "n")
+
+
+@query
+def stored_decisions(spark, sf):
+    """The cache of a run: one row per admissible state."""
+    from gristmill.operators.screening import newest
+    from gristmill.plans.pipeline import CACHE
+
+    return newest(spark.read.schema(CACHE).parquet(f"{_run(spark, sf)}/cache")).select("state_hash", F.col("result.decision").alias("decision"), F.col("result.reason").alias("reason"))
