@@ -71,15 +71,13 @@ def drop(*frames: DataFrame) -> None:
 @contextmanager
 def released() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Delete at the end all tables made meanwhile but those passed to the function it gives."""
-    before, kept, spark = set(_live), set(), None
+    before, kept = set(_live), set()
 
     def keep(df: DataFrame) -> DataFrame:
-        nonlocal spark
-        spark = df.sparkSession
         kept.add(df._scratch_path)
         return df
 
     yield keep
-    for path in _live - before - kept if spark else ():
+    for path in _live - before - kept:
         if path.rpartition("/")[0] in _live:  # not a run's folder itself
-            remove_path(spark, path)
+            remove_path(SparkSession.active(), path)

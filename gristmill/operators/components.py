@@ -1,9 +1,10 @@
 """Connected components of an edge table by repeated contraction.
 
-Every round each node hooks onto the smallest node next to it, chains of hooks are shortened by one
-pointer jump, and the edges are rewritten to the new labels. Edges inside a component vanish, so a
+Every round each node hooks onto the smallest node next to it, chains of hooks are shortened by
+pointer jumps, and the edges are rewritten to the new labels. Edges inside a component vanish, so a
 hub with very many neighbours costs one round: its edges become loops and are dropped. The number of
-rounds grows with the logarithm of the longest chain.
+rounds grows with the logarithm of the longest chain. A round writes its step and its edges; steps
+are composed once, at the end.
 """
 
 from __future__ import annotations
@@ -13,6 +14,14 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut, drop
 
+JUMPS = 2
+
+
+def _follow(nodes: DataFrame, step: DataFrame, column: str) -> DataFrame:
+    """``nodes`` with ``column`` moved on by a step; values without one stay."""
+    on = step.select(F.col("node").alias(column), F.col("up").alias("_to"))
+    return nodes.join(on, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Map every node that has an edge to the smallest node it can reach: columns ``node``, ``root``.
@@ -23,28 +32,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     left, right = F.col(a), F.col(b)
     live = edges.where(left.isNotNull() & right.isNotNull() & (left != right))
     live = cut(live.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct(), "edges")
-    labels = None
+    steps: list[DataFrame] = []
     while not live.isEmpty():
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "hook")
+        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))
         step = hook
-        for _ in range(2):
-            top = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            step = step.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
-        step = cut(step, "step")
-        if labels is None:
-            new = step.select("node", F.col("up").alias("root"))
-        else:
-            up = step.select(F.col("node").alias("root"), "up")
-            known = labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-            new = known
-        new = cut(new, "labels")
-        s, t = step.select(F.col("node").alias("a"), F.col("up").alias("ua")), step.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        moved = live.join(s, "a").join(t, "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
-        after = cut(moved.where("a != b").distinct(), "edges")
-        drop(live, hook, step, *([labels] if labels is not None else []))
-        live, labels = after, new
-    if labels is None:
+        for _ in range(JUMPS):
+            step = _follow(step, hook, "up")
+        step = cut(step.select("node", "up"), "step")
+        steps.append(step)
+        moved = _follow(_follow(live, step, "a"), step, "b").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        after = cut(moved.distinct(), "edges")
+        drop(live)
+        live = after
+    if not steps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # Hooks may have moved a label's own node last round; settle labels on their tops.
-    return labels
+    labels = steps[0].select("node", F.col("up").alias("root"))
+    for step in steps[1:]:
+        labels = _follow(labels, step, "root")
+    out = cut(labels.select("node", "root"), "labels")
+    drop(live, *steps)
+    return out

@@ -556,6 +556,17 @@ def masking_counters(spark, sf):
     return report.masking(df)
 
 
+@query
+def token_masking(spark, sf):
+    """The same in tokens of a public vocabulary; no SQL, the operator is tested against a tokenizer."""
+    import public_tokenizers
+
+    from gristmill.operators.encode import encode, masking_totals
+
+    df = with_state(tables.turns(table(spark, sf, "conversations"))).withColumn("x", answer_split())
+    return masking_totals(encode(df, public_tokenizers.path("byte_bpe_50k.json"), 50256, 256))
+
+
 @query
 def recent_runs(spark, sf):
     """Sources as items, written again by each of their documents: the second page of two, by last write."""

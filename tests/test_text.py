@@ -66,3 +66,27 @@ def test_digest(spark):
 @pytest.mark.parametrize("a,b,ok", [(1.0, 1.01, True), (1.0, 1.02, False), (1.0, 1.015, True)])
 def test_isclose(spark, a, b, ok):
     assert spark.range(1).select(T.isclose(F.lit(a), F.lit(b), 0.0150001)).first()[0] == ok
+
+
+def test_encoding_masks_a_prompt_that_begins_the_text(spark):
+    import pytest
+
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from gristmill.operators.encode import encode, masking_totals
+
+    path = public.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    pairs = [("user: how? \nassistant: so", "user: how? \nassistant: "), ("a b c", None), ("", None), ("x y z w v u t s r", "x y z w v u t s"), ("inseparable", "insep"), (None, None)]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(pairs)], "line long, x struct<full:string,prompt:string>")
+    for limit in (4, 64):
+        got = {r.line: (r.ids, r.masked) for r in encode(rows, path, 50256, limit).collect()}
+        for i, (full, prompt) in enumerate(pairs):
+            ids = [*t.encode(full or "", add_special_tokens=False).ids[: limit - 1], 50256]
+            cut = t.encode(prompt or "", add_special_tokens=False).ids
+            assert got[i] == (ids, len(cut) if cut and len(cut) < len(ids) and ids[: len(cut)] == cut else 0)
+        assert got[0][1] == 0 or limit > 4
+        sums = masking_totals(encode(rows, path, 50256, limit)).first()
+        assert sums.masked_rows == sum(m > 0 for _, m in got.values()) and sums.prompt_tokens + sums.learned_tokens == sum(len(ids) for ids, _ in got.values())
+    assert {r.masked for r in encode(rows, path, 50256, 64, answer_only=False).collect()} == {0}
