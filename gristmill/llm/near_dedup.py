@@ -38,7 +38,7 @@ from gristmill.llm.semi import keyed, perhaps_among, without
 from gristmill.llm.words import PHI, U, Words, buffers, chunks, distinct_sorted, mix, shingle_codes, shingles, values_of
 from gristmill.operators.components import connected_components
 
-BANDS, ROWS, BLOCK_MEMBERS, BLOCK_BYTES, HOT = 24, 4, 192, 4 << 20, 384
+BANDS, ROWS, BLOCK_MEMBERS, BLOCK_BYTES, HOT, PAIRS = 24, 4, 192, 4 << 20, 384, 256
 _NONE = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -128,8 +128,10 @@ def _confirm(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).cast(pa.large_binary()), batch.column(3).cast(pa.large_binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked(x, y)))
+            for lo in range(0, batch.num_rows, PAIRS):  # texts of some pairs are copied at a time
+                part = batch.slice(lo, PAIRS)
+                keep = linked(part.column(2).cast(pa.large_binary()), part.column(3).cast(pa.large_binary()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return run
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.scratch import cut
 from gristmill.llm.words import SPACE, buffers, chunks, values_of
 
-CAPACITY, SLACK, TEXT_BYTES = 1024, 12, 4 << 20
+CAPACITY, SLACK, TEXT_BYTES = 1024, 12, 1 << 20
 @lru_cache(maxsize=4096)
 def cut_lengths(rest: int, capacity: int = CAPACITY, slack: int = SLACK) -> tuple[int, ...]:
     """How a rest shorter than the capacity is cut."""
