@@ -197,9 +197,11 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _proposed(source: DataFrame, k: int, part: int) -> DataFrame:
     """Maximal spans by fingerprints: ``doc_id, version, start, length`` and the smallest source coordinate."""
     paths = source.where("doc_id is not null").mapInArrow(_paths(k, part), "doc_id long, version long, pos int, n int, part long, s1 long, s2 long")
+    paths = cut(paths, "paths")
     parts = paths.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("s1").alias("c"), F.max("s1").alias("d"))
     parts = cut(parts.where("a != b").select("part", (F.col("c") != F.col("d")).alias("branching")), "parts")
-    seen = cut(paths.join(parts, "part"), "paths")
+    seen = cut(paths.join(parts, "part"), "seen")
+    drop(paths, parts)
     own = seen.groupBy("part", "s1", "s2", "n").agg(F.min(F.struct("doc_id", "version", "pos")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id != last")
     own = cut(own.select("part", "s1", "s2", "n", F.col("at.doc_id").alias("source_id"), F.col("at.version").alias("source_version"), F.col("at.pos").alias("source_pos")), "sources")
     known = cut(seen.join(own, ["part", "s1", "s2", "n"], "left"), "known")
@@ -213,7 +215,7 @@ def _proposed(source: DataFrame, k: int, part: int) -> DataFrame:
     first = cut(first.select("part", "edge", F.col("at.doc_id").alias("source_id"), F.col("at.version").alias("source_version"), F.col("at.pos").alias("source_start")), "edges")
     single = edges.join(first, ["part", "edge"]).where("source_id < doc_id").select("doc_id", "version", (F.col("pos") + F.col("i")).alias("start"), F.lit(1).alias("windows"), "source_id", "source_version", "source_start")
     pieces = cut(whole.unionByName(single), "pieces")
-    drop(parts, seen, own, known, ask, opened, first)
+    drop(seen, own, known, ask, opened, first)
     line = Window.partitionBy("doc_id", "version", "source_id", "source_version", "diagonal").orderBy("start")
     runs = pieces.repartition("doc_id", "version").withColumn("diagonal", F.col("source_start") - F.col("start"))
     runs = runs.withColumn("end", F.col("start") + F.col("windows")).withColumn("reach", F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)))

@@ -615,3 +615,23 @@ def test_license_scores_against_brute_force(spark):
     assert sum(x > 0 for x in best.values()) > 20
     off = {i: (got[i], best[i]) for i in best if abs(got[i] - best[i]) > 1e-5}
     assert not off
+
+
+def test_line_spread_near_a_large_limit(spark):
+    """Around a limit of 200 sites the sketch only estimates, and lines near it are counted exactly."""
+    from gristmill.llm.line_spread import remove_spread_lines
+
+    spread = {f"on {n} sites": n for n in (20, 150, 196, 199, 200, 201, 204, 260, 400)}
+    rows = [(s, "\n".join(x for x, n in spread.items() if s % 400 < n) + f"\nown {s}", f"site {s % 400}") for s in range(600)]
+    got = remove_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), least_sites=200).collect()
+    gone = {x for x, n in spread.items() if n >= 200}
+    assert {r.doc_id: r.kept_text for r in got} == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t, _ in rows}
+
+
+def test_agreeing_words():
+    from gristmill.llm.substring_dedup import agreeing
+
+    words = b"a b c d e f g h".split()
+    assert agreeing(words, 1, b"b c d".split(), 3) == [(1, 4)] and agreeing(words, 1, b"b c d".split(), 4) == []
+    assert agreeing(words, 0, b"a b x d e f".split(), 3) == [(3, 6)] and agreeing(words, 0, b"a b c x e f g".split(), 3) == [(0, 3), (4, 7)]
+    assert agreeing(words, 6, b"g h i j".split(), 2) == [(6, 8)]
