@@ -165,6 +165,7 @@ def train_and_evaluate(split: DataFrame, config: dict[str, Any] | None = None) -
     """Model report of records with ``line, text, split``."""
     cfg = C.training_config(config)
     limit = cfg["max_seq_length"]
+    split = cut(split.select("line", "text", "split"), "texts")
     steps = cut(batches(split.where("split = 'train'"), cfg), "steps")
     model = cut(counts(steps, limit), "model")
     held = cut(counts(split.where("split != 'train'"), limit, "split"), "held")

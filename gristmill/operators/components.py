@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut, drop
 
-JUMPS = 2
+JUMPS = 1
 
 
 def _follow(nodes: DataFrame, step: DataFrame, column: str) -> DataFrame:

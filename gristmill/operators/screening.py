@@ -76,7 +76,7 @@ def first_lines(df: DataFrame, n: int, span: int = 1 << 16) -> DataFrame:
     return binned.join(ahead, "_bin").withColumn("_place", place + F.col("_ahead")).where(F.col("_place") <= n).drop("_bin", "_ahead", "_place")
 
 
-def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
+def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFrame | None = None, scorer: Scorer | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Decide every record: the carried columns and ``result`` (DECISION), ``state_hash``, ``config_hash``, ``is_dup``, ``cache_hit``, ``usage``.
 
     Order of checks: input error, content error, exact duplicate, length, cached decision, then the
@@ -84,11 +84,12 @@ def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFram
     with ``state_hash, state`` to ``state_hash, response (RESPONSE), failure``; it sees only distinct,
     uncached states, at most ``max_requests`` of them in line order. ``max_requests`` may be None, for no
     limit, only with ``replay_scorer``, which makes no requests. Malformed answers are asked for once more.
+    ``seen``: the result of ``narrow`` for these records and this rubric, where the caller has it.
     """
     cfg = C.screening_config(config or {})
     rubric = C.RUBRICS[cfg["rubric"]]
     run_hash = C.config_hash(cfg)
-    df = mark_duplicates(narrow(raw, rubric["dedupe"]))
+    df = mark_duplicates(narrow(raw, rubric["dedupe"]) if seen is None else seen)
     within = F.col("n_chars").between(cfg["min_chars"], cfg["max_chars"])
     df = df.withColumn("_open", F.col("input_error").isNull() & F.col("content_error").isNull() & ~F.col("is_dup") & F.coalesce(within, F.lit(False)))
     df = df.withColumn("_key", F.when(F.col("_open"), F.col("state_hash")).otherwise(F.col("line").cast("string")))

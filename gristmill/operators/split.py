@@ -70,17 +70,17 @@ def faults(kept: DataFrame) -> DataFrame:
 def prepare(kept: DataFrame, config: dict[str, Any] | None = None) -> tuple[DataFrame, dict[str, int]]:
     """Split kept records (``line, state`` and optional ``group_id, conversation_id, id_error``): adds text, keys, component, split.
 
-    Records with a badly typed id or an empty or over-long training text raise ValueError. Keys and
-    splits are found on narrow rows; texts meet their split once, by line.
+    Records with a badly typed id or an empty or over-long training text raise ValueError. Texts are
+    made once; keys and splits are found on narrow rows, which the result joins by line.
     """
-    has = lambda n: F.col(n) if n in kept.columns else None
     df = kept.withColumn("text", training_text())
-    wrong = F.coalesce(has("id_error") if "id_error" in kept.columns else F.lit(None).cast("string"), training_fault(F.col("text")))
-    keyed = cut(df.select("line", split_keys(F.col("text"), has("group_id"), has("conversation_id")).alias("keys"), wrong.alias("fault")), "keys")
-    if (first := keyed.where("fault is not null").agg(F.min_by(F.struct("line", "fault"), "line").alias("x")).first()["x"]) is not None:
+    base = cut(df.drop("fields"), "kept")
+    has = lambda n: F.col(n) if n in base.columns else None
+    keyed = cut(base.select("line", split_keys(F.col("text"), has("group_id"), has("conversation_id")).alias("keys")), "keys")
+    if (first := faults(base).agg(F.min_by(F.struct("line", "fault"), "line").alias("x")).first()["x"]) is not None:
         raise ValueError(f"line {first['line']}: {first['fault']}")
-    placed, groups = assign(with_component(keyed.drop("fault")), config)
-    return df.join(placed.select("line", "keys", "component", "split"), "line"), groups
+    placed, groups = assign(with_component(keyed), config)
+    return base.join(cut(placed.select("line", "keys", "component", "split"), "placed"), "line"), groups
 
 
 def leakage(df: DataFrame) -> DataFrame:

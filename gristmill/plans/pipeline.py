@@ -58,7 +58,6 @@ class Pipeline:
         self.progress({"stage": "training"})
         kept = with_state(decided.where("result.decision = 'keep'"))
         split, groups = prepare(kept, self.training)
-        split = cut(split, "split")
         rows = {r["split"]: r["n"] for r in split.groupBy("split").agg(F.count("*").alias("n")).collect()}
         if set(rows) != set(SPLITS):
             raise ValueError("every split must contain at least one record")

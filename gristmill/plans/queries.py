@@ -27,7 +27,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return tables.spread(df) if name == "documents" else df
 
 
 def docs(spark: SparkSession, sf: str, **extra) -> DataFrame:
@@ -262,14 +263,13 @@ def thresholds(spark, sf):
     return thresholds_table(spark, C.RUBRICS["general"], 0.85)
 
 
-def answers_by_state(spark, sf) -> DataFrame:
-    a = label_answers(table(spark, sf, "labels"))
-    states = narrow(docs(spark, sf, doc_id=F.col("doc_id")), "whitespace").where("state_hash is not null").groupBy("state_hash").agg(F.min("doc_id").alias("doc_id"))
-    return states.join(a, "doc_id").select("state_hash", F.struct("model", "id", "usage", "answers").alias("response"))
-
-
 def scored(spark, sf, cache: DataFrame | None = None) -> DataFrame:
-    return screen(docs(spark, sf), SCORED, cache, replay_scorer(answers_by_state(spark, sf)))
+    """Documents judged by answers made from their labels; one pass over the texts serves both sides."""
+    raw = docs(spark, sf, doc_id=F.col("doc_id"))
+    seen = narrow(raw, "whitespace")
+    states = seen.where("state_hash is not null").groupBy("state_hash").agg(F.min("doc_id").alias("doc_id"))
+    answers = states.join(label_answers(table(spark, sf, "labels")), "doc_id").select("state_hash", F.struct("model", "id", "usage", "answers").alias("response"))
+    return screen(raw, SCORED, cache, replay_scorer(answers), seen)
 
 
 @query
@@ -323,18 +323,19 @@ def cache_replay(spark, sf):
 
 
 def texts(spark, sf) -> DataFrame:
-    """``line, text, group_id`` of the documents that have content."""
+    """``line, text, group_id`` of the documents that have content, cut."""
     group = F.floor(F.col("doc_id") / 4).cast("long")
-    return with_state(docs(spark, sf, group_id=group)).where("state is not null").select("line", "group_id", training_text().alias("text"))
+    return cut(with_state(docs(spark, sf, group_id=group)).where("state is not null").select("line", "group_id", training_text().alias("text")), "texts")
 
 
-def grouped(spark, sf) -> DataFrame:
+def grouped(spark, sf, kept: DataFrame | None = None) -> DataFrame:
     """``line, keys``: narrow rows, so no text takes part in joins."""
-    return cut(texts(spark, sf).select("line", split.split_keys(F.col("text"), F.col("group_id")).alias("keys")), "keys")
+    kept = texts(spark, sf) if kept is None else kept
+    return cut(kept.select("line", split.split_keys(F.col("text"), F.col("group_id")).alias("keys")), "keys")
 
 
-def assigned(spark, sf, config: dict | None = None) -> DataFrame:
-    return split.assign(split.with_component(grouped(spark, sf)), config)[0]
+def assigned(spark, sf, config: dict | None = None, kept: DataFrame | None = None) -> DataFrame:
+    return split.assign(split.with_component(grouped(spark, sf, kept)), config)[0]
 
 
 @query
@@ -379,8 +380,8 @@ def split_seed_sensitivity(spark, sf):
 
 def training(spark, sf) -> tuple[DataFrame, DataFrame]:
     cfg = C.training_config()
-    parts = assigned(spark, sf).select("line", "split")
-    rows = cut(texts(spark, sf).select("line", "text").join(parts, "line"), "split")
+    kept = texts(spark, sf)
+    rows = cut(kept.select("line", "text").join(assigned(spark, sf, kept=kept).select("line", "split"), "line"), "split")
     return rows, cut(bigram.batches(rows.where("split = 'train'"), cfg), "steps")
 
 

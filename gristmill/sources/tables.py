@@ -12,6 +12,13 @@ def _source(df: DataFrame, line: Column, content: Column, record: Column, extra:
     return df.select(line.cast("long").alias("line"), record.alias("record"), F.lit(None).cast("string").alias("input_error"), F.lit(False).alias("input_fatal"), content.alias("fields"), *(c.alias(n) for n, c in extra.items()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores where its scan has fewer splits than there are cores: a small file's texts
+    would else be worked on by one. Larger inputs, which have more splits, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def documents(df: DataFrame, **extra: Column) -> DataFrame:
     """Text records of ``doc_id, text``; line numbers start at 1."""
     return _source(df, F.col("doc_id") + 1, fields(text=F.col("text")), F.to_json(F.struct("text")), extra)
