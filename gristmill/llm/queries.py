@@ -231,3 +231,75 @@ select c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 
 
 ORACLES["op6_risk_thresholds"] = _rules_sql()
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from gristmill.llm.periodic_runs import periodic_runs, planted, run_digests
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return run_digests(periodic_runs(docs))
+
+
+@query
+def op12_va_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from gristmill.llm.prefix_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op11_periodic_runs"] = r"""
+with bits as (select b, list_reduce(list_prepend(b::bigint, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) t(b)),
+tab as (select list(v order by b) as t from bits),
+d as (select doc_id, coalesce(text, '') as text, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) as h from documents, tab),
+w as (select doc_id, h, h // 10 as g, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n from d),
+a as (select *, case when h % 10 = 0 and n > 0 then g % n else n end as a from w),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+s as (select doc_id, unnest(range(n)) as i, a, p, w from p),
+t as (select doc_id, i, w[1 + case when i < a then i else a + (i - a) % p end] as word from s),
+e as (select x.doc_id, y.i - x.i as q, x.i from t x join t y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i),
+k as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as isle from e),
+m as (select doc_id, q, min(i) as s, count(*) + q as len from k group by doc_id, q, isle having count(*) >= q and count(*) + q >= 12),
+r as (select doc_id, s, len, min(q) as q from m group by 1, 2, 3),
+gone as (select distinct doc_id, i from (select doc_id, unnest(range(s + q, s + len)) as i from r)),
+c as (select t.doc_id, string_agg(word, ' ' order by t.i) as text from t left join gone using (doc_id, i) where gone.i is null group by 1),
+b as (select doc_id, count(*) as n_runs, arg_min({'s': s, 'len': len, 'q': q}, {'l': -len, 's': s, 'q': q}) as b, sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q)) as runs from r group by 1)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, b.b.s as start, b.b.len as length, b.b.q as period, 1000 * b.b.len // b.b.q as exponent_milli,
+       coalesce(runs, sha256('')) as runs_sha256, sha256(coalesce(c.text, '')) as collapsed_sha256
+from d left join b using (doc_id) left join c using (doc_id)
+"""
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Codebooks by name of round, as long tables of part, entry, component."""
+    steps = [
+        f"""
+v as (select row_number() over (order by vec_id) - 1 as r, vec_id, label, embedding from embeddings where embedding is not null and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))),
+f as (select r, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as j, len(embedding) // {parts} as width from v),
+x as (select r, j // width as part, j % width as j, cast(floor(1024 * x::double) as bigint) as x from f),
+c0 as (select part, r as entry, j, x from x where r < {entries})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"d{i} as (select x.r, x.part, c.entry, sum((x.x - c.x) * (x.x - c.x))::bigint as far from x join c{i} c using (part, j) group by 1, 2, 3)")
+        steps.append(f"a{i} as (select r, part, arg_min(entry, (far, entry)) as entry, min(far) as far from d{i} group by 1, 2)")
+        if i < rounds:
+            steps.append(f"m{i} as (select a.part, a.entry, x.j, cast(floor(sum(x.x) / count(*)) as bigint) as x from a{i} a join x using (r, part) group by 1, 2, 3)")
+            steps.append(f"c{i + 1} as (select part, entry, j, coalesce(m.x, c.x) as x from c{i} c left join m{i} m using (part, entry, j))")
+    return f"""with {", ".join(steps)},
+book as (select sha256(string_agg(x::varchar, ',' order by part, entry, j)) as h from c{rounds}),
+o as (select r, string_agg(lower(printf('%02x', entry)), '' order by part) as code, sum(far)::bigint as error from a{rounds} group by 1)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, h as codebooks_sha256 from v join o using (r), book"""
+
+
+ORACLES["op12_va_codes"] = _codes_sql()
