@@ -10,10 +10,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_live: set[str] = set()
+_made: set[str] = set()  # folders of applications
+_scopes: ContextVar[tuple[set[str], ...]] = ContextVar("scopes", default=())  # of this thread's open ``released`` blocks
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,13 +37,14 @@ def _file_system(spark: SparkSession, path: str):
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path; what is left below it goes when the driver's JVM ends, however the session stops."""
     own = f"{scratch_root(spark)}/gristmill-{spark.sparkContext.applicationId}"
-    if own not in _live:
+    if own not in _made:
         where, fs = _file_system(spark, own)
         fs.mkdirs(where)
         fs.deleteOnExit(where)
-        _live.add(own)
+        _made.add(own)
     path = f"{own}/{label}-{uuid.uuid4().hex}"
-    _live.add(path)
+    for scope in _scopes.get():
+        scope.add(path)
     return path
 
 
@@ -58,7 +61,8 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 def remove_path(spark: SparkSession, path: str) -> None:
     where, fs = _file_system(spark, path)
     fs.delete(where, True)
-    _live.discard(path)
+    for scope in _scopes.get():
+        scope.discard(path)
 
 
 def drop(*frames: DataFrame) -> None:
@@ -70,14 +74,17 @@ def drop(*frames: DataFrame) -> None:
 
 @contextmanager
 def released() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Delete at the end all tables made meanwhile but those passed to the function it gives."""
-    before, kept = set(_live), set()
+    """Delete at the end all tables that this thread made meanwhile but those passed to the function it gives."""
+    made, kept = set(), set()
 
     def keep(df: DataFrame) -> DataFrame:
         kept.add(df._scratch_path)
         return df
 
-    yield keep
-    for path in _live - before - kept:
-        if path.rpartition("/")[0] in _live:  # not a run's folder itself
-            remove_path(SparkSession.active(), path)
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+    for path in made - kept:
+        remove_path(SparkSession.active(), path)
