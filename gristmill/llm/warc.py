@@ -2,8 +2,8 @@
 
 Writing: a row becomes one record, or a first record and continuations when its block is larger than
 a segment. Every record is a gzip member of its own, so archives can be sought by member. Members go
-out through Spark's text writer, whose line end is an empty gzip member; so files reach any store
-Spark writes to and survive lost tasks.
+out through Spark's text writer, some to a row, whose line end is an empty gzip member; so files reach
+any store Spark writes to and survive lost tasks. An archive is cut by bytes (FILE_ROWS x ROW_BYTES).
 
 Reading: archives are inflated and parsed piece by piece by Content-Length; a task holds one archive
 as stored (below 2 GB, Spark's limit for a binary file) and one record. A record whose header has no
@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut, new_path
 
-SEGMENT, CHUNK, LEAST_REVISIT, FILE_RECORDS = 16 << 10, 4096, 100, 4096
+SEGMENT, CHUNK, LEAST_REVISIT = 16 << 10, 4096, 100
+ROW_BYTES, FILE_ROWS = 1 << 20, 96  # an archive has at most so many rows of so many bytes, and a record more in each
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, type string, uri string, page_id long, refers_to long, digest string, origin string, segment int, total long, block binary"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
 STEP, FEED, HEADER, BAD = 1 << 20, 1 << 13, 1 << 20, (1 << 31) - 1  # BAD: a segment number that cannot be
 _SIZE = re.compile(rb"[0-9A-Fa-f]{1,15}")
-_WHOLE = re.compile(r"[0-9]{1,18}")
+_WHOLE = re.compile(r"-?[0-9]{1,19}")
 
 
 def member(data: bytes) -> bytes:
@@ -87,31 +88,36 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 
 
 def _records(segment: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            out: list[bytes] = []
-            size = 0
             for page, url, payload, digest, revisit, first_page in zip(*(c for c in batch.columns), strict=True):
                 page, digest, row = page.as_py(), digest.as_py(), row + 1
                 own = record_id(page, f"{task}/{row}")
                 common = [("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Target-URI", _one_line(url.as_py() or "") or None), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-ID", page)]
                 if revisit.as_py():
                     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-                    out.append(_record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", first_page.as_py()), ("Content-Type", "application/http; msgtype=response")], head))
-                else:
-                    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload.as_py())
-                    parts = [block[i : i + segment] for i in range(0, len(block), segment)]
-                    kind = ("Content-Type", "application/http; msgtype=response")
-                    out.append(_record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("WARC-Segment-Number", 1 if len(parts) > 1 else None), kind], parts[0]))
-                    for n, part in enumerate(parts[1:], 2):
-                        again = record_id(page, f"{task}/{row}#{n}")
-                        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", again), *common[:2], ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)], part))
-                size += len(out[-1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", first_page.as_py()), ("Content-Type", "application/http; msgtype=response")], head)
+                    continue
+                block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload.as_py())
+                parts = [block[i : i + segment] for i in range(0, len(block), segment)]
+                kind = ("Content-Type", "application/http; msgtype=response")
+                yield _record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("WARC-Segment-Number", 1 if len(parts) > 1 else None), kind], parts[0])
+                for n, part in enumerate(parts[1:], 2):
+                    again = record_id(page, f"{task}/{row}#{n}")
+                    yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", again), *common[:2], ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)], part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of whole records, about ROW_BYTES each, so that rows count bytes."""
+        held, size = [], 0
+        for record in members(batches):
+            held.append(record)
+            size += len(record)
+            if size >= ROW_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
 
     return run
 
@@ -128,7 +134,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     revisit = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     full = full.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), "first_page")
     out = full.mapInArrow(_records(segment), "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    out.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def inflated(data: bytes) -> Iterator[bytes]:
@@ -222,7 +228,7 @@ def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple]:
                 segment = BAD
         else:
             kind, segment, block = "invalid", BAD, b""
-        page = lambda name: _number(fields.get(name), 0, (1 << 63) - 1, None)
+        page = lambda name: _number(fields.get(name), -(1 << 63), (1 << 63) - 1, None)
         total = _number(fields.get("warc-segment-total-length"), 0, 1 << 50, -1)
         yield (
             fields.get("warc-record-id"), kind, fields.get("warc-target-uri"), page("x-page-id"), page("x-refers-to-page-id"),
@@ -340,7 +346,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write ``pages`` to archives, read them back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
     Null payloads are empty. Rows repeated with one id are records of their own, and if that id is the
-    smallest of its payload all of them are responses. A null id is larger than any other, and equal to
+    smallest of its payload all of them are responses. Ids have the whole range of a long. A null id is larger than any other, and equal to
     null. Revisits take their length from the response they refer to, whose digest must agree. Other columns are not read; an empty
     table gives an empty result.
     """
