@@ -5,11 +5,15 @@ smallest (flattest mix) with an entropy of at most the target and no source repe
 limit; both fall as e grows, so e is bisected, GRID + 1 sections to a pass over the source table.
 
 Weights turn into token quotas of the budget. A source's documents fall into at most MAX_BLOCKS
-blocks by hash. A quota is met by whole passes over the source and a last, partial pass through a
-permutation of its blocks: whole blocks while they fit, then documents of the next block in hash
-order while they fit. A block has a turn, its place in that permutation; ``mix(ordered=True)`` puts
-the rows of every pass out in the order of its own permutation. No window ever holds more than the
-blocks of a source or the narrow rows of one block (a source's tokens over MAX_BLOCKS).
+blocks by hash; one longer than a block is a block of its own (at most as many again). A quota is met by
+whole passes over the source and a last, partial pass through a permutation of its blocks, the long
+documents first, longest first: each block that fits the room left is taken and others are skipped. Then the
+first skipped block of several documents, the edge, gives its shortest documents while they fit. So a
+source falls short of its quota by less than the shortest document that its edge leaves out or, where
+all ordinary blocks are in, by less than the shortest long document left out. A block has a turn, its
+place in that permutation; ``mix(ordered=True)`` puts the rows of every pass out in the order of its
+own permutation. No window or list ever holds more than the blocks of a source or the narrow rows of
+one block (a source's tokens over MAX_BLOCKS).
 
 A source cannot be repeated less than the budget share on average, so a limit below it is refused.
 """
@@ -81,24 +85,30 @@ def exponent(sources: DataFrame, budget_share: float, entropy_share: float | Non
 
 
 class Plan:
-    """``blocks``: source, block, base copies, and how its last pass ends; ``edge``: documents of blocks cut by it."""
+    """``sources``: their number of hashed blocks; ``blocks``: source, block, copies, turn; ``special``: documents
+    that are a block of their own (``own``) or taken once more from the edge (``more``)."""
 
-    def __init__(self, sources: DataFrame, blocks: DataFrame, edge: DataFrame, e: float):
-        self.sources, self.blocks, self.edge, self.exponent = sources, blocks, edge, e
+    def __init__(self, sources: DataFrame, blocks: DataFrame, special: DataFrame, e: float):
+        self.sources, self.blocks, self.special, self.exponent = sources, blocks, special, e
 
     def copies(self, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-        """``docs`` with ``__gm_copies``, how often the mix holds each row, and its ``__gm_block`` and ``__gm_turn``."""
+        """``__gm_all`` (a row of ``docs``), ``copies`` (how often the mix holds it), ``block``, ``turn``, ``source``, ``key`` (its id)."""
         source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
         key = F.col(id_col).cast("long")
-        keyed = docs.withColumn("__gm_source", source).withColumn("__gm_key", key).withColumn("__gm_number", _number(_hash(key)))
-        plan = self.sources.select(F.col("source").alias("__gm_source"), F.col("n_blocks").alias("__gm_n"))
-        keyed = keyed.join(plan, "__gm_source").withColumn("__gm_block", F.pmod("__gm_number", "__gm_n"))
-        blocks = self.blocks.select(F.col("source").alias("__gm_source"), F.col("block").alias("__gm_block"), F.col("copies").alias("__gm_whole"), F.col("edge").alias("__gm_edge"), F.col("turn").alias("__gm_turn"))
-        keyed = keyed.join(blocks, ["__gm_source", "__gm_block"])
-        edge = self.edge.select(F.col("source").alias("__gm_s"), F.coalesce("doc_id", F.lit(-1)).alias("__gm_k"), F.col("doc_id").isNull().alias("__gm_none"), F.lit(1).alias("__gm_more"))
-        keyed = keyed.join(edge, (F.col("__gm_source") == F.col("__gm_s")) & (F.coalesce("__gm_key", F.lit(-1)) == F.col("__gm_k")) & (F.col("__gm_key").isNull() == F.col("__gm_none")), "left")
-        out = keyed.withColumn("__gm_copies", (F.col("__gm_whole") + F.when(F.col("__gm_edge"), F.coalesce("__gm_more", F.lit(0))).otherwise(0)).cast("long"))
-        return out.select(*docs.columns, "__gm_copies", "__gm_block", "__gm_turn", "__gm_source", "__gm_key")
+        keyed = docs.select(F.struct("*").alias("__gm_all"), source.alias("source"), key.alias("key"), _number(_hash(key)).alias("number"))
+        keyed = keyed.join(self.sources.select("source", "n_blocks"), "source")
+        special = self.special.select(F.col("source").alias("s"), F.coalesce("doc_id", F.lit(-1)).alias("k"), F.col("doc_id").isNull().alias("none"), "own", "more")
+        same = (F.col("source") == F.col("s")) & (F.coalesce("key", F.lit(-1)) == F.col("k")) & (F.col("key").isNull() == F.col("none"))
+        keyed = keyed.join(special, same, "left").withColumn("block", F.coalesce("own", F.pmod("number", "n_blocks")))
+        keyed = keyed.join(self.blocks.select("source", "block", F.col("copies").alias("whole"), "turn"), ["source", "block"])
+        return keyed.select("__gm_all", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("long").alias("copies"), "block", "turn", "source", "key")
+
+
+def _filled(blocks: Column, rest: Column) -> Column:
+    """The blocks (turn, block, tokens) that fit one after the other into ``rest``, and the ``room`` they leave."""
+    start = F.struct(rest.alias("room"), F.array().cast("array<long>").alias("taken"))
+    take = lambda at, b: F.struct((at["room"] - b["tokens"]).alias("room"), F.concat(at["taken"], F.array(b["block"])).alias("taken"))
+    return F.aggregate(blocks, start, lambda at, b: F.when(b["tokens"] <= at["room"], take(at, b)).otherwise(at))
 
 
 def plan(sized: DataFrame, budget_share: float = 1.0, entropy_share: float | None = 0.5, max_repeat: float | None = 4.0) -> Plan:
@@ -112,18 +122,30 @@ def plan(sized: DataFrame, budget_share: float = 1.0, entropy_share: float | Non
     quota = F.floor(F.col("power") / F.lit(z) * F.lit(budget_share * total) + 0.5)
     shares = shares.withColumn("quota", quota).withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(0).cast("long"))
     shares = shares.withColumn("rest", F.col("quota") - F.col("passes") * F.col("tokens"))
-    shares = cut(shares.withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("long")).select("source", "tokens", "quota", "passes", "rest", "n_blocks"), "quotas")
-    member = sized.join(shares.select("source", "n_blocks"), "source").withColumn("number", _number(_hash(F.col("doc_id")))).withColumn("block", F.pmod("number", "n_blocks"))
-    blocks = member.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")).join(shares.select("source", "passes", "rest"), "source")
-    turns = Window.partitionBy("source").orderBy(_hash(F.col("source"), F.col("passes"), F.col("block")), "block")
-    order = turns.rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("turn", (F.row_number().over(turns) - 1).cast("long")).withColumn("after", F.sum("tokens").over(order)).withColumn("before", F.col("after") - F.col("tokens"))
-    fits = F.col("after") <= F.col("rest")
-    blocks = blocks.select("source", "block", "turn", (F.col("passes") + F.when(fits, 1).otherwise(0)).alias("copies"), (~fits & (F.col("before") < F.col("rest"))).alias("edge"), (F.col("rest") - F.col("before")).alias("room"))
-    blocks = cut(blocks, "blocks")
-    inside = Window.partitionBy("source", "block").orderBy(_hash(F.col("doc_id")), "doc_id")  # rows that repeat an id are taken together
-    edge = member.join(blocks.where("edge").select("source", "block", "room"), ["source", "block"]).withColumn("sum", F.sum("n_tokens").over(inside)).where("sum <= room").select("source", "doc_id").distinct()
-    return Plan(shares, blocks, cut(edge, "edge"), e)
+    shares = shares.withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("long"))
+    shares = shares.withColumn("length", F.greatest(F.lit(BLOCK_TOKENS), F.ceil(F.col("tokens") / MAX_BLOCKS)).cast("long"))
+    shares = cut(shares.select("source", "tokens", "quota", "passes", "rest", "n_blocks", "length"), "quotas")
+    rows = sized.join(shares.select("source", "n_blocks", "length"), "source")
+    long = rows.where(F.col("n_tokens") > F.col("length")).groupBy("source", "doc_id", "n_blocks").agg(F.sum("n_tokens").alias("tokens"))  # at most MAX_BLOCKS of a source
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("tokens"), _hash(F.col("doc_id")), "doc_id"))
+    long = cut(long.select("source", "doc_id", (F.col("n_blocks") + rank - 1).alias("own")), "long")
+    alone = long.select(F.col("source").alias("s"), F.col("doc_id").alias("k"), "own")
+    member = rows.join(alone, (F.col("source") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("k")), "left")
+    member = member.select("source", "doc_id", "n_tokens", F.coalesce("own", F.pmod(_number(_hash(F.col("doc_id"))), "n_blocks")).alias("block"), F.col("own").isNotNull().alias("single"))
+    blocks = member.groupBy("source", "block", "single").agg(F.sum("n_tokens").alias("tokens")).join(shares.select("source", "passes", "rest"), "source")
+    turns = Window.partitionBy("source").orderBy(F.desc("single"), F.when(F.col("single"), F.col("block")), _hash(F.col("source"), F.col("passes"), F.col("block")), "block")
+    blocks = cut(blocks.withColumn("turn", (F.row_number().over(turns) - 1).cast("long")), "blocks")
+    filled = blocks.groupBy("source", "rest").agg(F.sort_array(F.collect_list(F.struct("turn", "block", "tokens"))).alias("blocks"))
+    filled = cut(filled.select("source", _filled(F.col("blocks"), F.col("rest")).alias("x")).select("source", "x.room", "x.taken"), "filled")
+    taken = filled.select("source", F.explode("taken").alias("block"), F.lit(1).alias("once"))
+    blocks = blocks.join(taken, ["source", "block"], "left").select("source", "block", "turn", "single", "once", (F.col("passes") + F.coalesce("once", F.lit(0))).alias("copies"))
+    blocks = cut(blocks, "turns")
+    edge = blocks.where("once is null and not single").groupBy("source").agg(F.min_by("block", "turn").alias("block")).join(filled.select("source", "room"), "source").where("room > 0")
+    inside = Window.partitionBy("source", "block").orderBy("tokens", _hash(F.col("doc_id")), "doc_id")
+    units = member.join(edge, ["source", "block"]).groupBy("source", "block", "room", "doc_id").agg(F.sum("n_tokens").alias("tokens"))  # rows that repeat an id are taken together
+    more = units.withColumn("sum", F.sum("tokens").over(inside)).where("sum <= room").select("source", "doc_id", F.lit(None).cast("long").alias("own"), F.lit(1).alias("more"))
+    special = long.select("source", "doc_id", "own", F.lit(0).alias("more")).unionByName(more)
+    return Plan(shares, blocks, cut(special, "special"), e)
 
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -138,8 +160,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     raises ValueError.
     """
     sized = cut(sizes(docs, id_col, text_col, source_col), "sizes")
-    out = plan(sized, **how).copies(sized)
-    return out.select("doc_id", "source", "n_tokens", F.col("__gm_copies").alias("copies"), F.col("__gm_block").alias("block"), F.col("__gm_turn").alias("turn"))
+    return plan(sized, **how).copies(sized).select("__gm_all.doc_id", "__gm_all.source", "__gm_all.n_tokens", "copies", "block", "turn")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False, **how) -> DataFrame:
@@ -148,10 +169,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``ordered``: in the order of the passes and, in each pass, of its permutation of blocks.
     """
     sized = cut(sizes(docs, id_col, text_col, source_col), "sizes")
-    out = plan(sized, **how).copies(docs, id_col, source_col).where("__gm_copies > 0")
-    out = out.withColumn("__gm_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__gm_copies") - 1)))
+    out = plan(sized, **how).copies(docs, id_col, source_col).where("copies > 0")
+    out = out.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     if ordered:
-        order = ["__gm_pass", "__gm_place", "__gm_block", "__gm_number", "__gm_key"]
-        place = _hash(F.col("__gm_source"), F.col("__gm_pass"), F.col("__gm_block"))
-        out = out.withColumn("__gm_place", place).withColumn("__gm_number", _hash(F.col("__gm_key"))).repartitionByRange(*order).sortWithinPartitions(*order)
-    return out.select(*docs.columns)
+        order = ["pass", "place", "block", "number", "key"]
+        out = out.withColumn("place", _hash(F.col("source"), F.col("pass"), F.col("block"))).withColumn("number", _hash(F.col("key"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    return out.select("__gm_all.*")

@@ -119,16 +119,24 @@ pw as (select s.source, s.tokens, case when s.tokens > 0 then (s.tokens / cast(g
 qt as (select source, tokens, cast(floor(power / (select sum(power) from pw) * total + 0.5) as bigint) as quota from pw),
 pl as (select source, tokens, quota, case when tokens > 0 then cast(floor(quota / tokens) as bigint) else 0 end as passes,
          cast(greatest(1, least(4096, ceil(tokens / 65536.0))) as bigint) as n_blocks from qt),
-me as (select d.doc_id, d.source, d.n_tokens, p.passes, p.quota - p.passes * p.tokens as rest, md5('mix/' || d.doc_id) as h,
-         cast('0x' || substr(md5('mix/' || d.doc_id), 1, 8) as bigint) % p.n_blocks as block from sized d join pl p using (source)),
-bl as (select source, block, passes, rest, sum(n_tokens) as tokens from me group by 1, 2, 3, 4),
-cu as (select *, sum(tokens) over (partition by source order by md5('mix/' || source || '/' || passes || '/' || block), block rows unbounded preceding) as after,
-         row_number() over (partition by source order by md5('mix/' || source || '/' || passes || '/' || block), block) - 1 as turn from bl),
-ed as (select m.*, c.after, c.turn, c.tokens, c.after - c.tokens as before,
-         sum(m.n_tokens) over (partition by m.source, m.block order by m.h, m.doc_id) as inside from me m join cu c using (source, block))
-select doc_id, source, n_tokens,
-       cast(passes + case when after <= rest then 1 when before < rest and inside <= rest - before then 1 else 0 end as bigint) as copies, block, turn
-from ed
+lo as (select d.source, d.doc_id, p.n_blocks + row_number() over (partition by d.source order by sum(n_tokens) desc, md5('mix/' || d.doc_id), d.doc_id) - 1 as own
+       from sized d join pl p using (source) where n_tokens > greatest(65536, ceil(p.tokens / 4096.0)) group by d.source, d.doc_id, p.n_blocks),
+me as (select d.doc_id, d.source, d.n_tokens, p.passes, p.quota - p.passes * p.tokens as rest, md5('mix/' || d.doc_id) as h, own is not null as single,
+         coalesce(own, cast('0x' || substr(md5('mix/' || d.doc_id), 1, 8) as bigint) % p.n_blocks) as block from sized d join pl p using (source) left join lo using (source, doc_id)),
+bl as (select source, block, single, passes, rest, sum(n_tokens) as tokens from me group by 1, 2, 3, 4, 5),
+tu as (select *, row_number() over (partition by source order by single desc, case when single then block end, md5('mix/' || source || '/' || passes || '/' || block), block) - 1 as turn from bl),
+fi(source, turn, room, once) as (
+  select distinct source, cast(-1 as bigint), cast(rest as hugeint), 0 from tu
+  union all
+  select f.source, t.turn, case when t.tokens <= f.room then f.room - t.tokens else f.room end, case when t.tokens <= f.room then 1 else 0 end
+  from fi f join tu t on t.source = f.source and t.turn = f.turn + 1),
+ro as (select source, arg_max(room, turn) as room from fi group by 1),
+cu as (select t.*, f.once from tu t join fi f using (source, turn)),
+eb as (select source, arg_min(block, turn) as block from cu where once = 0 and not single group by 1),
+un as (select m.source, m.doc_id, m.h, room, sum(m.n_tokens) as tokens from me m join eb using (source, block) join ro using (source) where room > 0 group by 1, 2, 3, 4),
+ed as (select source, doc_id from (select *, sum(tokens) over (partition by source order by tokens, h, doc_id) as s from un) where s <= room)
+select m.doc_id, m.source, n_tokens, cast(c.passes + c.once + case when ed.doc_id is not null then 1 else 0 end as bigint) as copies, m.block, c.turn
+from me m join cu c using (source, block) left join ed on ed.source = m.source and ed.doc_id = m.doc_id
 """
 
 

@@ -348,6 +348,68 @@ def test_mixing(docs, rows, empty):
     assert mix_counts(empty).count() == 0 and mix(empty).count() == 0
 
 
+def brute_mix(rows, length, quota, passes):
+    """Copies of (id, n) rows of one source: long documents first, longest first, then blocks in turn, then the edge."""
+    md5 = lambda *p: hashlib.md5("/".join(["mix", *map(str, p)]).encode()).hexdigest()
+    tokens = sum(n for _, n in rows)
+    n_blocks, rest = max(1, -(-tokens // length)), quota - passes * tokens
+    by_id = defaultdict(int)
+    for i, n in rows:
+        by_id[i] += n
+    long = sorted({i for i, n in rows if n > length}, key=lambda i: (-by_id[i], md5(i), i))
+    block = {i: n_blocks + long.index(i) if i in long else int(md5(i)[:8], 16) % n_blocks for i in by_id}
+    sizes = Counter()
+    for i, n in by_id.items():
+        sizes[block[i]] += n
+    turns = sorted(sizes, key=lambda b: (b < n_blocks, b if b >= n_blocks else 0, md5("a", passes, b), b))
+    taken = set()
+    for b in turns:
+        if sizes[b] <= rest:
+            taken.add(b)
+            rest -= sizes[b]
+    edge = next((b for b in turns if b < n_blocks and b not in taken), None)
+    more = set()
+    for i in sorted((i for i in by_id if block[i] == edge), key=lambda i: (by_id[i], md5(i), i)):
+        if by_id[i] > rest:
+            break
+        more.add(i)
+        rest -= by_id[i]
+    return {i: (passes + (block[i] in taken or i in more), block[i], turns.index(block[i])) for i in by_id}, rest
+
+
+@pytest.mark.parametrize("budget, repeat", [(0.9, 1.0), (0.5, 1.0), (2.3, 4.0)])
+def test_mixing_behind_long_documents(spark, monkeypatch, budget, repeat):
+    """Documents of many blocks' length, and rows that repeat an id: the quota is met but for a short document."""
+    from gristmill.llm import mixing
+
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 1000)
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(1, 200)) for i in range(300)] + [(1000, 30_000), (1001, 9000), (1002, 9000), (1003, 1001), (7, 50), (7, 60), (1003, 5)]
+    docs = spark.createDataFrame([(i, "w " * n, "a", "kept", 5) for i, n in rows], "doc_id long, text string, source string, copies string, __gm_copies int").repartition(3)
+    got = mixing.mix_counts(docs, budget_share=budget, entropy_share=None, max_repeat=repeat).collect()
+    tokens = sum(n for _, n in rows)
+    quota = int(budget * tokens + 0.5)
+    want, short = brute_mix(rows, 1000, quota, quota // tokens)
+    assert Counter((r.doc_id, r.n_tokens, (r.copies, r.block, r.turn)) for r in got) == Counter((i, n, want[i]) for i, n in rows)
+    assert quota - sum(r.n_tokens * r.copies for r in got) == short < 200
+    out = mixing.mix(docs, ordered=True, budget_share=budget, entropy_share=None, max_repeat=repeat)
+    assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: 0 for r in got} | {i: sum(r.copies for r in got if r.doc_id == i) for i, _ in rows}) - Counter()
+
+
+def test_reserved_names_may_come_with_the_table(spark):
+    from gristmill.llm.exact_dedup import drop_exact_duplicates
+    from gristmill.llm.near_dedup import drop_near_duplicates
+
+    names = ["__gm_row", "__gm_key", "__gm_id", "__gm_digest", "__gm_all", "__gm_cell"]
+    rows = [(i, f"some text of kind {i % 7} that is the same in a few rows", *range(i, i + 6)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    for some in (docs, docs.union(docs.where("doc_id = 3"))):  # ids that repeat go another way
+        for keep in (drop_exact_duplicates, drop_near_duplicates):
+            out = keep(some)
+            assert out.columns == docs.columns
+            assert {tuple(r) for r in out.collect()} == set(rows[:7])
+
+
 def test_mixing_puts_passes_out_in_permuted_blocks(spark, monkeypatch):
     from gristmill.llm import mixing
 
