@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut
+from gristmill.llm.semi import without
 
 FAN_IN, TASK_ROWS = 16, 400_000
 SPACES = r"[\x20\x09-\x0D]+"
@@ -209,10 +210,11 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = cut(rows.join(cut(groups, "groups"), KEYS).where("row != keep_row").select("doc_id", "keep_id", "digest"), "gone")
     plain = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
     if plain:
-        return docs.join(gone.select(F.col("doc_id").alias("__gm_gone")), docs[id_col].cast("long") == F.col("__gm_gone"), "left_anti")
+        return without(docs, F.col(id_col).cast("long"), gone.select("doc_id"))
     # Some id is null or repeated: rows are told apart by their texts too, and of rows that repeat an
     # id with its text one stays.
-    tagged = docs.withColumn("__gm_digest", F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)))
+    digest = F.unhex(F.sha2(normalised(text_col).cast("binary"), 256))
+    tagged = docs.select(F.struct("*").alias("__gm_all"), F.col(id_col).cast("long").alias("__gm_id"), digest.alias("__gm_digest"))
     lost = gone.where("not (doc_id <=> keep_id)").select(F.col("doc_id").alias("__gm_gone"), F.col("digest").alias("__gm_lost")).distinct()
-    left = tagged.join(lost, tagged[id_col].cast("long").eqNullSafe(F.col("__gm_gone")) & (F.col("__gm_digest") == F.col("__gm_lost")), "left_anti")
-    return left.dropDuplicates([id_col, "__gm_digest"]).drop("__gm_digest")
+    left = tagged.join(lost, F.col("__gm_id").eqNullSafe(F.col("__gm_gone")) & (F.col("__gm_digest") == F.col("__gm_lost")), "left_anti")
+    return left.dropDuplicates(["__gm_id", "__gm_digest"]).select("__gm_all.*")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut, drop
-from gristmill.llm.semi import keyed, perhaps_among, without
+from gristmill.llm.semi import keyed, perhaps_among, row_key, without
 from gristmill.llm.words import PHI, U, Words, buffers, chunks, distinct_sorted, mix, shingle_codes, shingles, values_of
 from gristmill.operators.components import connected_components
 
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns; rows are told apart by id and text."""
     gone = _components(docs, id_col, text_col, **how).where(~F.col("kept")).select("__gm_row").distinct()
-    return without(keyed(docs, id_col, F.col(text_col).cast("string")), cut(gone, "copies"))
+    return without(docs, row_key(id_col, F.col(text_col).cast("string")), cut(gone, "copies"))
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block_members: int = BLOCK_MEMBERS, hot: int = HOT) -> DataFrame:

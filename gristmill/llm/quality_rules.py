@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.scratch import cut
-from gristmill.llm.semi import keyed, without
+from gristmill.llm.semi import keyed, row_key, without
 from gristmill.llm.words import SPACE, U, Words, buffers, chunks, mix, span_hashes, window_hashes
 
 LIMIT, LEVEL = 0.02, 0.05
@@ -186,7 +186,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` that ``judge`` keeps, with their columns; rows are told apart by id, text and stratum."""
     gone = _verdicts(docs, labels, id_col, text_col, stratum_col, limit, level).where(~F.col("kept")).select("__gm_row").distinct()
     text, stratum = F.col(text_col).cast("string"), F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
-    return without(keyed(docs, id_col, text, stratum), cut(gone, "rejected"))
+    return without(docs, row_key(id_col, text, stratum), cut(gone, "rejected"))
 
 
 def _verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, limit: float, level: float) -> DataFrame:

@@ -41,12 +41,20 @@ def parted(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[Data
     return rows.where(F.col(key).isNotNull()).join(bits, _hit(key), "left_semi"), rows.join(bits, _hit(key), "left_anti")
 
 
+def row_key(id_col: str, *parts: Column) -> Column:
+    """A number that rows of one id and equal ``parts`` share, null ids too."""
+    return F.xxhash64(F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), *parts)
+
+
 def keyed(rows: DataFrame, id_col: str, *parts: Column) -> DataFrame:
-    """``rows`` with ``__gm_row``, a number that rows of one id and equal ``parts`` share, null ids too."""
-    return rows.withColumn("__gm_row", F.xxhash64(F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), *parts))
+    """``rows`` with ``__gm_row``, their ``row_key``."""
+    return rows.withColumn("__gm_row", row_key(id_col, *parts))
 
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """``rows`` (with ``__gm_row``) that are not among ``gone(__gm_row)``; only rows that may be move."""
-    some, others = parted(rows, "__gm_row", gone, "__gm_row")
-    return some.join(gone.hint("merge"), "__gm_row", "left_anti").select(*rows.columns).unionByName(others).drop("__gm_row")
+def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is not among the column of ``gone``; only rows that may be move, and a
+    null key stays. Rows travel as a struct, so no name of theirs can clash."""
+    whole, name = rows.select(F.struct("*").alias("__gm_all"), key.alias("__gm_key")), gone.columns[0]
+    some, others = parted(whole, "__gm_key", gone, name)
+    left = some.join(gone.select(F.col(name).alias("__gm_key")).hint("shuffle_hash"), "__gm_key", "left_anti")
+    return left.select("__gm_all.*").unionByName(others.select("__gm_all.*"))

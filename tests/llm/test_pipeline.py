@@ -63,6 +63,28 @@ def test_stages(spark, folder):
     assert whole == Counter(r[:5] for r in rows5)
 
 
+def test_two_runs_at_once(spark, folder):
+    """A run deletes its own tables only."""
+    import threading
+
+    import corpus_pipeline as P
+
+    results, errors = [], []
+
+    def run():
+        try:
+            results.append(sorted(map(tuple, P.run(spark, folder).collect())))
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=run) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and results[0] == results[1]
+
+
 def test_empty_input(spark, folder):
     import corpus_pipeline as P
 
