@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill import config as C
 
 
-def counts(decided: DataFrame) -> DataFrame:
+def counts(decided: DataFrame, **more: Column) -> DataFrame:
     is_ = lambda d: F.count_if(F.col("result.decision") == d)
     return decided.agg(
         F.count("*").alias("total"), is_("keep").alias("keep"), is_("review").alias("review"), is_("reject").alias("reject"), F.count_if("is_dup").alias("duplicates"),
         F.count_if(F.col("result.error").isNotNull()).alias("error_count"), F.count_if(F.coalesce("result.unevaluated", F.lit(False))).alias("unevaluated"),
         F.count_if("cache_hit").alias("cache_hits"), F.count_if(F.coalesce("result.fatal", F.lit(False))).alias("fatal"),
+        *(c.alias(n) for n, c in more.items()),
     )
 
 
@@ -61,7 +62,7 @@ def gates(decided: DataFrame) -> DataFrame:
 def data_report(decided: DataFrame, config: dict[str, Any], exhausted: bool = True, input_fatal: bool = False) -> dict[str, Any]:
     """The report of a run; every part is a bounded aggregate."""
     cfg = C.screening_config(config)
-    c = counts(decided).first().asDict()
+    c = counts(decided, requests=F.coalesce(F.sum("requests"), F.lit(0))).first().asDict()
     fatal = c.pop("fatal") > 0
     rows, lost = c["total"] - c["duplicates"], c["unevaluated"]
     share = round(lost / rows, 4) if rows else 0.0
@@ -77,7 +78,7 @@ def data_report(decided: DataFrame, config: dict[str, Any], exhausted: bool = Tr
         "counts": {k: c[k] for k in ("total", "keep", "review", "reject", "duplicates")}, "processed": c["total"],
         "errors": [{k: v for k, v in r.asDict().items() if v is not None} for r in first_errors(decided).collect()], "error_count": c["error_count"],
         "unevaluated": lost, "unevaluated_fraction": share, "training_ready": complete and share <= C.MAX_UNEVALUATED, "config": cfg, "config_hash": C.config_hash(cfg),
-        "engine_version": C.ENGINE_VERSION, "dimensions": by_dimension, "api_requests": 0 if demo else decided.where("usage is not null").count(), "cache_hits": c["cache_hits"],
+        "engine_version": C.ENGINE_VERSION, "dimensions": by_dimension, "api_requests": c.pop("requests"), "cache_hits": c["cache_hits"],
         "usage": used, "models": {r["model"]: r["n"] for r in models(decided).limit(1000).collect()}, "thresholds": {} if demo else C.thresholds(C.RUBRICS[cfg["rubric"]], cfg["confidence"]),
         "dedupe": C.RUBRICS[cfg["rubric"]]["dedupe"], "input_exhausted": exhausted and not input_fatal,
     }

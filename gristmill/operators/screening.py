@@ -9,23 +9,24 @@ decisions again, by line, only where they are written.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill import config as C
 from gristmill.functions.scratch import cut
 from gristmill.functions.text import has_email
-from gristmill.operators.gates import DIMENSION, RESPONSE, clean_usage, judge_answers
+from gristmill.operators.budget import Ask, RequestScorer, ask_within, first_lines
+from gristmill.operators.gates import DIMENSION, clean_usage, judge_answers
 from gristmill.operators.state import state_hash, state_text, with_state
 
 DECISION = f"struct<decision:string,reason:string,error:string,detail:string,unevaluated:boolean,fatal:boolean,model:string,provider_id:string,dimensions:map<string,{DIMENSION}>>"
 PARTS = {"decision": "string", "reason": "string", "error": "string", "detail": "string", "unevaluated": "boolean", "fatal": "boolean", "model": "string", "provider_id": "string", "dimensions": f"map<string,{DIMENSION}>"}
 ROW_FAILURES = ["invalid_json", "response_too_large", "invalid_request", "request_too_large", "cancelled"]
-Scorer = Callable[[DataFrame], DataFrame]
+Replay = Callable[[DataFrame], DataFrame]
+Scorer = Replay | RequestScorer
 
 
 class ScorerError(Exception):
@@ -67,23 +68,15 @@ def mark_duplicates(df: DataFrame) -> DataFrame:
     return keyed.join(repeated, "_key", "left").withColumn("is_dup", F.coalesce(F.col("line") > F.col("first_line"), F.lit(False))).drop("first_line", "_key")
 
 
-def first_lines(df: DataFrame, n: int, span: int = 1 << 16) -> DataFrame:
-    """The n rows with the smallest lines; no task sorts more than the rows of ``span`` lines."""
-    binned = df.withColumn("_bin", F.floor(F.col("line") / span))
-    bins = binned.groupBy("_bin").agg(F.count("*").alias("n"))
-    ahead = bins.select("_bin", (F.sum("n").over(Window.orderBy("_bin")) - F.col("n")).alias("_ahead")).where(F.col("_ahead") < n)  # a row per span lines
-    place = F.row_number().over(Window.partitionBy("_bin").orderBy("line"))
-    return binned.join(ahead, "_bin").withColumn("_place", place + F.col("_ahead")).where(F.col("_place") <= n).drop("_bin", "_ahead", "_place")
-
-
-def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFrame | None = None, scorer: Scorer | None = None, seen: DataFrame | None = None) -> DataFrame:
-    """Decide every record: the carried columns and ``result`` (DECISION), ``state_hash``, ``config_hash``, ``is_dup``, ``cache_hit``, ``usage``.
+def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFrame | None = None, scorer: Scorer | None = None, seen: DataFrame | None = None, ledger: str | None = None) -> DataFrame:
+    """Decide every record: the carried columns and ``result`` (DECISION), ``state_hash``, ``config_hash``, ``is_dup``, ``cache_hit``, ``usage``, ``requests``.
 
     Order of checks: input error, content error, exact duplicate, length, cached decision, then the
-    local rules or the scorer. ``cache`` has ``config_hash, state_hash, result``. A scorer maps rows
-    with ``state_hash, state`` to ``state_hash, response (RESPONSE), failure``; it sees only distinct,
-    uncached states, at most ``max_requests`` of them in line order. ``max_requests`` may be None, for no
-    limit, only with ``replay_scorer``, which makes no requests. Malformed answers are asked for once more.
+    local rules or the scorer. ``cache`` has ``config_hash, state_hash, result``. A scorer sees only
+    distinct, uncached states, in line order, and makes at most ``max_requests`` requests for the run, whatever
+    is retried or asked again (see ``budget``); ``requests`` are those made for a row's state. ``ledger`` is
+    the folder of their account, for a run that may have to be begun again. ``max_requests`` may be None, for
+    no limit, only with ``replay_scorer``, which makes no requests. Malformed answers are asked for once more.
     ``seen``: the result of ``narrow`` for these records and this rubric, where the caller has it.
     """
     cfg = C.screening_config(config or {})
@@ -101,7 +94,7 @@ def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFram
     df = df.withColumn("cache_hit", F.col("_open") & F.col("cached").isNotNull())
     usage = F.lit(None).cast("struct<input_tokens:double,output_tokens:double,cost:double>")
     if cfg["provider"] == "demo":
-        df = df.withColumn("usage", usage)
+        df = df.withColumn("usage", usage).withColumn("requests", F.lit(None).cast("long"))
         judged = {"decision": F.when(F.col("email"), "review").otherwise("keep"), "reason": F.when(F.col("email"), "demo_email_pattern").otherwise("demo_rules_passed")}
     else:
         if scorer is None:
@@ -111,14 +104,18 @@ def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFram
             raise ValueError("max_requests may be None only for replayed answers")
         df = cut(df, "open")
         misses = df.where(F.col("_open") & ~F.col("cache_hit")).select("line", "state_hash")
-        if cfg["max_requests"] is not None:
-            misses = first_lines(misses, cfg["max_requests"])
+        judge = lambda rows: judge_answers(rows, rubric, cfg["confidence"])
         if replays:
-            asked = misses.select("state_hash")
+            if cfg["max_requests"] is not None:
+                misses = first_lines(misses, cfg["max_requests"])
+            answers = judge(scorer(misses.select("state_hash")).select("state_hash", "failure", "response.*"))
+            counted = answers.where("failure is null and answer_error is null").select("state_hash", F.lit(1).cast("long").alias("requests"))
         else:
-            asked = with_state(raw).select("line", "state").join(cut(misses, "misses"), "line").select("state_hash", "state")
-        scored = _ask(cut(asked, "asked"), scorer, rubric, cfg)
-        df = df.join(scored.withColumnRenamed("state_hash", "_key"), "_key", "left").withColumn("usage", F.when(F.col("_open") & ~F.col("cache_hit"), F.col("usage")))
+            asked = with_state(raw).select("line", "state").join(cut(misses, "misses"), "line").select("state_hash", F.to_json("state").alias("state"), "line")
+            answers, counted = ask_within(cut(asked, "asked"), scorer, judge, cfg["max_requests"], cfg["concurrency"], ledger)
+        scored = _scored(cut(answers, "answers")).join(counted, "state_hash", "full")
+        mine = F.col("_open") & ~F.col("cache_hit")
+        df = df.join(scored.withColumnRenamed("state_hash", "_key"), "_key", "left").withColumn("usage", F.when(mine, F.col("usage"))).withColumn("requests", F.when(mine, F.col("requests")))
         spent = _decision("review", "request_budget_exhausted", error="request_budget_exhausted", unevaluated=True, fatal=True)
         df = df.withColumn("scored", F.coalesce(F.col("scored"), spent))
         judged = {n: F.col(f"scored.{n}") for n in PARTS}
@@ -147,15 +144,8 @@ def with_records(decided: DataFrame, raw: DataFrame) -> DataFrame:
     return decided.join(raw.select("line", "record", "fields"), "line")
 
 
-def _ask(asked: DataFrame, scorer: Scorer, rubric: dict[str, Any], cfg: dict[str, Any]) -> DataFrame:
-    def judged(rows: DataFrame) -> DataFrame:
-        out = scorer(rows).select("state_hash", "failure", "response.*")
-        return cut(judge_answers(out, rubric, cfg["confidence"]), "answers")
-
-    first = judged(asked)
-    bad = first.where("failure is null and answer_error is not null").select("state_hash")
-    second = judged(asked.join(bad, "state_hash", "left_semi"))
-    final = first.join(bad, "state_hash", "left_anti").unionByName(second)
+def _scored(final: DataFrame) -> DataFrame:
+    """Decisions and usage of judged answers."""
     failed, error = F.col("failure"), F.col("answer_error")
     result = (
         F.when(failed.isNotNull(), _decision("review", failed, error=failed, unevaluated=True, fatal=~failed.isin(ROW_FAILURES)))
@@ -166,7 +156,7 @@ def _ask(asked: DataFrame, scorer: Scorer, rubric: dict[str, Any], cfg: dict[str
     return final.select("state_hash", result.alias("scored"), used.alias("usage"))
 
 
-def replay_scorer(answers: DataFrame) -> Scorer:
+def replay_scorer(answers: DataFrame) -> Replay:
     """A scorer that looks answers up by ``state_hash``; states without one fail as ``invalid_request``."""
 
     def score(rows: DataFrame) -> DataFrame:
@@ -177,27 +167,26 @@ def replay_scorer(answers: DataFrame) -> Scorer:
     return score
 
 
-def callable_scorer(function: Callable[[str], dict[str, Any]]) -> Scorer:
-    """A scorer that calls ``function(state as JSON) -> response dict`` on the executors, in Arrow batches."""
-    import json
+class CallableScorer:
+    """Calls ``function(state as JSON) -> response dict`` on the executors; a call is a request."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            answers, failures = [], []
-            for text in batch.column(1).to_pylist():
-                try:
-                    answers.append(json.dumps(function(text)))
-                    failures.append(None)
-                except ScorerError as e:
-                    answers.append(None)
-                    failures.append(e.category)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string()), pa.array(failures, pa.string())], ["state_hash", "answer", "failure"])
+    attempts = 1
 
-    def score(rows: DataFrame) -> DataFrame:
-        got = rows.select("state_hash", F.to_json("state").alias("state")).mapInArrow(ask, "state_hash string, answer string, failure string")
-        return got.select("state_hash", F.from_json("answer", RESPONSE).alias("response"), "failure")
+    def __init__(self, function: Callable[[str], dict[str, Any]]):
+        self.function = function
 
-    return score
+    def open(self) -> Ask:
+        def ask(state: str, allowed: int, tried: int) -> tuple[Any, str | None, int]:
+            try:
+                return self.function(state), None, 1
+            except ScorerError as e:
+                return None, e.category, 1
+
+        return ask
+
+
+def callable_scorer(function: Callable[[str], dict[str, Any]]) -> RequestScorer:
+    return CallableScorer(function)
 
 
 def cacheable(decided: DataFrame) -> DataFrame:

@@ -233,3 +233,13 @@ k as (select line, text, 'text:' || sha256({fold("text")}) as a, 'group_id:' ||
 _KEPT_SPLIT = _KEPT + ", " + _split(42)
 SQL["split_files"] = _KEPT_SPLIT + " select split, component, sha256(text) as text_sha256 from sp"
 SQL["model_artifact"] = _KEPT_SPLIT + _MODEL[len(_SPLIT):] + " select cast(prev as bigint) as prev, cast(token as bigint) as token, n from mo"
+
+
+#: The default budget of requests. A fixed value.
+BUDGET = 1000
+SQL["budgeted_decisions"] = _D + f""",
+o as (select line, length(text) % 5 = 0 as bad, row_number() over (order by line) as r, count(*) over () as m from d where reason in ('demo_rules_passed', 'demo_email_pattern')),
+k as (select *, sum(bad::int) over (order by line) as k from o),
+z as (select line, case when r > {BUDGET} or (bad and m + k > {BUDGET}) then 'request_budget_exhausted' when bad then 'invalid_response' else 'scorer_decision' end as reason,
+        case when r > {BUDGET} then 0 when bad and m + k <= {BUDGET} then 2 else 1 end as requests from k)
+select line, case z.reason when 'scorer_decision' then 'keep' else coalesce(case when z.reason is not null then 'review' end, d.decision) end as decision, coalesce(z.reason, d.reason) as reason, coalesce(requests, 0)::bigint as requests from d left join z using (line)"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill import config as C
-from gristmill.functions.scratch import cut
+from gristmill.functions.scratch import cut, remove_path
 from gristmill.operators import bigram, report
 from gristmill.operators.screening import DECISION, Scorer, audit, cacheable, newest, screen, with_records
 from gristmill.operators.split import SPLITS, prepare
@@ -39,9 +39,11 @@ class Pipeline:
         raw = cut(raw, "raw")
         where = f"{self.out}/cache"
         cache = newest(self.spark.read.schema(CACHE).parquet(where)) if sinks.exists(self.spark, where) else None
-        decided = cut(screen(raw, self.screening, cache, self.scorer), "decided")
+        ledger = f"{self.out}/ledger"
+        decided = cut(screen(raw, self.screening, cache, self.scorer, ledger=f"{ledger}/{C.config_hash(self.screening)}"), "decided")
         fresh = cacheable(decided).withColumn("written", F.lit(time.time_ns()))
         fresh.write.mode("append").partitionBy("config_hash").parquet(where)
+        remove_path(self.spark, ledger)  # its answers are in the cache now; until here a run that stopped can be begun again
         full = with_records(decided, raw)
         sinks.write_partitions(full, f"{self.out}/decisions")
         fatal = not decided.where("input_fatal").isEmpty()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from gristmill.functions.scratch import cut, new_path
 from gristmill.functions.text import has_email
 from gristmill.operators import bigram, report, split
 from gristmill.operators.gates import judge_answers, thresholds_table
-from gristmill.operators.screening import cacheable, narrow, replay_scorer, screen
+from gristmill.operators.screening import cacheable, callable_scorer, narrow, replay_scorer, screen
 from gristmill.operators.state import answer_split, conversation, fields, state_hash, state_text, training_fault, training_text, with_state
 from gristmill.sources import store, strict, tables
 from gristmill.streaming.screen import OUT, screen_stream
@@ -312,6 +313,23 @@ def first_errors(spark, sf):
     return report.first_errors(scored(spark, sf)).select("line", "error")
 
 
+def _judge_by_length(state: str) -> dict:
+    """A scorer's answer that depends on the state alone, malformed for every fifth length."""
+    size = len(json.loads(state)["text"])
+    if size % 5 == 0:
+        return {}
+    pick = lambda good, *others: {"type": "choice", "choice": good, "confidence": 0.99, "probabilities": {good: 0.98, **dict.fromkeys(others, 0.01)}}
+    answers = {n: pick(*q["criteria"]) for n, q in C.RUBRICS["general"]["questions"].items()}
+    return {"model": "by-length", "id": str(size), "usage": {"input_tokens": size, "output_tokens": 1, "cost": 0.0}, "answers": answers}
+
+
+@query
+def budgeted_decisions(spark, sf):
+    """A scorer of requests within the default budget of a run; malformed answers are asked for once more while it lasts."""
+    df = screen(docs(spark, sf), {"provider": "scorer"}, scorer=callable_scorer(_judge_by_length))
+    return df.select("line", F.col("result.decision").alias("decision"), F.col("result.reason").alias("reason"), F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
 @query
 def cache_replay(spark, sf):
     first = cut(scored(spark, sf), "first")

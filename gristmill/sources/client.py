@@ -1,8 +1,7 @@
 """A scorer behind HTTP: one exchange policy, applied on the executors in Arrow batches.
 
-``http_scorer`` deals the states to ``concurrency`` tasks. A task keeps one connection and has its
-share of the request budget, which counts every attempt, so the budget holds for the run without any
-state shared between tasks.
+A task keeps one connection. Every attempt is a request of the run's budget, which ``operators.budget``
+grants state by state.
 """
 
 from __future__ import annotations
@@ -13,17 +12,13 @@ import math
 import os
 import time
 from base64 import b64encode
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any, NamedTuple
 from urllib.parse import unquote, urlsplit
 from urllib.request import getproxies, proxy_bypass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from gristmill.operators.gates import RESPONSE
-from gristmill.operators.screening import Scorer, ScorerError
+from gristmill.operators.budget import Ask
+from gristmill.operators.screening import ScorerError
 
 #: Limits and status codes of the exchange. Fixed values.
 MAX_REQUEST, MAX_RESPONSE, LONGEST_WAIT, POLL = 1 << 20, 2 << 20, 5.0, 0.1
@@ -86,14 +81,15 @@ class Client:
         except TROUBLE:
             return None
 
-    def ask(self, payload: Any) -> Any:
+    def ask(self, payload: Any, tried: int = 0) -> Any:
+        """The answer; ``tried`` attempts were made before."""
         try:
             body = json.dumps(payload, ensure_ascii=False, allow_nan=False).encode()
         except (TypeError, ValueError):
             raise ScorerError("invalid_request") from None
         if len(body) > MAX_REQUEST:
             raise ScorerError("request_too_large")
-        for attempt in range(self.attempts):
+        for attempt in range(tried, self.attempts):
             reply = self._once(body)
             if reply and 200 <= reply.status < 300:
                 return _answer(reply.body)
@@ -124,15 +120,17 @@ class HttpExchange:
         self.port, self.key, self.timeout, self.held = parts.port or (443 if self.secure else 80), key, timeout, None
 
     def _open(self) -> http.client.HTTPConnection:
-        kind = http.client.HTTPSConnection if self.secure else http.client.HTTPConnection
-        proxy = None if proxy_bypass(self.host) else getproxies().get("https" if self.secure else "http")
-        if not (proxy and self.secure):
-            return kind(self.host, self.port, timeout=self.timeout)
-        via = urlsplit(proxy if "://" in proxy else f"http://{proxy}")
-        out = kind(via.hostname, via.port or 3128, timeout=self.timeout)
-        login = f"{unquote(via.username)}:{unquote(via.password or '')}" if via.username else ""
-        out.set_tunnel(self.host, self.port, {"Proxy-Authorization": f"Basic {b64encode(login.encode()).decode()}"} if login else {})
-        return out
+        """A connection to the host or, for https behind a proxy of the environment, a tunnel to it."""
+        if not self.secure:
+            return http.client.HTTPConnection(self.host, self.port, timeout=self.timeout)
+        named = None if proxy_bypass(self.host) else getproxies().get("https")
+        if named is None:
+            return http.client.HTTPSConnection(self.host, self.port, timeout=self.timeout)
+        proxy = urlsplit(named if "//" in named else f"//{named}")
+        tunnel = http.client.HTTPSConnection(proxy.hostname, proxy.port or 3128, timeout=self.timeout)
+        user = ":".join(unquote(x or "") for x in (proxy.username, proxy.password)) if proxy.username else None
+        tunnel.set_tunnel(self.host, self.port, headers=user and {"Proxy-Authorization": "Basic " + b64encode(user.encode()).decode()})
+        return tunnel
 
     def close(self) -> None:
         if self.held:
@@ -162,34 +160,26 @@ class HttpExchange:
         return out
 
 
-def http_scorer(url: str, key_variable: str, payload: Callable[[dict], Any], config: dict[str, Any], exchange: Callable[[], Exchange] | None = None) -> Scorer:
-    """A scorer that posts ``payload(state)`` for each state. The key is read on the executors from their environment.
+class HttpScorer:
+    """Posts ``payload(state)`` for each state. ``exchange`` makes another way to reach the scorer, for tests."""
 
-    ``config``: screening settings (concurrency, max_requests, attempts, timeout). ``exchange`` makes
-    another way to reach the scorer, for tests.
-    """
-    tasks, budget, attempts, timeout = (config[k] for k in ("concurrency", "max_requests", "attempts", "timeout"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client: Client | None = None
-        for batch in batches:
-            answers, failures = [], []
-            for task, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if client is None:
-                    reach = exchange() if exchange else HttpExchange(url, os.environ.get(key_variable, ""), timeout)
-                    client = Client(reach, budget // tasks + (task < budget % tasks), attempts)
-                try:
-                    answers.append(json.dumps(client.ask(payload(json.loads(text)))))
-                    failures.append(None)
-                except ScorerError as e:
-                    answers.append(None)
-                    failures.append(e.category)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(answers, pa.string()), pa.array(failures, pa.string())], ["state_hash", "answer", "failure"])
-
-    def score(rows: DataFrame) -> DataFrame:
-        dealt = rows.select("state_hash", F.to_json("state").alias("state")).repartition(tasks)
-        dealt = dealt.select(F.spark_partition_id().alias("task"), "state_hash", "state")
-        got = dealt.mapInArrow(run, "state_hash string, answer string, failure string")
-        return got.select("state_hash", F.from_json("answer", RESPONSE).alias("response"), "failure")
-
-    return score
+    def __init__(self, url: str, key_variable: str, payload: Callable[[dict], Any], attempts: int, timeout: float, exchange: Callable[[], Exchange] | None = None):
+        self.url, self.key_variable, self.payload, self.attempts, self.timeout, self.exchange = url, key_variable, payload, attempts, timeout, exchange
+
+    def open(self) -> Ask:
+        reach = self.exchange() if self.exchange else HttpExchange(self.url, os.environ.get(self.key_variable, ""), self.timeout)
+        client = Client(reach, 0, self.attempts)
+
+        def ask(state: str, allowed: int, tried: int) -> tuple[Any, str | None, int]:
+            client.left, client.requests = allowed, 0
+            try:
+                return client.ask(self.payload(json.loads(state)), tried), None, client.requests
+            except ScorerError as e:
+                return None, None if e.category == "request_budget_exhausted" else e.category, client.requests
+
+        return ask
+
+
+def http_scorer(url: str, key_variable: str, payload: Callable[[dict], Any], config: dict[str, Any], exchange: Callable[[], Exchange] | None = None) -> HttpScorer:
+    """A scorer with the ``attempts`` and ``timeout`` of screening settings. The key is read on the executors from their environment."""
+    return HttpScorer(url, key_variable, payload, config["attempts"], config["timeout"], exchange)

@@ -102,16 +102,104 @@ def test_one_connection_is_kept(server):
         HttpExchange("ftp://x", "k", 5)
 
 
-def test_scorer_over_tasks_shares_the_budget(spark):
-    config = {"concurrency": 3, "max_requests": 7, "attempts": 3, "timeout": 5}
+def asking(spark, tmp_path, replies, n, budget, tasks=3, attempts=3, path=None, judge=None):
+    """Ask about n states through an exchange that replies by ``replies(state text, earlier calls for it)`` and notes every call in a file."""
+    from pyspark.sql import functions as F
 
-    def exchange():
-        return lambda body: Reply(200, None, json.dumps({"model": "m", "id": json.loads(body)["text"], "answers": {}}).encode())
+    from gristmill.operators.budget import ask_within
+
+    calls = tmp_path / "calls"
+    calls.mkdir(exist_ok=True)
 
-    rows = spark.createDataFrame([(f"h{i}", (f"t{i}",)) for i in range(30)], "state_hash string, state struct<text:string>")
-    got = http_scorer("", "", lambda s: s, config, exchange)(rows).collect()
-    assert len(got) == 30 and sum(r.failure is None for r in got) == 7 and {r.failure for r in got} == {None, "request_budget_exhausted"}
-    assert all(r.response.id == f"t{r.state_hash[1:]}" for r in got if r.response)
+    def exchange():
+        def send(body):
+            text = json.loads(body)["text"]
+            seen = [f for f in os.listdir(calls) if f.startswith(f"{text}-")]
+            with open(calls / f"{text}-{len(seen)}-{os.urandom(4).hex()}", "x"):
+                pass
+            return replies(text, len(seen))
+
+        return send
+
+    states = spark.createDataFrame([(f"h{i}", json.dumps({"text": f"t{i}"}), i) for i in range(n)], "state_hash string, state string, line long")
+    judge = judge or (lambda df: df.withColumn("answer_error", F.when(F.col("model").isNull(), "no model")))
+    done, made = ask_within(states, http_scorer("", "", lambda s: s, {"attempts": attempts, "timeout": 5}, exchange), judge, budget, tasks, path)
+    got = {r.state_hash: r for r in done.collect()}
+    requests = {r.state_hash: r.requests for r in made.collect()}
+    return got, requests, len(os.listdir(calls))
+
+
+def good(text):
+    return Reply(200, None, json.dumps({"model": "m", "id": text, "answers": {}}).encode())
+
+
+def test_states_get_the_budget_in_line_order(spark, tmp_path):
+    got, requests, calls = asking(spark, tmp_path, lambda t, n: good(t), 30, 7)
+    assert set(got) == {f"h{i}" for i in range(7)} and all(r.id == f"t{h[1:]}" and r.failure is None for h, r in got.items())
+    assert calls == 7 == sum(requests.values())
+
+
+def test_malformed_answers_share_the_budget(spark, tmp_path):
+    bad = Reply(200, None, b"{}")
+    got, requests, calls = asking(spark, tmp_path, lambda t, n: bad, 40, 8)
+    assert calls == 8 == sum(requests.values()) and not got
+    (tmp_path / "x").mkdir()
+    got, requests, calls = asking(spark, tmp_path / "x", lambda t, n: bad if n == 0 else good(t), 3, 100)
+    assert calls == 6 and requests == {"h0": 2, "h1": 2, "h2": 2} and all(r.answer_error is None for r in got.values())
+
+
+def test_unspent_shares_are_handed_on(spark, tmp_path):
+    """Every third state needs three attempts, one has nothing but failures: shares move to those that want them."""
+    replies = lambda t, n: good(t) if int(t[1:]) % 3 or (n >= 2 and t != "t3") else Reply(503, "0", b"")
+    got, requests, calls = asking(spark, tmp_path, replies, 12, 20)
+    assert calls == sum(requests.values()) == 8 + 4 * 3 and len(got) == 12
+    assert got["h3"].failure == "provider_http_error" and requests["h3"] == 3 and sum(r.failure is None for r in got.values()) == 11
+    (tmp_path / "y").mkdir()
+    got, requests, calls = asking(spark, tmp_path / "y", replies, 12, 17)
+    assert calls == 17 and len(got) < 12
+
+
+def test_a_failed_task_spends_nothing_twice(tmp_path):
+    """Tasks die after some of their requests; their other attempts ask nothing, later rounds do."""
+    script = tmp_path / "run.py"
+    script.write_text("""
+import json, os, sys
+from pathlib import Path
+sys.path[:0] = [sys.argv[1]]
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[3,4]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").getOrCreate()
+from tests.test_runs import asking, good
+from gristmill.sources.client import Reply
+folder = Path(sys.argv[2])
+
+def replies(text, n):
+    if text in ("t5", "t11") and not (folder / f"died-{text}").exists():
+        (folder / f"died-{text}").touch()
+        os._exit(1)
+    return good(text)
+
+got, requests, calls = asking(spark, folder, replies, 12, int(sys.argv[3]))
+print("RESULT", json.dumps([len(got), sum(requests.values()), calls]))
+""")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for budget in (14, 60):
+        folder = tmp_path / str(budget)
+        folder.mkdir()
+        ran = subprocess.run([sys.executable, str(script), root, str(folder), str(budget)], capture_output=True, text=True, cwd=root, env=os.environ | {"PYTHONPATH": root}, timeout=200)
+        settled, counted, calls = json.loads(ran.stdout.split("RESULT")[1])
+        assert counted <= calls <= budget and settled <= 12
+        assert budget < 60 or settled == 12
+
+
+def test_a_run_begun_again_takes_over_its_ledger(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    got, requests, calls = asking(spark, tmp_path, lambda t, n: good(t), 10, 6, path=path)
+    assert len(got) == 6 and calls == 6
+    got, requests, calls = asking(spark, tmp_path, lambda t, n: good(t), 10, 8, path=path)  # two more are granted
+    assert len(got) == 8 and calls == 8 and sum(requests.values()) == 8
+    spark.createDataFrame([("h8", 8, 1, 0, 1, "{}")], "state_hash string, line long, asking int, tried int, allowed int, state string").write.parquet(f"{path}/2/granted")
+    got, requests, calls = asking(spark, tmp_path, lambda t, n: good(t), 10, 10, path=path)  # a round that stopped counts as spent
+    assert len(got) == 9 and calls == 9
 
 
 def test_store(spark, tmp_path):
