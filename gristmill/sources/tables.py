@@ -12,11 +12,19 @@ def _source(df: DataFrame, line: Column, content: Column, record: Column, extra:
     return df.select(line.cast("long").alias("line"), record.alias("record"), F.lit(None).cast("string").alias("input_error"), F.lit(False).alias("input_fatal"), content.alias("fields"), *(c.alias(n) for n, c in extra.items()))
 
 
+SMALL = 256 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """The scan has fewer splits than there are cores and less than SMALL bytes: dealing it out costs little, on any cluster."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) < SMALL and df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt to all cores where its scan has fewer splits than there are cores: a small file's texts
-    would else be worked on by one. Larger inputs, which have more splits, are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """``df``, dealt to all cores where it is small: a small file's texts would else be worked on by one.
+    Anything of SMALL bytes or more is left as its scan is split, so no large input is shuffled for this."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
 
 
 def documents(df: DataFrame, **extra: Column) -> DataFrame:

@@ -1,13 +1,15 @@
 """Strict files, layouts, the order of checks, scorers, caches and reports."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import report
 from gristmill.operators.screening import ScorerError, cacheable, callable_scorer, replay_scorer, screen
-from gristmill.sources import strict
+from gristmill.sources import strict, strict_csv
 
 
 def load(spark, tmp_path, data: bytes, name="in.jsonl"):
@@ -78,12 +80,12 @@ def test_size_limit_counts_the_newline(spark, tmp_path, end):
 
 
 def test_csv_cells():
-    cells = strict.csv_cells
+    cells = strict_csv.csv_cells
     assert cells('a,"b ""c"", d",\r\n') == ["a", 'b "c", d', ""] and cells('x"y,z\n') == ['x"y', "z"] and cells('"",""') == ["", ""]
     for still_open in ('a,"b', '"x""', '"one\ntwo'):
         assert cells(still_open) is None
     for wrong in ('"a"b\n', "a\rb\n", '"a" ,b\n'):
-        with pytest.raises(strict.CsvSyntax):
+        with pytest.raises(strict_csv.CsvSyntax):
             cells(wrong)
 
 
@@ -101,6 +103,93 @@ def test_csv_files(spark, tmp_path):
     assert all(r.input_fatal == (r.input_error is not None) for r in load(spark, tmp_path, b'text\nfine\n"open', "u.csv").collect())
 
 
+def one_by_one(data):
+    """A CSV file read line by line by one reader: (line, error, cells or values)."""
+    out, names, text, size, start = [], None, "", 0, 1
+    parts = data.removeprefix(b"\xef\xbb\xbf").split(b"\n")
+    lines_ = [p + b"\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
+    for n, raw in enumerate(lines_, 1):
+        start, size = (start, size + len(raw)) if text else (n, len(raw))
+        fault = lambda reason: [*out, (n, reason)]  # noqa: B023, E731
+        if size > 1 << 20:
+            return fault("csv_row_exceeds_1_mib")
+        try:
+            text += raw.decode()
+            cells = strict_csv.csv_cells(text)
+        except UnicodeDecodeError:
+            return fault("invalid_utf8")
+        except strict_csv.CsvSyntax:
+            return fault("invalid_csv_syntax")
+        if cells is None:
+            continue
+        blank, text = not text.strip("\r\n"), ""
+        if names is None:
+            if blank or not all(cells) or len(set(cells)) < len(cells):
+                return fault("csv_requires_unique_nonempty_headers")
+            names = cells
+        elif not blank:
+            out.append((start, "csv_column_count_mismatch" if len(cells) != len(names) else None, cells))
+    return [*out, (len(lines_), "invalid_csv_syntax")] if text else out
+
+
+def test_csv_in_many_splits(spark, tmp_path):
+    """Files of quoted newlines, quotes, commas and faults, in splits of a few bytes, against one reader."""
+    rng = random.Random(9)
+    pieces = ["a", "b,", "\n", '""', ",", "long words ", "é", "\r\n", "'"]
+    cell = lambda: '"' + "".join(rng.choice(pieces) for _ in range(rng.randrange(30))) + '"' if rng.random() < 0.4 else rng.choice(["plain", "", 'in"side', "x" * rng.randrange(60)])
+    files = []
+    for i in range(14):
+        rows_ = ["id,text,more"] + [",".join(cell() for _ in range(3 if rng.random() < 0.95 else 2)) for _ in range(rng.randrange(5, 40))]
+        rows_ += {1: ['"open\n' + "and on\n" * 50], 2: ["a,b\rc,d", "after"], 3: ['"x"y', "after"], 4: ["", "", "end,of,it"]}.get(i % 5, [])
+        data = "\n".join(rows_).encode() + (b"\n" if i % 2 else b"")
+        files.append({5: b"\xef\xbb\xbf" + data, 7: data.replace(b"long", b"\xff", 1), 8: b'"id\nof it","text ""x""",more' + data[12:], 9: b"id,id" + data, 10: b"\n" + data, 11: b'"never closed' + data.replace(b'"', b"")}.get(i, data))
+    for i, data in enumerate(files):
+        (tmp_path / f"{i}.csv").write_bytes(data)
+    sizes = {"spark.sql.files.maxPartitionBytes": "150", "spark.sql.files.openCostInBytes": "0"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        rows = strict_csv.csv_records(spark, f"file://{tmp_path}/*.csv").collect()
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    got = {i: [] for i in range(len(files))}
+    for r in rows:
+        record = strict_csv.named(r.line, r.last, r.cells, r.error, r.names, lambda n, e, fatal: (n, e), lambda n, v, e=None: (n, e, v["_invalid_csv_values"] if e else list(v.values())))
+        got[int(r.file.rpartition("/")[2].removesuffix(".csv"))] += [record] if record else []
+    for i, data in enumerate(files):
+        assert sorted(got[i], key=lambda r: r[0]) == one_by_one(data), i
+
+
+def test_a_long_cell_is_read_once(spark, tmp_path):
+    """A cell of a mebibyte in lines with quotes, as long as a record may be, in several splits, and one byte more."""
+    import time
+
+    line = 'some "" text\n'
+    fill = (1 << 20) - len('"" \n') + 1
+    for more, error in ((0, None), (1, "csv_row_exceeds_1_mib")):
+        cell = (line * (fill // len(line) + 1))[: fill + more].replace('"" text\n', '"" text\n')
+        cell = cell[: cell.rindex("\n") + 1] + "x" * (len(cell) - cell.rindex("\n") - 1)
+        record = f'"{cell}"\n'
+        assert len(record) == (1 << 20) + more
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            began = time.time()
+            rows = load(spark, tmp_path, f"text\n{record}after\n".encode(), f"long{more}.csv").collect()
+            took = time.time() - began
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [r.input_error for r in sorted(rows, key=lambda r: r.line)] == ([None, None] if error is None else [error])
+        assert error or rows[0].fields.text.value in (cell.replace('""', '"'), "after")
+        assert took < 60
+    lines_, state, began = [b'"'] + [b'some "" text'] * 80_000, strict_csv.CLOSED, time.time()
+    for x in lines_:
+        state = strict_csv.after_line(x, state)
+    assert state == strict_csv.OPEN and strict_csv.csv_cells("".join(x.decode() + "\n" for x in lines_) + '"') and time.time() - began < 1
+
+
 def test_ids_and_suffixes(spark, tmp_path):
     ids = [("5", "5", False), ('"five"', "five", False), ("null", None, False), ("5.0", None, True), ("true", None, True), ("[5]", None, True), ("12345678901234567890", "12345678901234567890", False)]
     rows = load(spark, tmp_path, b"".join(b'{"conversation_id": %b}\n' % v.encode() for v, *_ in ids)).orderBy("line").collect()
@@ -180,7 +269,16 @@ def test_failures_and_budget(spark, tmp_path):
     _, r = scored(spark, tmp_path, fail("invalid_json"))
     assert r["status"] == "complete" and r["unevaluated"] == 2
     _, r = scored(spark, tmp_path, lambda s: answer(), max_requests=1)
-    assert r["status"] == "incomplete" and r["unevaluated"] == 1
+    assert r["status"] == "incomplete" and r["unevaluated"] == 1 and r["api_requests"] == 1
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def malformed(s):
+        (calls / os.urandom(8).hex()).touch()
+        return {}
+
+    _, r = scored(spark, tmp_path, malformed, lines(*({"text": f"record number {i}"} for i in range(40))), max_requests=8)
+    assert len(list(calls.iterdir())) == 8 == r["api_requests"] and r["unevaluated"] == 40 and r["status"] == "incomplete"
 
 
 def corrupt():
