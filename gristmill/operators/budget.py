@@ -140,3 +140,14 @@ def ask_within(states: DataFrame, scorer: RequestScorer, judge: Callable[[DataFr
         done = judge(none.select("state_hash", "line", "asking", "failure", "response.*"))
         made = states.limit(0).select("state_hash", F.lit(0).alias("made"))
     return done.drop("line", "asking"), made.groupBy("state_hash").agg(F.sum("made").alias("requests"))
+
+
+def spent_in(spark, path: str) -> int:
+    """What the rounds of a ledger have spent; a round without answers in full."""
+    n = total = 0
+    while exists(spark, f"{path}/{n}/granted/_SUCCESS"):
+        done = exists(spark, f"{path}/{n}/answered/_SUCCESS")
+        table = spark.read.parquet(f"{path}/{n}/{'answered' if done else 'granted'}")
+        total += table.agg(F.sum("charged" if done else "allowed")).first()[0] or 0
+        n += 1
+    return total

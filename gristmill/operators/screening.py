@@ -52,11 +52,17 @@ def prepared(raw: DataFrame, mode: str) -> DataFrame:
     return with_state(raw).withColumn("state_hash", F.when(F.col("input_error").isNull(), state_hash(mode))).withColumn("n_chars", F.length(state_text()))
 
 
-def narrow(raw: DataFrame, mode: str) -> DataFrame:
-    """One pass over the texts: carried columns, errors, identity, size and the local rule's flag, cut."""
+def identities(raw: DataFrame, mode: str, with_states: bool = False) -> DataFrame:
+    """Carried columns, errors, identity, size and the local rule's flag, and the state as JSON if wanted."""
     carried = [c for c in raw.columns if c not in ("record", "fields")]
     seen = prepared(raw, mode).withColumn("email", F.coalesce(has_email(state_text()), F.lit(False)))
-    return cut(seen.select(*carried, "content_error", "state_hash", "n_chars", "email"), "identities")
+    states = [F.to_json("state").alias("state")] if with_states else []
+    return seen.select(*carried, "content_error", "state_hash", "n_chars", "email", *states)
+
+
+def narrow(raw: DataFrame, mode: str) -> DataFrame:
+    """``identities``, cut: one pass over the texts."""
+    return cut(identities(raw, mode), "identities")
 
 
 def mark_duplicates(df: DataFrame) -> DataFrame:
@@ -68,7 +74,7 @@ def mark_duplicates(df: DataFrame) -> DataFrame:
     return keyed.join(repeated, "_key", "left").withColumn("is_dup", F.coalesce(F.col("line") > F.col("first_line"), F.lit(False))).drop("first_line", "_key")
 
 
-def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFrame | None = None, scorer: Scorer | None = None, seen: DataFrame | None = None, ledger: str | None = None) -> DataFrame:
+def screen(raw: DataFrame | None, config: dict[str, Any] | None = None, cache: DataFrame | None = None, scorer: Scorer | None = None, seen: DataFrame | None = None, ledger: str | None = None, budget: int | None = None) -> DataFrame:
     """Decide every record: the carried columns and ``result`` (DECISION), ``state_hash``, ``config_hash``, ``is_dup``, ``cache_hit``, ``usage``, ``requests``.
 
     Order of checks: input error, content error, exact duplicate, length, cached decision, then the
@@ -77,12 +83,15 @@ def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFram
     is retried or asked again (see ``budget``); ``requests`` are those made for a row's state. ``ledger`` is
     the folder of their account, for a run that may have to be begun again. ``max_requests`` may be None, for
     no limit, only with ``replay_scorer``, which makes no requests. Malformed answers are asked for once more.
-    ``seen``: the result of ``narrow`` for these records and this rubric, where the caller has it.
+    ``seen``: the result of ``narrow`` for these records and this rubric, where the caller has it; with
+    ``is_dup`` its duplicates are known already, and with ``state`` no ``raw`` is needed. ``budget``: what is
+    left of ``max_requests``, if some of it was spent before.
     """
     cfg = C.screening_config(config or {})
     rubric = C.RUBRICS[cfg["rubric"]]
     run_hash = C.config_hash(cfg)
-    df = mark_duplicates(narrow(raw, rubric["dedupe"]) if seen is None else seen)
+    df = narrow(raw, rubric["dedupe"]) if seen is None else seen
+    df = df if "is_dup" in df.columns else mark_duplicates(df)
     within = F.col("n_chars").between(cfg["min_chars"], cfg["max_chars"])
     df = df.withColumn("_open", F.col("input_error").isNull() & F.col("content_error").isNull() & ~F.col("is_dup") & F.coalesce(within, F.lit(False)))
     df = df.withColumn("_key", F.when(F.col("_open"), F.col("state_hash")).otherwise(F.col("line").cast("string")))
@@ -111,8 +120,11 @@ def screen(raw: DataFrame, config: dict[str, Any] | None = None, cache: DataFram
             answers = judge(scorer(misses.select("state_hash")).select("state_hash", "failure", "response.*"))
             counted = answers.where("failure is null and answer_error is null").select("state_hash", F.lit(1).cast("long").alias("requests"))
         else:
-            asked = with_state(raw).select("line", "state").join(cut(misses, "misses"), "line").select("state_hash", F.to_json("state").alias("state"), "line")
-            answers, counted = ask_within(cut(asked, "asked"), scorer, judge, cfg["max_requests"], cfg["concurrency"], ledger)
+            if "state" in df.columns:
+                asked = df.where(F.col("_open") & ~F.col("cache_hit")).select("state_hash", "state", "line")
+            else:
+                asked = with_state(raw).select("line", "state").join(cut(misses, "misses"), "line").select("state_hash", F.to_json("state").alias("state"), "line")
+            answers, counted = ask_within(cut(asked, "asked"), scorer, judge, cfg["max_requests"] if budget is None else budget, cfg["concurrency"], ledger)
         scored = _scored(cut(answers, "answers")).join(counted, "state_hash", "full")
         mine = F.col("_open") & ~F.col("cache_hit")
         df = df.join(scored.withColumnRenamed("state_hash", "_key"), "_key", "left").withColumn("usage", F.when(mine, F.col("usage"))).withColumn("requests", F.when(mine, F.col("requests")))

@@ -243,3 +243,9 @@ k as (select *, sum(bad::int) over (order by line) as k from o),
 z as (select line, case when r > {BUDGET} or (bad and m + k > {BUDGET}) then 'request_budget_exhausted' when bad then 'invalid_response' else 'scorer_decision' end as reason,
         case when r > {BUDGET} then 0 when bad and m + k <= {BUDGET} then 2 else 1 end as requests from k)
 select line, case z.reason when 'scorer_decision' then 'keep' else coalesce(case when z.reason is not null then 'review' end, d.decision) end as decision, coalesce(z.reason, d.reason) as reason, coalesce(requests, 0)::bigint as requests from d left join z using (line)"""
+
+
+_EVEN = _screen("select doc_id + 1 as line, text from documents where doc_id % 2 = 0")
+SQL["stream_cache_replay"] = f"""with known as (with {_EVEN} select distinct state_hash from d where reason in ('demo_rules_passed', 'demo_email_pattern')),
+a as ({_D} select line, decision, reason, state_hash from d)
+select line, decision, reason, reason in ('demo_rules_passed', 'demo_email_pattern') and state_hash in (select state_hash from known) as cache_hit from a"""

@@ -16,7 +16,7 @@ from gristmill.operators.gates import judge_answers, thresholds_table
 from gristmill.operators.screening import cacheable, callable_scorer, narrow, replay_scorer, screen
 from gristmill.operators.state import answer_split, conversation, fields, state_hash, state_text, training_fault, training_text, with_state
 from gristmill.sources import store, strict, tables
-from gristmill.streaming.screen import OUT, screen_stream
+from gristmill.streaming.screen import decisions, screen_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SCORED = {"provider": "scorer", "max_requests": None}
@@ -494,14 +494,25 @@ def strict_csv_scan(spark, sf):
     return screen(rows).groupBy(F.col("result.decision").alias("decision")).agg(F.count("*").alias("n"))
 
 
-@query
-def stream_screen(spark, sf):
-    path = new_path(spark, "stream")
-    raw = docs(spark, sf)
+def _streamed(spark, raw: DataFrame, path: str, **how) -> DataFrame:
+    """Decisions of a stream over a record source that arrives in four files, each a batch."""
     raw.repartitionByRange(4, "line").sortWithinPartitions("line").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(raw.schema).parquet(f"{path}/in")
-    screen_stream(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{path}/out/decisions").select("line", "state_hash", "decision", "reason")
+    screen_stream(stream, f"{path}/out", f"{path}/checkpoint", **how).awaitTermination()
+    return decisions(spark, f"{path}/out")
+
+
+@query
+def stream_screen(spark, sf):
+    return _streamed(spark, docs(spark, sf), new_path(spark, "stream")).select("line", "state_hash", "decision", "reason")
+
+
+@query
+def stream_cache_replay(spark, sf):
+    """Two streams over one cache: documents with even ids, then all; what the first decided is not decided again."""
+    path = new_path(spark, "streams")
+    _streamed(spark, docs(spark, sf).where("line % 2 = 1"), f"{path}/even", cache=f"{path}/cache", name="even")
+    return _streamed(spark, docs(spark, sf), f"{path}/all", cache=f"{path}/cache", name="all").select("line", "decision", "reason", "cache_hit")
 
 
 # Faults of files, ids and texts

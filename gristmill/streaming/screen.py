@@ -1,66 +1,161 @@
-"""Screening of a stream of records with durable identity.
+"""Screening of a stream of records, with durable identity, decision cache and request budget.
 
-Whether a state has come before is kept in Spark's state store, a line number for each state, so a
-micro-batch costs what its own rows cost, however long the stream has run. Decisions go through the
-Parquet sink, which with the checkpoint writes each row once, across restarts too. Results equal
-those of one batch over the same rows in arrival order. A long stream should keep its states in
-RocksDB (``spark.sql.streaming.stateStore.providerClass``).
+Whether a state has come before is a value in Spark's state store (RocksDB), the line it first came with, so a
+micro-batch costs what its own rows cost, however long the stream has run. Each Arrow batch first gives up all
+rows but the least line of a state, without shuffling them, so the row of a blank page that comes a million
+times reaches the state function a few times, which takes rows one by one.
+
+Micro-batches are decided by ``foreachBatch``. A batch writes its decisions, its new cache rows and its requests
+below folders that carry its number, and reads the cache without its own rows: a batch that is played again
+after a failure sees what it saw at first, overwrites what it wrote, and takes over the ledger of its
+requests, so nothing is decided, cached or paid for twice. Several streams may share one cache. Results equal those
+of one batch over the same rows in arrival order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 
 from gristmill import config as C
-from gristmill.functions.text import has_email
-from gristmill.operators.screening import prepared
-from gristmill.operators.state import state_text
-
-OUT = "line long, state_hash string, decision string, reason string"
-#: Decisions that follow from a reason; any other reason is an input's fault. Fixed values.
-OF_REASON = {"demo_rules_passed": "keep", "exact_duplicate": "reject", "content_length_outside_bounds": "reject"}
-
-
-def judged(raw: DataFrame, cfg: dict[str, Any]) -> DataFrame:
-    """Columns of OUT for rows of a record source, as if no state had come before."""
-    df = prepared(raw, C.RUBRICS[cfg["rubric"]]["dedupe"])
-    reason = (
-        F.when(F.col("input_error").isNotNull(), F.col("input_error")).when(F.col("content_error").isNotNull(), "invalid_content")
-        .when(~F.col("n_chars").between(cfg["min_chars"], cfg["max_chars"]), "content_length_outside_bounds").when(has_email(state_text()), "demo_email_pattern").otherwise("demo_rules_passed")
-    )
-    decision = F.coalesce(F.create_map(*(F.lit(x) for pair in OF_REASON.items() for x in pair))[F.col("reason")], F.lit("review"))
-    return df.select("line", "state_hash", reason.alias("reason")).select("line", "state_hash", decision.alias("decision"), "reason")
-
-
-def _first_only(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one state in a batch: the first ever keeps its decision, the others are duplicates."""
-    rows = pd.concat(list(parts)).sort_values("line")
-    again = pd.Series(True, index=rows.index)
-    if not state.exists:
-        state.update((int(rows["line"].iloc[0]),))
-        again.iloc[0] = False
-    rows.loc[again, "reason"] = "exact_duplicate"
-    rows.loc[again, "decision"] = OF_REASON["exact_duplicate"]
-    yield rows[["line", "state_hash", "decision", "reason"]]
-
-
-def screen_stream(raw: DataFrame, out: str, checkpoint: str, config: dict[str, Any] | None = None) -> StreamingQuery:
+from gristmill.functions.scratch import cut, released
+from gristmill.operators.budget import spent_in
+from gristmill.operators.screening import DECISION, Scorer, cacheable, identities, newest, screen
+from gristmill.sources.sinks import exists
+
+OUT = "line long, state_hash string, decision string, reason string, cache_hit boolean, requests long"
+CACHE = f"config_hash string, state_hash string, result {DECISION}, written long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _not_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``is_dup``: a row of the same state and batch has a smaller line. Of equal lines the first counts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.schema.names
+        codes = batch.column(names.index("state_hash")).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((batch.column(names.index("line")).to_numpy(), codes))
+        later = np.zeros(len(order), bool)
+        later[order[1:]] = codes[order[1:]] == codes[order[:-1]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(later)], [*names, "is_dup"])
+
+
+class _FirstSeen(StatefulProcessor):
+    """Rows of one state: the first ever keeps its decision, the others are duplicates. One row is held at a time."""
+
+    def init(self, handle) -> None:
+        self.first = handle.getValueState("first", "line long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        least = None
+        for row in rows:
+            if least is not None:
+                least, row = (row, least) if row["line"] < least["line"] else (least, row)
+                yield Row(**(row.asDict(True) | {"is_dup": True}))
+            else:
+                least = row
+        again = self.first.exists()
+        if not again:
+            self.first.update((least["line"],))
+        yield Row(**(least.asDict(True) | {"is_dup": again}))
+
+    def close(self) -> None:
+        pass
+
+
+def marked(raw: DataFrame, mode: str, with_state: bool) -> DataFrame:
+    """Identities of a streaming frame (and its states, to be asked about) with ``is_dup``."""
+    rows = identities(raw, mode, with_state)
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", is_dup boolean"
+    known = rows.where("state_hash is not null").mapInArrow(_not_least, schema)
+    first = known.where("not is_dup").groupBy("state_hash").transformWithState(statefulProcessor=_FirstSeen(), outputStructType=known.schema, outputMode="Append", timeMode="None")
+    return first.unionByName(known.where("is_dup")).unionByName(rows.where("state_hash is null").withColumn("is_dup", F.lit(False)))
+
+
+class _Progress(StreamingQueryListener):
+    """Passes on how many rows a query has read, throttled."""
+
+    def __init__(self, send: Callable[[dict[str, Any]], None]):
+        from gristmill.plans.runs import throttled
+
+        self.send, self.rows, self.own = throttled(send), 0, None
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        if self.own is not None and str(p.id) == self.own:
+            self.rows += p.numInputRows
+            self.send({"processed": self.rows, "batch": p.batchId})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def _cached(spark: SparkSession, cache: str, name: str, batch: int) -> DataFrame | None:
+    """The cache as it was before this batch: its own rows, which an attempt that failed may have left, do not count."""
+    if not exists(spark, cache):
+        return None
+    rows = spark.read.schema(f"{CACHE}, stream string, batch long").parquet(cache)
+    return newest(rows.where(~((F.col("stream") == name) & (F.col("batch") >= batch))))
+
+
+def screen_stream(raw: DataFrame, out: str, checkpoint: str, config: dict[str, Any] | None = None, scorer: Scorer | None = None, cache: str | None = None, name: str = "stream", progress: Callable[[dict[str, Any]], None] | None = None, trigger: dict[str, Any] | None = None) -> StreamingQuery:
     """Start screening the streaming frame ``raw`` (columns of a record source) into Parquet below ``out/decisions``.
 
-    Local rules only. Rows of one state in one micro-batch are held together in memory; only their
-    line, hash and decision are.
+    ``cache``: a folder of decisions that this stream reads and adds to under its ``name``, which streams
+    that share the folder must not share. ``max_requests`` is the budget of the whole stream. ``progress`` gets
+    the rows read so far, at most every 0.35 seconds; the rows of a batch are set where ``raw`` is read
+    (``maxFilesPerTrigger``), and ``stop()`` ends the query between its batches. ``trigger``: as for a
+    stream writer, all that is there by default.
     """
     cfg = C.screening_config(config or {})
-    if cfg["provider"] != "demo":
-        raise ValueError("a stream is screened by the local rules")
-    rows = judged(raw, cfg)
-    alike = rows.where("state_hash is not null").groupBy("state_hash").applyInPandasWithState(_first_only, OUT, "first long", "append", GroupStateTimeout.NoTimeout)
-    all_ = alike.unionByName(rows.where("state_hash is null"))
-    return all_.writeStream.format("parquet").option("path", f"{out}/decisions").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if cfg["provider"] != "demo" and scorer is None:
+        raise ValueError("provider scorer needs a scorer")
+    spark, asks = raw.sparkSession, cfg["provider"] != "demo"
+    rows = marked(raw, C.RUBRICS[cfg["rubric"]]["dedupe"], asks)
+
+    def decide(part: DataFrame, batch: int) -> None:
+        with released():
+            session = part.sparkSession
+            known = _cached(session, cache, name, batch) if cache else None
+            left = None
+            if asks and not getattr(scorer, "replays", False):
+                left = cfg["max_requests"] - sum(spent_in(session, f"{out}/ledger/{n}") for n in range(batch))
+            decided = cut(screen(None, cfg, known, scorer, seen=cut(part, "part"), ledger=f"{out}/ledger/{batch}", budget=left), "decided")
+            kept = decided.select("line", "state_hash", "result.decision", "result.reason", "cache_hit", "requests")
+            if cache:
+                fresh = cacheable(decided).withColumn("written", F.lit(time.time_ns()))
+                fresh.write.mode("overwrite").parquet(f"{cache}/stream={name}/batch={batch}")
+            kept.write.mode("overwrite").parquet(f"{out}/decisions/batch={batch}")
+
+    told = _Progress(progress) if progress else None
+    if told:
+        spark.streams.addListener(told)
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = rows.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    if told:
+        told.own = str(query.id)
+    return query
+
+
+def decisions(spark: SparkSession, out: str) -> DataFrame:
+    """The decisions of a stream so far: columns of OUT."""
+    return spark.read.schema(f"{OUT}, batch long").parquet(f"{out}/decisions").drop("batch")
