@@ -14,7 +14,6 @@ _W = r"[\p{L}\p{N}_]"
 _EDGE = rf"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 #: An e-mail address between Unicode word boundaries.
 EMAIL = rf"{_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{_EDGE}"
-BOS, EOS, VOCABULARY = 257, 256, 257
 
 
 def strip(c: Column) -> Column:

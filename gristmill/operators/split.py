@@ -19,6 +19,7 @@ from gristmill.operators.state import training_fault, training_text
 
 SPLITS = ["train", "validation", "test"]
 MIN_COMPONENTS = 6
+SMALL_EDGES = 500_000  # pairs of keys that one task may finish; some 100 MB
 
 
 def split_keys(text: Column, group_id: Column | None = None, conversation_id: Column | None = None) -> Column:
@@ -35,7 +36,7 @@ def with_component(df: DataFrame, keys: str = "keys") -> DataFrame:
     """Add ``component``, the smallest key reachable from the record's keys."""
     first = F.col(keys)[0]
     edges = df.select(first.alias("a"), F.explode(F.slice(keys, 2, 10)).alias("b"))
-    roots = connected_components(edges).select(F.col("node").alias("_node"), "root")
+    roots = connected_components(edges, small=SMALL_EDGES).select(F.col("node").alias("_node"), "root")
     return df.join(roots, first == F.col("_node"), "left").withColumn("component", F.coalesce("root", first)).drop("_node", "root")
 
 
