@@ -12,7 +12,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill import config as C
@@ -22,20 +22,24 @@ ALPHA = 0.5
 #: Tokens: bytes, then the end mark; the start mark is only ever a context. Fixed values.
 EOS, BOS, VOCABULARY = 256, 257, 257
 CELLS = (VOCABULARY + 1) * VOCABULARY
+#: Steps whose losses one task finds: at most 128 x 32 texts of 4096 bytes, and 79 parts of 10,000 steps.
+PART_STEPS = 128
 
 
 def batches(train: DataFrame, config: dict[str, Any]) -> DataFrame:
     """The visits of training: ``step, epoch, line, text``, in batches of consecutive lines, epochs in turn.
 
-    At most ``max_steps * batch_size`` rows take part, so the one window over them is bounded.
+    At most ``max_steps * batch_size`` lines take part; the one window over them holds only line numbers
+    (320,000 at the greatest settings), and texts, cut to what the model reads, join them.
     """
     size, steps = config["batch_size"], config["max_steps"]
     rows = train.count()
     per_epoch = -(-rows // size)
-    first = train.select("line", "text").orderBy("line").limit(size * min(steps, max(per_epoch, 1)))
+    first = train.select("line").orderBy("line").limit(size * min(steps, max(per_epoch, 1)))
     numbered = first.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("line")) - 1) / size))
     epochs = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(config["epochs"]))))
-    return epochs.withColumn("step", ((F.col("epoch") - 1) * per_epoch + F.col("batch") + 1).cast("long")).where(F.col("step") <= steps).select("step", "epoch", "line", "text")
+    visits = epochs.select("line", "epoch", ((F.col("epoch") - 1) * per_epoch + F.col("batch") + 1).cast("long").alias("step")).where(F.col("step") <= steps)
+    return train.select("line", F.left("text", F.lit(config["max_seq_length"])).alias("text")).join(visits, "line").select("step", "epoch", "line", "text")
 
 
 def tokens(column: pa.Array, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,41 +104,61 @@ def totals(model: DataFrame) -> DataFrame:
     return model.groupBy("prev").agg(F.sum("n").alias("total"))
 
 
-def loss_history(steps: DataFrame, limit: int) -> DataFrame:
+def part_counts(steps: DataFrame, limit: int) -> DataFrame:
+    """``part, prev, token, n``: transitions of each part, PART_STEPS consecutive steps. Summed, they are the model."""
+    return counts(steps.withColumn("part", _part()), limit, "part").withColumn("part", F.col("part").cast("long"))
+
+
+def _part() -> Column:
+    return F.floor((F.col("step") - 1) / PART_STEPS).cast("long")
+
+
+def model_of(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("prev", "token").agg(F.sum("n").alias("n"))
+
+
+def _standing(parts: DataFrame) -> DataFrame:
+    """``part, prev, token, n``: for the cells and contexts (token null) that occur in a part, their count in all parts before it."""
+    contexts = parts.groupBy("part", "prev").agg(F.lit(None).cast("int").alias("token"), F.sum("n").alias("n")).select(*parts.columns)
+    earlier = Window.partitionBy("prev", "token").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.unionByName(contexts).withColumn("n", F.sum("n").over(earlier)).where("n is not null")
+
+
+def loss_history(steps: DataFrame, limit: int, parts: DataFrame | None = None) -> DataFrame:
     """``step, epoch, loss``: the mean loss of each step, each token scored with the counts before it.
 
-    The visits are bounded by the settings; one task reads them in order and holds one table of cells.
+    Parts of PART_STEPS steps are scored at once: what stood before a part is the running sum of the
+    counts of earlier parts, and only within a part are steps followed in order. A task holds the visits of one
+    part and one table of cells. ``parts``: the result of ``part_counts``, where the caller has it.
     """
+    parts = part_counts(steps, limit) if parts is None else parts
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, contexts = np.zeros(CELLS, np.int64), np.zeros(VOCABULARY + 1, np.int64)
-        held: dict[tuple[int, int], list[float]] = {}
-
-        def before(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-            """How often each key stood earlier, in the table or in ``keys``; the table takes them in."""
-            order = np.argsort(keys, kind="stable")
-            ordered = keys[order]
-            rank = np.empty(len(keys), np.int64)
-            rank[order] = np.arange(len(keys)) - np.searchsorted(ordered, ordered)
-            out = table[keys] + rank
-            table += np.bincount(keys, minlength=len(table))
-            return out
+    def before(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """How often each key stood earlier, in the table or in ``keys``."""
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys)) - np.searchsorted(ordered, ordered)
+        return table[keys] + rank
 
-        for batch in found:
-            context, token, size = tokens(batch.column(2), limit)
-            seen, total = before(context * VOCABULARY + token, cells), before(context, contexts)
-            loss = -np.log((seen + ALPHA) / (total + ALPHA * VOCABULARY))
-            sums = np.add.reduceat(loss, np.cumsum(size) - size) if len(size) else []
-            for key, s, n in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), sums, size, strict=True):
-                one = held.setdefault(key, [0.0, 0])
-                one[0] += float(s)
-                one[1] += int(n)
-        if held:
-            step, epoch = zip(*held, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(step, pa.int64()), pa.array(epoch, pa.int32()), pa.array([s / n for s, n in held.values()], pa.float64())], ["step", "epoch", "loss"])
-
-    ordered = steps.select("step", "epoch", "text", "line").coalesce(1).sortWithinPartitions("epoch", "line").select("step", "epoch", "text")
-    return ordered.mapInArrow(run, "step long, epoch int, loss double")
+    def score(visits: pa.Table, standing: pa.Table) -> pa.Table:
+        cells, contexts = np.zeros(CELLS, np.int64), np.zeros(VOCABULARY + 1, np.int64)
+        whole = standing["token"].is_null().to_numpy()
+        prev, token, n = (standing[c].fill_null(0).to_numpy() for c in ("prev", "token", "n"))
+        cells[prev[~whole] * VOCABULARY + token[~whole]] = n[~whole]
+        contexts[prev[whole]] = n[whole]
+        visits = visits.sort_by([("step", "ascending"), ("line", "ascending")]).combine_chunks()
+        context, token, size = tokens(pa.concat_arrays(visits["text"].chunks) if visits.num_rows else pa.array([], pa.string()), limit)
+        seen, total = before(context * VOCABULARY + token, cells), before(context, contexts)
+        loss = -np.log((seen + ALPHA) / (total + ALPHA * VOCABULARY))
+        step, first = np.unique(visits["step"].to_numpy(), return_index=True)
+        begins = (np.cumsum(size) - size)[first]
+        sums = np.add.reduceat(loss, begins) if len(step) else loss
+        long = np.diff(np.append(begins, len(loss)))
+        return pa.table({"step": pa.array(step, pa.int64()), "epoch": pa.array(visits["epoch"].to_numpy()[first], pa.int32()), "loss": pa.array(sums / long, pa.float64())})
+
+    visits = steps.select("step", "epoch", "line", "text", _part().alias("part"))
+    return visits.groupBy("part").cogroup(_standing(parts).groupBy("part")).applyInArrow(score, "step long, epoch int, loss double")
 
 
 def evaluate(df: DataFrame, model: DataFrame | None, limit: int, by: list[str] | None = None) -> DataFrame:
@@ -167,13 +191,14 @@ def train_and_evaluate(split: DataFrame, config: dict[str, Any] | None = None) -
     limit = cfg["max_seq_length"]
     split = cut(split.select("line", "text", "split"), "texts")
     steps = cut(batches(split.where("split = 'train'"), cfg), "steps")
-    model = cut(counts(steps, limit), "model")
+    parts = cut(part_counts(steps, limit), "parts")
+    model = cut(model_of(parts), "model")
     held = cut(counts(split.where("split != 'train'"), limit, "split"), "held")
     scored = held.withColumnRenamed("n", "w").join(F.broadcast(model), ["prev", "token"], "left").join(F.broadcast(totals(model)), "prev", "left")
     loss = lambda n, t: F.sum(-F.log((n + ALPHA) / (t + ALPHA * VOCABULARY)) * F.col("w")) / F.sum("w")
     none = F.lit(0)
     read = {r["split"]: r for r in scored.groupBy("split").agg(F.sum("w").alias("tokens"), loss(none, none).alias("before"), loss(F.coalesce("n", none), F.coalesce("total", none)).alias("after")).collect()}
-    history = [r.asDict() for r in loss_history(steps, limit).orderBy("step").collect()]
+    history = [r.asDict() for r in loss_history(steps, limit, parts).orderBy("step").collect()]
     out: dict[str, Any] = {"steps": len(history), "training_record_visits": steps.count(), "loss_history": history, "evaluation_tokens": {s: r["tokens"] for s, r in read.items()}}
     for s in ("validation", "test"):
         a, b = read[s]["before"], read[s]["after"]

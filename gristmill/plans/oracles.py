@@ -195,6 +195,11 @@ SQL |= {
     "context_totals": _MODEL + " select cast(prev as bigint) as prev, total from tot",
     "loss_history": _MODEL + """, pq as (select step, row_number() over (partition by prev, token order by line, pos) - 1 as c, row_number() over (partition by prev order by line, pos) - 1 as t from tk)
 select step, round(avg(-ln((c + 0.5) / (t + 128.5))), 6) as loss from pq group by 1""",
+    "loss_history_long": _TRAIN[: _TRAIN.index(",\nst as")] + f""",
+vs as (select line, text, epoch, (epoch - 1) * ((n + 1) // 2) + i // 2 + 1 as step from tr, (select unnest([1, 2]) as epoch)),
+tk as {_tokens("(select * from vs where step <= 10000)", "step, epoch, line")},
+pq as (select step, epoch, row_number() over (partition by prev, token order by step, line, pos) - 1 as c, row_number() over (partition by prev order by step, line, pos) - 1 as t from tk)
+select cast(step as bigint) as step, cast(epoch as bigint) as epoch, round(avg(-ln((c + 0.5) / (t + 128.5))), 6) as loss from pq group by 1, 2""",
     "baseline_eval": _TRAIN + ", held as (select split, text from sp where split <> 'train') select split, tokens, round(loss, 6) as loss from (select " + _evaluate("held", "split", False) + ")",
     "heldout_eval": _MODEL + ", held as (select split, text from sp where split <> 'train') select split, tokens, round(loss, 6) as loss, round(exp(loss), 4) as perplexity from (select " + _evaluate("held", "split", True) + ")",
     "external_eval": _MODEL + " select tokens, round(loss, 6) as loss from (select " + _evaluate("benchmark", "", True) + ")",

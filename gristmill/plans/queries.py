@@ -396,8 +396,8 @@ def split_seed_sensitivity(spark, sf):
 # Bigram model
 
 
-def training(spark, sf) -> tuple[DataFrame, DataFrame]:
-    cfg = C.training_config()
+def training(spark, sf, config: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    cfg = C.training_config(config)
     kept = texts(spark, sf)
     rows = cut(kept.select("line", "text").join(assigned(spark, sf, kept=kept).select("line", "split"), "line"), "split")
     return rows, cut(bigram.batches(rows.where("split = 'train'"), cfg), "steps")
@@ -428,6 +428,13 @@ def loss_history(spark, sf):
     return bigram.loss_history(training(spark, sf)[1], 256).select("step", F.round("loss", 6).alias("loss"))
 
 
+@query
+def loss_history_long(spark, sf):
+    """Two epochs of at most 10,000 steps of two texts: losses of many parts, each found by a task of its own."""
+    steps = training(spark, sf, {"epochs": 2, "max_steps": 10_000, "batch_size": 2})[1]
+    return bigram.loss_history(steps, 256).select("step", F.col("epoch").cast("long").alias("epoch"), F.round("loss", 6).alias("loss"))
+
+
 @query
 def baseline_eval(spark, sf):
     rows, _ = training(spark, sf)
