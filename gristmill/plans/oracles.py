@@ -227,6 +227,11 @@ union all select cast(2 + sum(n) as bigint), 'invalid_csv_syntax', true, null fr
 _LINES = """with x as (select row_number() over (order by doc_id) as line, doc_id, doc_id % 50 as c from documents where text is not null),
 f as (select line, doc_id, case when doc_id % 1000 = 3 then 'row_exceeds_1_mib' when c = 5 then 'invalid_utf8' when c in (7, 13, 15) then 'invalid_json' when c = 9 then 'record_must_be_object' else 'none' end as error, c from x where c <> 11 or doc_id % 1000 = 3)"""
 SQL["strict_jsonl_faults"] = _LINES + " select line, error, false as input_fatal, case when error = 'none' and c <> 17 then cast(doc_id as varchar) end as group_id from f"
+_ARRIVED = _LINES.replace("(order by doc_id) as line, doc_id,", "(partition by doc_id % 5 order by doc_id) as line, doc_id, text,").replace("select line, doc_id, case", "select line, doc_id, text, case")
+SQL["stream_file_records"] = _ARRIVED + " select doc_id % 5 as part, line, error, case when error = 'none' and c <> 17 then cast(doc_id as varchar) end as group_id from f"
+SQL["stream_file_decisions"] = _ARRIVED + ", " + _screen("select doc_id as line, case when c = 17 then 'the last of two keys counts' else text end as text from f where error = 'none'") + """
+select decision, reason, count(*) as n, count(distinct line) as lines, count(distinct state_hash) as states
+from (select line, decision, reason, state_hash from d union all select doc_id, 'review', error, null from f where error <> 'none') group by all"""
 SQL["dataset_inspection"] = _LINES + " select count(*) as rows, count_if(error <> 'none') as invalid_rows, arg_min(error, line) filter (where error in ('row_exceeds_1_mib', 'invalid_utf8')) as fault from f"
 SQL["stream_screen"] = _D + " select line, state_hash, decision, reason from d"
 SQL["decision_files"] = _D + " select decision, sha256(text) as text_sha256 from d"

@@ -16,6 +16,7 @@ from gristmill.operators.gates import judge_answers, thresholds_table
 from gristmill.operators.screening import cacheable, callable_scorer, narrow, replay_scorer, screen
 from gristmill.operators.state import answer_split, conversation, fields, state_hash, state_text, training_fault, training_text, with_state
 from gristmill.sources import store, strict, tables
+from gristmill.streaming.arrivals import LANDED, land, record_stream
 from gristmill.streaming.screen import decisions, screen_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,8 +526,8 @@ def stream_cache_replay(spark, sf):
 # Faults of files, ids and texts
 
 
-def _faulty_lines(spark, sf) -> str:
-    """Documents as JSON lines, some of them broken in each way a line can be, as one file with a byte order mark."""
+def _broken_lines(spark, sf) -> DataFrame:
+    """``doc_id, value``: documents as JSON lines, some of them broken in each way a line can be; the first with a byte order mark."""
     i = F.col("doc_id")
     hexed = lambda c: F.expr(f"cast(unhex('{c}') as string)")
     bad = (
@@ -535,7 +536,38 @@ def _faulty_lines(spark, sf) -> str:
     )
     mark = F.when(i == 0, hexed("EFBBBF")).otherwise("")
     good = F.to_json(F.struct("text", i.alias("group_id")))
-    return _as_files(spark, table(spark, sf, "documents").orderBy("doc_id").select(F.concat(mark, F.coalesce(bad, good)).alias("value")), "jsonl")
+    return table(spark, sf, "documents").select("doc_id", F.concat(mark, F.coalesce(bad, good)).alias("value"))
+
+
+def _faulty_lines(spark, sf) -> str:
+    """Those lines as one file."""
+    return _as_files(spark, _broken_lines(spark, sf).orderBy("doc_id").select("value"), "jsonl")
+
+
+def _landed(spark, sf) -> str:
+    """Those lines as five files that arrive in a folder, two to a micro-batch."""
+    path, part = new_path(spark, "arrivals"), F.col("doc_id") % 5
+    lines = _broken_lines(spark, sf).withColumn("part", part).repartition(5, "part").sortWithinPartitions("part", "doc_id")
+    lines.select("part", "value").write.partitionBy("part").text(f"{path}/in")
+    land(spark, f"{path}/in", path, f"{path}/landing", max_files=2).awaitTermination()
+    return path
+
+
+@query
+def stream_file_records(spark, sf):
+    """Records of files that arrive, with their place: of every fifth document a file."""
+    path = _landed(spark, sf)
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("long")
+    rows = spark.read.schema(LANDED).parquet(f"{path}/records")
+    return rows.select(part.alias("part"), F.col("file_line").alias("line"), F.coalesce("input_error", F.lit("none")).alias("error"), "group_id")
+
+
+@query
+def stream_file_decisions(spark, sf):
+    """Those files screened as they land; which copy comes first depends on the order of files, how many stay does not."""
+    path = _landed(spark, sf)
+    screen_stream(record_stream(spark, path), f"{path}/out", f"{path}/screening").awaitTermination()
+    return decisions(spark, f"{path}/out").groupBy("decision", "reason").agg(F.count("*").alias("n"), F.countDistinct("line").alias("lines"), F.countDistinct("state_hash").alias("states"))
 
 
 @query

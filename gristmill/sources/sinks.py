@@ -50,6 +50,21 @@ def write_json(spark: SparkSession, path: str, value: dict[str, Any]) -> None:
         raise OSError(f"could not publish {path}")
 
 
+def publish(spark: SparkSession, path: str, final: str) -> None:
+    """Rename a finished folder to a place where nothing is yet, so that readers see all of it or nothing."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(final)
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(source, target):
+        raise OSError(f"could not publish {final}")
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -230,7 +230,7 @@ def _pieced(pieces: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_columns([(rows[0]["file"], rows[0]["line"], rows[-1]["last"], cells, None, None)], _PARSED)]).slice(0, 0 if none else 1)
 
 
-def csv_records(spark: SparkSession, path: str) -> DataFrame:
+def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, line, last, cells, error, names``: the records of CSV files, their first and last lines, and each
     file's header; ``error`` is a fatal fault. The record of line 1 is the header itself."""
     where = {"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start"), "whole": F.col("_metadata.file_size")}
