@@ -233,6 +233,20 @@ SQL["stream_file_decisions"] = _ARRIVED + ", " + _screen("select doc_id as line,
 select decision, reason, count(*) as n, count(distinct line) as lines, count(distinct state_hash) as states
 from (select line, decision, reason, state_hash from d union all select doc_id, 'review', error, null from f where error <> 'none') group by all"""
 SQL["dataset_inspection"] = _LINES + " select count(*) as rows, count_if(error <> 'none') as invalid_rows, arg_min(error, line) filter (where error in ('row_exceeds_1_mib', 'invalid_utf8')) as fault from f"
+_PLAIN_CUT = f"""p0 as (select line, {strip("said")} as f, {strip("answer")} as a, last_role from t),
+p as (select line, f, case when last_role = 'assistant' and a <> '' and ends_with(f, a) and length(f) > length(a) then left(f, length(f) - length(a)) end as q from p0)"""
+_CHOSEN = """z as (select line, coalesce(ok, false) as templated, case when ok then full_text else f end as x, case when ok then prompt_text else q end as y from c join p using (line))
+select line, templated, sha256(x) as full_sha256, sha256(y) as prompt_sha256, length(x) as full_chars, length(y) as prompt_chars from z"""
+_SAID = f"""w as (select conv_id + 1 as line, turn, role, text, {strip("text")} as s, row_number() over (partition by conv_id order by turn) as i, row_number() over (partition by conv_id order by turn desc) as j, first_value(role) over (partition by conv_id order by turn) = 'system' as told,
+  first_value(text) over (partition by conv_id order by turn) as one from conversations)"""
+SQL["chat_template_marked"] = _TALK + f""", {_PLAIN_CUT}, {_SAID},
+r as (select *, case when i = 1 and role <> 'system' then '<|im_start|>system' || chr(10) || 'Answer briefly.<|im_end|>' || chr(10) else '' end || '<|im_start|>' || role || chr(10) || s || '<|im_end|>' || chr(10) as x from w),
+c as (select line, string_agg(x, '' order by turn) as full_text, coalesce(string_agg(x, '' order by turn) filter (where j > 1), '') || '<|im_start|>assistant' || chr(10) as prompt_text, arg_max(role, turn) = 'assistant' and starts_with(full_text, prompt_text) as ok from r group by line), """ + _CHOSEN
+SQL["chat_template_alternating"] = _TALK + f""", {_PLAIN_CUT}, {_SAID},
+v as (select *, i - 1 - told::int as n from w),
+r as (select *, case when n < 0 then '' when role = 'user' then '[INST] ' || case when n = 0 and told then one || chr(10) || chr(10) else '' end || s || ' [/INST]' else ' ' || s || '</s>' end as x,
+  n < 0 or (role in ('user', 'assistant') and (role = 'user') = (n % 2 = 0)) as fine from v),
+c as (select line, '<s>' || string_agg(x, '' order by turn) as full_text, '<s>' || coalesce(string_agg(x, '' order by turn) filter (where j > 1), '') as prompt_text, bool_and(fine) and arg_max(role, turn) = 'assistant' as ok from r group by line), """ + _CHOSEN
 SQL["stream_screen"] = _D + " select line, state_hash, decision, reason from d"
 SQL["decision_files"] = _D + " select decision, sha256(text) as text_sha256 from d"
 SQL["audit_rows"] = _D + " select line, state_hash, 'demo_rule_based' as mode, false as cache_hit, decision, reason from d"

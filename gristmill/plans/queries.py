@@ -15,6 +15,7 @@ from gristmill.operators import bigram, report, split
 from gristmill.operators.gates import judge_answers, thresholds_table
 from gristmill.operators.screening import cacheable, callable_scorer, narrow, replay_scorer, screen
 from gristmill.operators.state import answer_split, conversation, fields, state_hash, state_text, training_fault, training_text, with_state
+from gristmill.operators.templates import chat_split
 from gristmill.sources import store, strict, tables
 from gristmill.streaming.arrivals import LANDED, land, record_stream
 from gristmill.streaming.screen import decisions, screen_stream
@@ -625,6 +626,45 @@ def masking_counters(spark, sf):
     return report.masking(df)
 
 
+#: Turns between marks, a first system turn where there is none, and the mark of the answer to come.
+MARKED = """{% for message in messages %}
+    {% if loop.first and message['role'] != 'system' %}
+<|im_start|>system
+Answer briefly.<|im_end|>
+    {% endif %}
+{{ '<|im_start|>' + message.role + '\\n' + message['content'] | trim + '<|im_end|>\\n' }}
+{%- endfor %}
+{% if add_generation_prompt %}
+<|im_start|>assistant
+{% endif %}
+"""
+#: Questions and answers in turn, a system turn joined to the first question; other orders are refused.
+ALTERNATING = """{% if messages[0]['role'] == 'system' %}{% set told = messages[0]['content'] %}{% set rest = messages[1:] %}{% else %}{% set told = false %}{% set rest = messages %}{% endif %}
+{{- bos_token }}
+{%- for m in rest %}
+{%- if (m['role'] == 'user') != (loop.index0 % 2 == 0) or m['role'] not in ['user', 'assistant'] %}{{ raise_exception('turns must alternate') }}{% endif %}
+{%- if m.role == 'user' %}{{ '[INST] ' + (told + '\\n\\n' if loop.first and told != false else '') + m.content.strip() + ' [/INST]' }}{% else %}{{ ' ' ~ m.content | trim ~ eos_token }}{% endif %}
+{%- endfor %}"""
+
+
+def _chats(spark, sf, template: str, **names) -> DataFrame:
+    df = with_state(tables.turns(table(spark, sf, "conversations"))).withColumn("x", chat_split(template, **names))
+    hashed = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return df.select("line", "x.templated", hashed("x.full").alias("full_sha256"), hashed("x.prompt").alias("prompt_sha256"), F.length("x.full").cast("long").alias("full_chars"), F.length("x.prompt").cast("long").alias("prompt_chars"))
+
+
+@query
+def chat_template_marked(spark, sf):
+    """Conversations rendered by a chat template, with the part a loss on answers leaves out."""
+    return _chats(spark, sf, MARKED)
+
+
+@query
+def chat_template_alternating(spark, sf):
+    """A template that refuses some conversations, which then are rendered plainly."""
+    return _chats(spark, sf, ALTERNATING, bos_token="<s>", eos_token="</s>")
+
+
 @query
 def token_masking(spark, sf):
     """The same in tokens of a public vocabulary; no SQL, the operator is tested against a tokenizer."""
