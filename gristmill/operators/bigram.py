@@ -207,9 +207,7 @@ def train_and_evaluate(split: DataFrame, config: dict[str, Any] | None = None) -
     return out
 
 
-def lr_schedule(spark, steps: int, rate: float) -> DataFrame:
-    """Warm-up over a tenth of the steps, then linear decay."""
-    warm = max(1, steps // 10)
-    s = F.col("id")
-    factor = F.when(s < warm, (s + 1) / warm).otherwise(F.greatest(F.lit(0.0), (F.lit(steps) - s) / max(1, steps - warm)))
-    return spark.range(steps).select(s.alias("step"), (factor * rate).alias("rate"))
+def rate_at(step: Column, steps: Column, rate: float) -> Column:
+    """Warm-up over a tenth of the steps, then linear decay; steps count from 0."""
+    warm = F.greatest(F.lit(1), F.floor(steps / 10))
+    return rate * F.when(step < warm, (step + 1) / warm).otherwise(F.greatest(F.lit(0.0), (steps - step) / F.greatest(F.lit(1), steps - warm)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from gristmill.plans.queries import PRECEDENCE
-
 WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 
@@ -43,16 +41,10 @@ SQL: dict[str, str] = {
     "normalize_text": f"""with s as (select doc_id + 1 as line, text, {fold("text")} as f from documents)
 select line, case when f <> '' then 'text' end as layout, case when f <> '' then cast(json_object('text', text) as varchar) end as state,
   case when f <> '' then sha256(cast(json_object('text', f) as varchar)) end as state_hash from s""",
-    "layout_precedence": "select * from (values "
-    + ", ".join(
-        f"('{name}', {layout}, {error}, {text})"
-        for (name, *_), (layout, error, text) in zip(
-            PRECEDENCE,
-            [("'text'", "null", "'a text'"), ("'instruction'", "null", "'i' || chr(10) || 'o'"), ("'prompt'", "null", "'p' || chr(10) || 'r'"), ("'instruction'", "'instruction_and_output_required'", "null"), ("'prompt'", "'prompt_and_response_required'", "null"), ("null", "'missing_supported_content'", "null")],
-            strict=True,
-        )
-    )
-    + ") t(name, layout, error, text_of_state)",
+    "layout_precedence": f"""with x as (select doc_id + 1 as line, doc_id % 6 as c, doc_id % 6 = 0 and text is not null and {fold("text")} <> '' as good, text, lang, source from documents)
+select line, case when good then 'text' when c in (0, 1, 3) then 'instruction' when c in (2, 4) then 'prompt' end as layout,
+  case c when 3 then 'instruction_and_output_required' when 4 then 'prompt_and_response_required' when 5 then 'missing_supported_content' end as error,
+  sha256(case when good then text when c < 2 then lang || chr(10) || source when c = 2 then source || chr(10) || lang end) as state_sha256 from x""",
     "preview_fields": "select doc_id + 1 as line, left(text, 800) as text, lang, source from documents order by doc_id limit 8",
     "preview_key_union": """with k as (select doc_id, unnest(case doc_id % 3 when 0 then ['text', 'n_chars'] when 1 then ['text', 'lang'] else ['text', 'source'] end) as key, generate_subscripts([1, 2], 1) as i from documents order by doc_id limit 10),
 u as (select key, min(doc_id * 2 + i) as place from k group by 1) select row_number() over (order by place) - 1 as pos, key from u qualify row_number() over (order by place) <= 5""",
@@ -127,7 +119,7 @@ v as (select *, case when score > 200 then 'numeric response outside range' when
 w as (select *, depth = 'keep' and sure < 0.85::double as unsure from v)
 select doc_id, error, case when error is null then case when depth = 'reject' or safe = 'reject' then 'reject' when depth = 'review' or unsure or safe = 'review' then 'review' else 'keep' end end as decision,
   case when error is null and unsure then 'confidence_below_threshold' end as gate from w""",
-    "thresholds": "select * from (values ('quality', false, 0.6::double, 0.2::double, null::double), ('privacy', true, 0.9::double, 0.1::double, 0.85::double), ('trainability', false, 0.7::double, 0.2::double, null::double)) t(dimension, use_confidence, min_probability, max_reject_probability, min_confidence)",
+    "thresholds": "with " + _GATES + ", n as (select dimension, count(*) as answers, count(gate) as held_back from dims group by 1) select * from (values ('quality', false, 0.6::double, 0.2::double, null::double), ('privacy', true, 0.9::double, 0.1::double, 0.85::double), ('trainability', false, 0.7::double, 0.2::double, null::double)) t(dimension, use_confidence, min_probability, max_reject_probability, min_confidence) join n using (dimension)",
     "scored_decisions": _SCORED + " select line, decision, reason, error from z",
     "dimension_report": _SCORED + " select dimension, count_if(dims.decision = 'keep') as keep, count_if(dims.decision = 'review') as review, count_if(dims.decision = 'reject') as reject, count(*) as evaluated, round(avg(sure), 6) as mean_confidence, round(avg(probability), 6) as mean_probability from dims join ok using (doc_id) group by 1",
     "gate_histogram": _SCORED + " select dimension, gate, count(*) as n from dims join ok using (doc_id) where gate is not null group by all",
@@ -203,8 +195,9 @@ select cast(step as bigint) as step, cast(epoch as bigint) as epoch, round(avg(-
     "baseline_eval": _TRAIN + ", held as (select split, text from sp where split <> 'train') select split, tokens, round(loss, 6) as loss from (select " + _evaluate("held", "split", False) + ")",
     "heldout_eval": _MODEL + ", held as (select split, text from sp where split <> 'train') select split, tokens, round(loss, 6) as loss, round(exp(loss), 4) as perplexity from (select " + _evaluate("held", "split", True) + ")",
     "external_eval": _MODEL + " select tokens, round(loss, 6) as loss from (select " + _evaluate("benchmark", "", True) + ")",
-    "lr_schedule": "select s as step, round(case when s < 2 then (s + 1) / 2.0 else greatest(0.0, (20 - s) / 18.0) end * cast(0.0002 as double), 12) as rate from range(20) t(s)",
-    "synthetic_corpus": "select 'keep' as decision, count(*) as n, count(distinct i // 2) as groups from range(1000) t(i)",
+    "lr_schedule": _TRAIN[: _TRAIN.index(",\nst as")] + """, m as (select least(10000, 2 * ((count(*) + 1) // 2)) as n from tr), w as (select n, greatest(1, n // 10) as w from m)
+select s as step, round(case when s < w then (s + 1) / w else greatest(0.0, (n - s) / greatest(1, n - w)) end * cast(0.0002 as double), 12) as rate from (select n, w, unnest(range(n)) as s from w)""",
+    "synthetic_corpus": "select 'keep' as decision, count(*) as n, count(distinct doc_id // 2) as groups from documents",
     "jsonl_to_decisions": "with " + _screen("select row_number() over (order by doc_id) as line, text from documents") + " select line, decision, reason, state_hash from d",
     "strict_csv_scan": "with " + _screen("select row_number() over (order by doc_id) as line, text from documents") + " select decision, count(*) as n from d group by 1",
     "strict_jsonl_scan": """with x as (select row_number() over (order by doc_id) as line, doc_id % 50 as c from documents)

@@ -121,18 +121,17 @@ def normalize_prompt(spark, sf):
     return _states(tables.pairs(table(spark, sf, "conversations"), "prompt"))
 
 
-#: name, text, prompt, response, instruction, output; "-" is an absent field.
-PRECEDENCE = [("text first", "a text", "p", "r", "i", "o"), ("blank text", "  ", "p", "r", "i", "o"), ("prompt", "-", "p", "r", "-", "-"), ("no output", "-", "p", "r", "i", "-"), ("no response", "-", "p", "-", "-", "-"), ("nothing", "-", "-", "-", "-", "-")]
-
-
 @query
 def layout_precedence(spark, sf):
-    names = ["text", "prompt", "response", "instruction", "output"]
-    rows = spark.createDataFrame(PRECEDENCE, "name string, " + ", ".join(f"{n} string" for n in names))
-    content = fields(**{n: F.col(n) for n in names})
+    """Documents as records of several layouts at once, by their id: which one counts, or what is wrong."""
+    i, names = F.col("doc_id") % 6, ["text", "prompt", "response", "instruction", "output"]
+    present = {"text": i < 2, "prompt": i < 5, "response": i < 4, "instruction": (i < 2) | (i == 3), "output": i < 2}
+    value = {"text": F.when(i == 1, "  ").otherwise(F.col("text")), "prompt": F.col("source"), "response": F.col("lang"), "instruction": F.col("lang"), "output": F.col("source")}
+    content = fields(**value)
     for n in names:
-        content = content.withField(f"{n}.kind", F.when(F.col(n) == "-", "absent").otherwise("string"))
-    return with_state(rows.withColumn("fields", content)).select("name", "layout", F.col("content_error").alias("error"), state_text().alias("text_of_state"))
+        content = content.withField(f"{n}.kind", F.when(~present[n], "absent").otherwise(content[n]["kind"]))
+    rows = with_state(table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("line"), content.alias("fields")))
+    return rows.select("line", "layout", F.col("content_error").alias("error"), F.sha2(state_text().cast("binary"), 256).alias("state_sha256"))
 
 
 @query
@@ -263,7 +262,10 @@ def gate_score_noul(spark, sf):
 
 @query
 def thresholds(spark, sf):
-    return thresholds_table(spark, C.RUBRICS["general"], 0.85)
+    """The thresholds of each dimension, with how many answers they let pass and hold back."""
+    judged = _judged(spark, sf).select(F.explode("dimensions").alias("dimension", "d"))
+    n = judged.groupBy("dimension").agg(F.count("*").alias("answers"), F.count_if(F.col("d.gate").isNotNull()).alias("held_back"))
+    return thresholds_table(spark, C.RUBRICS["general"], 0.85).join(n, "dimension")
 
 
 def scored(spark, sf, cache: DataFrame | None = None) -> DataFrame:
@@ -405,6 +407,9 @@ def training(spark, sf, config: dict | None = None) -> tuple[DataFrame, DataFram
     return rows, cut(bigram.batches(rows.where("split = 'train'"), cfg), "steps")
 
 
+LONG = {"epochs": 2, "max_steps": 10_000, "batch_size": 2}
+
+
 @query
 def batch_steps(spark, sf):
     return training(spark, sf)[1].select("step", F.col("epoch").cast("long").alias("epoch"), "line")
@@ -433,7 +438,7 @@ def loss_history(spark, sf):
 @query
 def loss_history_long(spark, sf):
     """Two epochs of at most 10,000 steps of two texts: losses of many parts, each found by a task of its own."""
-    steps = training(spark, sf, {"epochs": 2, "max_steps": 10_000, "batch_size": 2})[1]
+    steps = training(spark, sf, LONG)[1]
     return bigram.loss_history(steps, 256).select("step", F.col("epoch").cast("long").alias("epoch"), F.round("loss", 6).alias("loss"))
 
 
@@ -459,12 +464,15 @@ def external_eval(spark, sf):
 
 @query
 def lr_schedule(spark, sf):
-    return bigram.lr_schedule(spark, 20, 2e-4).select("step", F.round("rate", 12).alias("rate"))
+    """The rate of each step of two epochs over the documents that are trained on."""
+    steps = training(spark, sf, LONG)[1].agg(F.max("step").alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("step"), "n")
+    return steps.select("step", F.round(bigram.rate_at(F.col("step"), F.col("n"), 2e-4), 12).alias("rate"))
 
 
 @query
 def synthetic_corpus(spark, sf):
-    df = screen(tables.synthetic(spark, 1000))
+    """Generated examples, one per document id, screened."""
+    df = screen(tables.synthetic(table(spark, sf, "documents").select("doc_id")))
     return df.groupBy(F.col("result.decision").alias("decision")).agg(F.count("*").alias("n"), F.countDistinct("group_id").alias("groups"))
 
 

@@ -57,7 +57,7 @@ def pairs(df: DataFrame, layout: str = "instruction") -> DataFrame:
     return _source(rows, F.col("conv_id") * 1000 + F.col("turn") + 1, content, record, {"conversation_id": F.col("conv_id").cast("string")})
 
 
-def synthetic(spark, n: int) -> DataFrame:
-    """``n`` generated support examples, two to a conversation."""
-    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string("Synthetic support example %d: a short account of a question, what was tried, and how it was settled.", F.col("id")).alias("text"))
+def synthetic(ids: DataFrame) -> DataFrame:
+    """A generated support example for each ``doc_id``, two to a conversation."""
+    rows = ids.select("doc_id", F.format_string("Synthetic support example %d: a short account of a question, what was tried, and how it was settled.", F.col("doc_id")).alias("text"))
     return documents(rows, group_id=F.format_string("conversation-%d", F.floor(F.col("doc_id") / 2)))
