@@ -224,6 +224,20 @@ def _scores(weights: Weights):
     return run
 
 
+#: A term with more than this share of all words in contexts is joined by broadcast; there are fewer than 1 / SHARE such terms.
+SHARE = 1e-3
+
+
+def _with_counts(words: DataFrame, often: DataFrame) -> DataFrame:
+    """``words`` with ``n``, the frequency of their term. No task meets all words of a frequent one: those few terms are broadcast."""
+    uses = cut(words.groupBy("term").agg(F.count("*").alias("uses")).join(often, "term"), "terms")
+    limit = SHARE * (uses.agg(F.sum("uses")).first()[0] or 0)
+    frequent = F.broadcast(uses.where(F.col("uses") > limit).select("term", F.col("n").alias("known")))
+    marked = words.join(frequent, "term", "left")
+    rest = marked.where("known is null").drop("known").join(uses.where(F.col("uses") <= limit).select("term", "n"), "term")
+    return marked.where("known is not null").withColumnRenamed("known", "n").unionByName(rest)
+
+
 def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
     """``doc_id, path, license, score``: the licence of each file's text; score 0 where no window reaches the threshold.
 
@@ -245,7 +259,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     cells[asked["__gm_cell"].to_numpy()] = asked["__gm_bits"].to_numpy().view(np.uint64)
     sieve = spark.sparkContext.broadcast(cells)
     often = source.select("text").mapInArrow(_frequencies(sieve), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    full = words.join(often, "term").groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "term", "n"))).alias("x"))  # at most a text's terms
+    full = _with_counts(words, often).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "term", "n"))).alias("x"))  # at most a text's terms
     scored = cut(full.select("k1", "k2", F.col("x.pos").alias("pos"), F.col("x.term").alias("term"), F.col("x.n").alias("n")).mapInArrow(_scores(weights), "k1 long, k2 long, license string, score double"), "scores")
     drop(found)
     out = source.drop("text").join(scored, ["k1", "k2"], "left")

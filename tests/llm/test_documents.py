@@ -1,6 +1,7 @@
 """Operators over documents against brute force, on a small table of ordinary and odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -636,6 +637,36 @@ def test_near_miss_licenses_are_told_apart(spark):
     assert not wrong
 
 
+WHOLE = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(WHOLE), reason="needs the texts of long licences")
+def test_bodies_of_long_licenses_without_their_headings(spark):
+    from gristmill.llm.licenses import license_of_files
+
+    bodies = {"Apache-2.0": ("Apache-2.0", "1. Definitions"), "GPL-2": ("GPL-2.0", "0. This License applies"), "GPL-3": ("GPL-3.0", "0. Definitions"), "LGPL-2.1": ("LGPL-2.1", "0. This License Agreement"), "LGPL-3": ("LGPL-3.0", "0. Additional"), "MPL-2.0": ("MPL-2.0", "1. Definitions")}
+    texts = []
+    for name, (licence, begin) in bodies.items():
+        with open(f"{WHOLE}/{name}") as f:
+            body = f.read()
+        body = body[body.index(begin) :]
+        texts.append((licence, body[: len(body) // 2]))
+    three = next(t for licence, t in texts if licence == "GPL-3.0")
+    texts.append(("AGPL-3.0", three.replace("version 3 of the GNU General", "version 3 of the GNU Affero General", 1)))
+    got = license_of_files(spark.createDataFrame([(i, f"d{i}/LICENSE", t) for i, (_, t) in enumerate(texts)], "doc_id long, path string, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == {i: licence for i, (licence, _) in enumerate(texts)}
+
+
+@pytest.mark.parametrize("share", [0.0, 1e-3, 1.0])
+def test_license_scores_do_not_depend_on_how_terms_meet(spark, monkeypatch, share):
+    from gristmill.llm import licenses
+
+    monkeypatch.setattr(licenses, "SHARE", share)
+    files = [(i, f"d{i}/x.txt", f"some words before and after number {i} Licensed under the MIT License more words about number {i % 3} follow") for i in range(40)]
+    got = licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()
+    assert len(got) == 40 and {r.license for r in got} == {"MIT"} and all(r.score > 0.99 for r in got)
+
+
 def test_license_scores_against_brute_force(spark):
     """Every window, every template, dictionaries for vectors."""
     import math
