@@ -26,14 +26,15 @@ CELLS = (VOCABULARY + 1) * VOCABULARY
 PART_STEPS = 128
 
 
-def batches(train: DataFrame, config: dict[str, Any]) -> DataFrame:
+def batches(train: DataFrame, config: dict[str, Any], rows: int | None = None) -> DataFrame:
     """The visits of training: ``step, epoch, line, text``, in batches of consecutive lines, epochs in turn.
 
     At most ``max_steps * batch_size`` lines take part; the one window over them holds only line numbers
     (320,000 at the greatest settings), and texts, cut to what the model reads, join them.
+    ``rows``: the number of records, where the caller has it.
     """
     size, steps = config["batch_size"], config["max_steps"]
-    rows = train.count()
+    rows = train.count() if rows is None else rows
     per_epoch = -(-rows // size)
     first = train.select("line").orderBy("line").limit(size * min(steps, max(per_epoch, 1)))
     numbered = first.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("line")) - 1) / size))
@@ -177,33 +178,38 @@ def perplexity(loss: float | None) -> float | None:
     return math.exp(loss) if loss is not None and loss < 700 else None
 
 
-def dense(model: DataFrame, limit: int) -> dict[str, Any]:
+def exported(table: np.ndarray, limit: int) -> dict[str, Any]:
     """The model as nested lists for export."""
-    table = np.zeros((VOCABULARY + 1, VOCABULARY), np.int64)
-    for r in model.collect():  # at most CELLS rows
-        table[r["prev"], r["token"]] = r["n"]
     return {"model_type": "utf8_byte_bigram", "vocabulary_size": VOCABULARY, "bos": BOS, "eos": EOS, "smoothing_alpha": ALPHA, "counts": table.tolist(), "context_totals": table.sum(axis=1).tolist(), "max_seq_bytes": limit}
 
 
-def train_and_evaluate(split: DataFrame, config: dict[str, Any] | None = None) -> dict[str, Any]:
-    """Model report of records with ``line, text, split``."""
+def train_and_evaluate(split: DataFrame, config: dict[str, Any] | None = None, train_rows: int | None = None) -> dict[str, Any]:
+    """Model report of records with ``line, text, split``.
+
+    ``train_rows``: the number of training records, from a caller whose ``split`` is a written table.
+    """
     cfg = C.training_config(config)
     limit = cfg["max_seq_length"]
-    split = cut(split.select("line", "text", "split"), "texts")
-    steps = cut(batches(split.where("split = 'train'"), cfg), "steps")
+    if train_rows is None:
+        split = cut(split.select("line", "text", "split"), "texts")
+    steps = cut(batches(split.where("split = 'train'"), cfg, train_rows), "steps")
     parts = cut(part_counts(steps, limit), "parts")
-    model = cut(model_of(parts), "model")
-    held = cut(counts(split.where("split != 'train'"), limit, "split"), "held")
-    scored = held.withColumnRenamed("n", "w").join(F.broadcast(model), ["prev", "token"], "left").join(F.broadcast(totals(model)), "prev", "left")
+    cells = model_of(parts).toArrow()  # at most CELLS rows
+    table = np.zeros((VOCABULARY + 1, VOCABULARY), np.int64)
+    table[cells["prev"].to_numpy(), cells["token"].to_numpy()] = cells["n"].to_numpy()
+    model = F.broadcast(split.sparkSession.createDataFrame(cells))
+    scored = counts(split.where("split != 'train'"), limit, "split").withColumnRenamed("n", "w")
+    totals_of = F.broadcast(split.sparkSession.createDataFrame(pa.table({"prev": pa.array(np.arange(VOCABULARY + 1), pa.int32()), "total": table.sum(axis=1)})))
+    scored = scored.join(model, ["prev", "token"], "left").join(totals_of, "prev")
     loss = lambda n, t: F.sum(-F.log((n + ALPHA) / (t + ALPHA * VOCABULARY)) * F.col("w")) / F.sum("w")
     none = F.lit(0)
-    read = {r["split"]: r for r in scored.groupBy("split").agg(F.sum("w").alias("tokens"), loss(none, none).alias("before"), loss(F.coalesce("n", none), F.coalesce("total", none)).alias("after")).collect()}
+    read = {r["split"]: r for r in scored.groupBy("split").agg(F.sum("w").alias("tokens"), loss(none, none).alias("before"), loss(F.coalesce("n", none), F.col("total")).alias("after")).collect()}
     history = [r.asDict() for r in loss_history(steps, limit, parts).orderBy("step").collect()]
-    out: dict[str, Any] = {"steps": len(history), "training_record_visits": steps.count(), "loss_history": history, "evaluation_tokens": {s: r["tokens"] for s, r in read.items()}}
+    out: dict[str, Any] = {"steps": len(history), "training_record_visits": int(table[:, EOS].sum()), "loss_history": history, "evaluation_tokens": {s: r["tokens"] for s, r in read.items()}}
     for s in ("validation", "test"):
         a, b = read[s]["before"], read[s]["after"]
         out |= {f"baseline_{s}_loss": a, f"trained_{s}_loss": b, f"baseline_{s}_perplexity": perplexity(a), f"trained_{s}_perplexity": perplexity(b), f"delta_{s}_loss": b - a, f"{s}_tokens": read[s]["tokens"]}
-    out["model"] = dense(model, limit)
+    out["model"] = exported(table, limit)
     return out
 
 

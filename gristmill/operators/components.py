@@ -92,6 +92,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: in
     if not steps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = steps[0].select("node", F.col("up").alias("root"))
+    if small and len(steps) == 1:
+        drop(live)
+        return labels
     for n, step in enumerate(steps[1:], 1):
         labels = _follow(labels, step, "root")
         if n % LONGEST == 0:

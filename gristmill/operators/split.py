@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill import config as C
-from gristmill.functions.scratch import cut
+from gristmill.functions.scratch import cut, drop
 from gristmill.functions.text import blank, digest, fold
 from gristmill.operators.components import connected_components
 from gristmill.operators.state import training_fault, training_text
@@ -72,16 +72,18 @@ def prepare(kept: DataFrame, config: dict[str, Any] | None = None) -> tuple[Data
     """Split kept records (``line, state`` and optional ``group_id, conversation_id, id_error``): adds text, keys, component, split.
 
     Records with a badly typed id or an empty or over-long training text raise ValueError. Texts are
-    made once; keys and splits are found on narrow rows, which the result joins by line.
+    made once; keys and splits are found on narrow rows, and meet the texts in one join, whose result is
+    a table in the shared folder.
     """
-    df = kept.withColumn("text", training_text())
+    has = lambda n: F.col(n) if n in kept.columns else None
+    df = kept.withColumn("text", training_text()).withColumn("keys", split_keys(F.col("text"), has("group_id"), has("conversation_id")))
     base = cut(df.drop("fields"), "kept")
-    has = lambda n: F.col(n) if n in base.columns else None
-    keyed = cut(base.select("line", split_keys(F.col("text"), has("group_id"), has("conversation_id")).alias("keys")), "keys")
     if (first := faults(base).agg(F.min_by(F.struct("line", "fault"), "line").alias("x")).first()["x"]) is not None:
         raise ValueError(f"line {first['line']}: {first['fault']}")
-    placed, groups = assign(with_component(keyed), config)
-    return base.join(cut(placed.select("line", "keys", "component", "split"), "placed"), "line"), groups
+    placed, groups = assign(with_component(base.select("line", "keys")), config)
+    out = cut(base.join(placed.select("line", "component", "split"), "line"), "split")
+    drop(base)
+    return out, groups
 
 
 def leakage(df: DataFrame) -> DataFrame:

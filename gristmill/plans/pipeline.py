@@ -64,7 +64,7 @@ class Pipeline:
         if set(rows) != set(SPLITS):
             raise ValueError("every split must contain at least one record")
         sinks.write_splits(split, f"{self.out}/{self.splits}")
-        result = bigram.train_and_evaluate(split, self.training) | {"split_counts": rows, "group_counts": groups, "config": self.training}
+        result = bigram.train_and_evaluate(split, self.training, rows["train"]) | {"split_counts": rows, "group_counts": groups, "config": self.training}
         self.progress({"stage": "model_evaluation", "step": result["steps"]})
         model = result.pop("model")
         sinks.write_json(self.spark, f"{self.out}/model/byte_bigram.json", model)
