@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["screen_decisions", "normalize_messages", "gate_decisions", "scored_decisions", "components", "split_assignment", "heldout_eval", "stream_screen", "strict_csv_scan"]
+QUICK = ["screen_decisions", "normalize_messages", "gate_decisions", "scored_decisions", "components", "split_assignment", "heldout_eval", "stream_screen", "strict_csv_scan", "layout_precedence", "loss_history_long", "chat_template_marked", "chat_template_alternating", "stream_file_records", "stream_file_decisions"]
 
 
 def test_names_agree():
