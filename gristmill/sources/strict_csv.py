@@ -125,11 +125,11 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(splits: pa.Table) -> pa.Table:
-    """The splits of a file, a row each: the state each begins in."""
-    rows = sorted(splits.to_pylist(), key=lambda r: r["start"])
-    lines = sum(r["n"] for r in rows)
+    """The splits of a file or of all its parts, a row each: the state each begins in."""
+    rows = sorted(splits.to_pylist(), key=lambda r: (r["file"], r["start"]))
+    lines, last = sum(r["n"] for r in rows), rows[-1]["file"]
     # Lines and newlines add up to the file's size, or to one more if its last line has no newline; a byte order mark makes that three more.
-    open_end = rows[0]["whole"] - sum(r["size"] for r in rows) in (-1, 2)
+    open_end = rows[-1]["whole"] - sum(r["size"] for r in rows if r["file"] == last) in (-1, 2)
     out, ahead, state, began, held = [], 0, CLOSED, 0, 0
     for r in rows:
         out.append((r["file"], r["start"], ahead, state, began, held, lines, open_end))
@@ -230,15 +230,17 @@ def _pieced(pieces: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_columns([(rows[0]["file"], rows[0]["line"], rows[-1]["last"], cells, None, None)], _PARSED)]).slice(0, 0 if none else 1)
 
 
-def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def csv_records(spark: SparkSession, path: str | list[str], parts: bool = False) -> DataFrame:
     """``file, line, last, cells, error, names``: the records of CSV files, their first and last lines, and each
-    file's header; ``error`` is a fatal fault. The record of line 1 is the header itself."""
+    file's header; ``error`` is a fatal fault. The record of line 1 is the header itself. With ``parts``, the files are
+    the parts of one file, whose ``file`` is empty."""
+    one = F.lit("") if parts else F.col("file")
     where = {"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start"), "whole": F.col("_metadata.file_size")}
     lines = spark.read.option("lineSep", "\n").text(path).select(*(c.alias(n) for n, c in where.items()), F.col("value").cast("binary").alias("value"), F.is_valid_utf8("value").alias("sound"))
     splits = lines.mapInArrow(_summaries, _SUMMARY)
-    entries = cut(splits.groupBy("file").applyInArrow(_entries, _ENTRY), "splits")
+    entries = cut(splits.groupBy(one.alias("of")).applyInArrow(_entries, _ENTRY), "splits")
     placed = lines.drop("whole").join(F.broadcast(entries), ["file", "start"])  # a row per split; lines keep their order
-    parsed = cut(placed.select("file", "start", "value", "sound", "ahead", "state", "began", "held", "lines", "open_end").mapInArrow(_records, _PARSED), "csv")
+    parsed = cut(placed.select("file", "start", "value", "sound", "ahead", "state", "began", "held", "lines", "open_end").mapInArrow(_records, _PARSED).withColumn("file", one), "csv")
     joined = parsed.where("piece is not null").groupBy("file", "line").applyInArrow(_pieced, _PARSED)
     records = parsed.where("piece is null").unionByName(joined)
     header = cut(records.where("line = 1 and error is null").select("file", F.col("cells").alias("names")), "headers")

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,43 @@ def test_line_numbers_over_many_splits_and_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("kind", ["jsonl", "csv"])
+def test_parts_of_one_file(spark, tmp_path, kind):
+    """A folder of parts gives what one file of the same bytes gives, in many splits, with records over the ends of parts."""
+    if kind == "jsonl":
+        lines = [b"\xef\xbb\xbf{}"] + [b"{broken" if i % 7 == 3 else b"" if i % 7 == 5 else b'{"text": "number %d"}' % i for i in range(120)]
+    else:
+        lines = [b"id,text"] + [b'%d,"over\n\nthree lines"' % i if i % 3 else b"%d,one,more" % i for i in range(120)] + [b'"never closed']
+    whole = b"\n".join(lines) + b"\n"
+    physical = whole.splitlines(keepends=True)
+    (tmp_path / "parts").mkdir()
+    (tmp_path / f"whole.{kind}").write_bytes(whole)
+    for k in range(0, len(physical), 11):
+        (tmp_path / "parts" / f"part-{k:05}").write_bytes(b"".join(physical[k : k + 11]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "90")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        shown = lambda path, **how: sorted(strict.read_records(spark, f"file://{tmp_path}/{path}", kind, **how).select("line", "input_error", "input_fatal", "record").collect(), key=lambda r: r.line)
+        want, got = shown(f"whole.{kind}"), shown("parts", parts=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(want) > 100 and got == want
+
+
+def test_files_of_queries_are_written_in_parts(spark, tmp_path, monkeypatch):
+    """No task writes all lines of a larger table, and the parts hold them in order."""
+    from gristmill.plans import queries
+    from gristmill.sources import tables
+
+    df = spark.range(1000, numPartitions=3).selectExpr("999 - id as doc_id", "concat('line ', 999 - id) as value")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    monkeypatch.setattr(tables, "PART", tables.size_of(spark.read.parquet(f"file://{tmp_path}/documents.parquet")) // 5)
+    path = queries._as_files(spark, f"file://{tmp_path}", df, "jsonl").removeprefix("file:")
+    texts = [p.read_text().splitlines() for p in sorted(Path(path).glob("part-*"))]
+    assert len(texts) >= 5 and max(map(len, texts)) < 400 and sum(texts, []) == [f"line {i}" for i in range(1000)]
+
+
 @pytest.mark.parametrize("end", [b"\n", b""])
 def test_size_limit_counts_the_newline(spark, tmp_path, end):
     wrap = lambda n: b'{"text": "' + b"z" * (n - 12) + b'"}'
