@@ -368,6 +368,25 @@ def test_gate_order(spark):
     ]
 
 
+def test_replayed_answers_are_judged_once(spark, tmp_path):
+    """What reads the answers, for decisions and for counts of requests, reads them judged already."""
+    from gristmill.operators.gates import RESPONSE
+    from gristmill.plans.queries import SCORED
+
+    raw = load(spark, tmp_path, lines({"text": "the first record"}, {"text": "the second record"}))
+    states = [r.state_hash for r in screen(raw).select("state_hash").collect()]
+    looked = spark.sparkContext.accumulator(0)
+
+    def look(j):
+        looked.add(1)
+        return j
+
+    seen = F.udf(look, "string").asNondeterministic()
+    answers = spark.createDataFrame([(h, json.dumps(answer(0.95))) for h in states], "state_hash string, j string").withColumn("j", seen("j")).select("state_hash", F.from_json("j", RESPONSE).alias("response"))
+    assert [r.requests for r in screen(raw, SCORED, scorer=replay_scorer(answers)).collect()] == [1, 1]
+    assert looked.value == 2
+
+
 def test_replayed_answers_have_no_budget(spark, tmp_path):
     from gristmill.operators.gates import RESPONSE
     from gristmill.plans.queries import SCORED

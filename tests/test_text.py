@@ -21,6 +21,17 @@ def test_white_space_is_pythons(spark):
     assert len(SPACES) == 29
 
 
+def test_white_space_in_long_mixed_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    pieces = ["word", "é", "漢", "\x7f", "\u167f", "\u1681", "\u200b", " ", " ", "  ", "\n", "\r\n", "\t", *SPACES]
+    rows = [("".join(rng.choices(pieces[: rng.choice([2, 9, 12, 13, len(pieces)])], k=rng.randrange(80))),) for _ in range(600)]
+    df = spark.createDataFrame([*rows, (None,)], "t string")
+    for r in df.select("t", T.fold(F.col("t")).alias("f"), T.strip(F.col("t")).alias("s")).collect():
+        assert (r.f, r.s) == ((None, None) if r.t is None else (" ".join(r.t.split()), r.t.strip()))
+
+
 def test_email_edges(spark):
     rows = ["x a@b.co y", "éa@b.co", "a@b.cö", "a@b.co_", "(a@b.co)", "a@b", "a.b+c@d-e.org.", "́a@b.co", "名a@b.co"]
     df = spark.createDataFrame([(r,) for r in rows], "t string")
