@@ -48,3 +48,18 @@ def test_import_needs_no_session():
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True)
+
+
+def test_arriving_files_come_in_parts(spark, duck, monkeypatch):
+    """Files of larger tables are written and land in parts, by more tasks than files, with the same places and order."""
+    from gristmill.plans import queries
+    from gristmill.sources import tables
+
+    monkeypatch.setattr(tables, "PART", 20_000)
+    path = queries._landed(spark, SF)
+    assert spark.read.text(f"{path}/in").selectExpr("_metadata.file_path").distinct().count() > 9
+    names = ["part", "line", "error", "group_id"]
+    want = duck.execute(f"select {', '.join(names)} from ({entry.oracle_sql()['stream_file_records']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in entry.queries()["stream_file_records"](spark, SF).select(*names).collect())
+    seen = entry.queries()["stream_screen"](spark, SF).collect()
+    assert len(seen) == spark.read.parquet(f"{SF}/documents.parquet").count()
