@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ENCODED = "line long, ids array<int>, masked int"
+#: Bytes of text encoded at once: what a tokenizer returns takes some hundred times as much memory as the ids.
+CHUNK = 1 << 19
+
+
+def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about CHUNK bytes of text, a row at least."""
+    first, size = 0, 0
+    sizes = np.add(*(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False) for i in (1, 2)))
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and size + n > CHUNK:
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    if len(sizes) > first:
+        yield batch.slice(first)
 
 
 def encode(rows: DataFrame, tokenizer: str, eos: int, limit: int, answer_only: bool = True) -> DataFrame:
@@ -23,7 +40,7 @@ def encode(rows: DataFrame, tokenizer: str, eos: int, limit: int, answer_only: b
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             full = [x.ids for x in t.encode_batch_fast([s or "" for s in batch.column(1).to_pylist()], add_special_tokens=False)]
             prompts = [x.ids for x in t.encode_batch_fast([s or "" for s in batch.column(2).to_pylist()], add_special_tokens=False)]
             ids = [[*x[: limit - 1], eos] for x in full]

@@ -101,3 +101,17 @@ def test_encoding_masks_a_prompt_that_begins_the_text(spark):
         sums = masking_totals(encode(rows, path, 50256, limit)).first()
         assert sums.masked_rows == sum(m > 0 for _, m in got.values()) and sums.prompt_tokens + sums.learned_tokens == sum(len(ids) for ids, _ in got.values())
     assert {r.masked for r in encode(rows, path, 50256, 64, answer_only=False).collect()} == {0}
+
+
+def test_texts_are_encoded_in_chunks():
+    """A batch is never tokenized whole: slices of bounded size, nulls and long texts included, lose no row."""
+    import pyarrow as pa
+
+    from gristmill.operators import encode
+
+    texts = ["x" * (i * 7919 % 90_000) if i % 11 else None for i in range(300)] + ["y" * (2 * encode.CHUNK), "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(302)), pa.array(texts), pa.array([t and t[:9] for t in texts])], ["line", "full", "prompt"])
+    parts = list(encode.chunks(batch))
+    assert len(parts) > 20 and [i for p in parts for i in p.column(0).to_pylist()] == list(range(302))
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= encode.CHUNK for p in parts)
+    assert list(encode.chunks(batch.slice(0, 0))) == []
